@@ -30,20 +30,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _weather(cnt: Column, qty: Column, price: Column, dsum: Column, tsum: Column) -> dict[str, Column]:
+    """Square roots and long constants keep the series off decimal grids, so that
+    window statistics of both engines never sit on a rounding tie."""
     disc = dsum / cnt
     tax = tsum / cnt
-    allsky = qty / (cnt * 5.0)
-    clear = qty / (cnt * 5.0) + 2.0
+    allsky = F.sqrt(qty / cnt) * 0.91372941 + 0.3119537
+    clear = allsky + 1.7320508 + F.sqrt(cnt) * 0.1414213
     return {
         "ALLSKY_SFC_SW_DWN": allsky,
-        "ALLSKY_SFC_SW_DNI": price / (cnt * 10000.0),
-        "ALLSKY_SFC_SW_DIFF": cnt * 0.5,
+        "ALLSKY_SFC_SW_DNI": F.sqrt(price / cnt) * 0.0312873,
+        "ALLSKY_SFC_SW_DIFF": F.sqrt(cnt) * 0.4817293 + 0.2236068,
         "CLRSKY_SFC_SW_DWN": clear,
-        "T2M": tax * 500.0 - 5.0,
-        "RH2M": disc * 900.0 + 5.0,
-        "WS2M": F.abs(disc - tax) * 120.0,
-        "PRECTOTCORR": F.when(disc > 0.05, (disc - 0.05) * 400.0).otherwise(F.lit(0.0)),
-        "PS": tax * 200.0 + 85.0,
+        "T2M": F.sqrt(tax) * 123.456789 - 4.9137,
+        "RH2M": F.sqrt(disc) * 285.71429 + 5.1371,
+        "WS2M": F.abs(F.sqrt(disc) - F.sqrt(tax)) * 37.947332,
+        "PRECTOTCORR": F.when(disc > 0.05, F.sqrt(disc - 0.05) * 89.442719).otherwise(F.lit(0.0)),
+        "PS": F.sqrt(tax) * 56.568542 + 84.9137,
         "ALLSKY_KT": allsky / clear,
     }
 
@@ -91,11 +93,12 @@ def priority_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events per type and hour: ``site, ts (timestamp), param, value``."""
+    """Events per type and hour: ``site, ts (timestamp), param, value``
+    (value = square root of the hour's rounded value sum)."""
     e = table(spark, sf_dir, "events")
     return (e.groupBy(F.col("event_type").alias("site"),
                       F.date_trunc("hour", F.col("ts")).alias("ts"))
-             .agg(F.round(F.sum("value"), 2).alias("value"))
+             .agg(F.sqrt(F.round(F.sum("value"), 2)).alias("value"))
              .withColumn("param", F.lit("value_sum")))
 
 
