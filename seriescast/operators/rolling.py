@@ -56,15 +56,17 @@ def vsum(c: str, k: int) -> Expr:
 
 
 def skew(c: str, k: int) -> Expr:
-    """WN4: bias-adjusted G1 over the frame; fewer than 3 rows or a constant frame -> 0."""
+    """WN4: bias-adjusted G1 over the frame; fewer than 3 rows or a constant frame -> 0.
+
+    Spark's moment aggregates return NULL when the frame's second central moment
+    is exactly 0, which is exactly the constant frame; no min/max pass is needed.
+    """
     def fn(w: Window) -> Column:
         f = _frame(w, k)
         n = F.count(c).over(f).cast("double")
         g1 = F.skewness(c).over(f)
         adj = g1 * F.sqrt(n * (n - 1)) / (n - 2)
-        return (F.when(n < 3, F.lit(0.0))
-                 .when(F.max(c).over(f) == F.min(c).over(f), F.lit(0.0))
-                 .otherwise(F.coalesce(adj, F.lit(0.0))))
+        return F.when(n < 3, F.lit(0.0)).otherwise(F.coalesce(adj, F.lit(0.0)))
     return fn
 
 
@@ -76,8 +78,8 @@ def kurt(c: str, k: int) -> Expr:
         g2 = F.kurtosis(c).over(f)
         adj = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
         return (F.when(n < 4, F.lit(0.0))
-                 .when(F.max(c).over(f) == F.min(c).over(f), F.lit(-3.0))
-                 .otherwise(F.coalesce(adj, F.lit(0.0))))
+                 .when(g2.isNull() | F.isnan(g2), F.lit(-3.0))
+                 .otherwise(adj))
     return fn
 
 

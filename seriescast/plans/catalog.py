@@ -14,6 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.storagelevel import StorageLevel
 
 from seriescast.config import PARAMS
 from seriescast.functions import calendar as C
@@ -235,7 +236,9 @@ def q_ph_features(spark, sf):
 
 # ---------------------------------------------------------------- predictions, metrics
 def _cands(spark, sf) -> DataFrame:
-    return EV.candidates(_clean(spark, sf), S).where(F.col("predicted").isNotNull())
+    """Candidates are read by several branches (weights, blend, metrics): persisted once."""
+    c = EV.candidates(_clean(spark, sf), S).where(F.col("predicted").isNotNull())
+    return c.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def q_er_prediction_errors(spark, sf):
@@ -264,7 +267,7 @@ def _all_models(spark, sf) -> DataFrame:
     c = _cands(spark, sf)
     w = E.r2_weights(c, ["param"], EV.BASE_MODELS)
     blend = E.weighted_blend(c, w, ["param"])
-    return c.unionByName(blend)
+    return c.unionByName(blend).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _chosen(spark, sf) -> DataFrame:
