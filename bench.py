@@ -26,7 +26,7 @@ from seriescast.operators.series import Series  # noqa: E402
 def tier3_matrix(spark, sf):
     """The reference's largest feature builder (699 columns) over every site."""
     obs = observations_long(spark, sf, "supp").withColumn("split", split_col("ts"))
-    obs = clean(obs, Series(keys=("site", "split", "param"))).drop("rn", "n")
+    obs = clean(obs, Series(keys=("site", "split", "param"))).drop("rn", "n", "_tb")
     matrix, feats = build_matrix(obs, TIER3, PARAMS)
     return matrix
 
@@ -60,6 +60,7 @@ def main() -> None:
         t0 = time.time()
         fn(spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.time() - t0, 3)
+        print(f"{name}: {times[name]}s", file=sys.stderr, flush=True)
         spark.catalog.clearCache()
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3),

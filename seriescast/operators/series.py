@@ -18,6 +18,12 @@ one task:
   block by a running window, across blocks by a running window over the small
   per-block summary table (one row per block), joined back.
 
+Operators that branch (a small summary aggregated from a frame and joined back
+to it) persist the frame they branch on, so its upstream - a file scan and
+aggregation - runs once.  The persisted frames have a deterministic lineage
+(positions are ordered by ``order``), so a lost executor's blocks are simply
+recomputed.
+
 Keys are assumed non-null.
 """
 
@@ -27,6 +33,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 UNB_PRE = Window.unboundedPreceding
 UNB_FOL = Window.unboundedFollowing
@@ -57,10 +64,15 @@ class Series:
         return F.expr(self.bucket) if self.bucket else F.year(F.col(self.order))
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """Persist a frame that two branches of one plan read."""
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def index_rows(df: DataFrame, s: Series) -> DataFrame:
     """Add ``rn`` (1-based position in the series) and ``n`` (series length)."""
     keys = s.k
-    d = df.withColumn("_tb", s.bucket_col())
+    d = reused(df.withColumn("_tb", s.bucket_col()))
     counts = d.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_c"))
     wk = Window.partitionBy(*keys).orderBy("_tb")
     offs = counts.select(
@@ -71,7 +83,9 @@ def index_rows(df: DataFrame, s: Series) -> DataFrame:
     d = d.join(offs, keys + ["_tb"])
     rn = F.col("_off") + F.row_number().over(
         Window.partitionBy(*keys, "_tb").orderBy(s.order))
-    return d.withColumn("rn", rn.cast("long")).drop("_tb", "_off", "_c")
+    # ``_tb`` stays: carries (``neighbours``) use the time buckets as their blocks, so
+    # they run on the partitioning and sort order this window already produced
+    return d.withColumn("rn", rn.cast("long")).drop("_off", "_c")
 
 
 def block_of(s: Series, block_rows: int | None = None) -> Column:
@@ -110,12 +124,17 @@ def neighbours(df: DataFrame, s: Series, cols: list[str], prev: bool = True,
     """For each column ``c`` add ``_prev_c`` / ``_next_c``: struct(r, v) of the last
     non-null value at or before the row and the first non-null at or after it.
 
-    Needs ``rn``.  Blocks of ``block_rows`` rows; carries over blocks come from
-    a window over the per-block summary, which holds one row per block.
+    Needs ``rn``.  Blocks are the time buckets of ``index_rows`` when present (same
+    partitioning and order as the numbering window: no new shuffle), else blocks of
+    ``block_rows`` rows; carries over blocks come from a window over the per-block
+    summary, which holds one row per block.
     """
     keys = s.k
-    b = int(block_rows or s.block_rows)
-    d = df.withColumn("_blk", F.expr(f"(rn - 1) div {b}"))
+    if "_tb" in df.columns and block_rows is None:
+        d, blk, order = reused(df.withColumn("_blk", F.col("_tb"))), "_blk", F.col(s.order)
+    else:
+        b = int(block_rows or s.block_rows)
+        d, blk, order = reused(df.withColumn("_blk", F.expr(f"(rn - 1) div {b}"))), "_blk", F.col("rn")
     pv = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("rn").alias("r"), F.col(c).alias("v")))
           for c in cols}
     aggs = []
@@ -124,19 +143,19 @@ def neighbours(df: DataFrame, s: Series, cols: list[str], prev: bool = True,
             aggs.append(F.max(pv[c]).alias(f"_bl_{c}"))
         if nxt:
             aggs.append(F.min(pv[c]).alias(f"_bf_{c}"))
-    summ = d.groupBy(*keys, "_blk").agg(*aggs)
-    fwd = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(UNB_PRE, -1)
-    bwd = Window.partitionBy(*keys).orderBy(F.col("_blk").desc()).rowsBetween(UNB_PRE, -1)
+    summ = d.groupBy(*keys, blk).agg(*aggs)
+    fwd = Window.partitionBy(*keys).orderBy(blk).rowsBetween(UNB_PRE, -1)
+    bwd = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(UNB_PRE, -1)
     carry_cols = []
     for c in cols:
         if prev:
             carry_cols.append(F.last(f"_bl_{c}", ignorenulls=True).over(fwd).alias(f"_pin_{c}"))
         if nxt:
             carry_cols.append(F.last(f"_bf_{c}", ignorenulls=True).over(bwd).alias(f"_nin_{c}"))
-    carry = summ.select(*keys, "_blk", *carry_cols)
-    d = d.join(carry, keys + ["_blk"], "left")
-    wf = Window.partitionBy(*keys, "_blk").orderBy("rn").rowsBetween(UNB_PRE, 0)
-    wb = Window.partitionBy(*keys, "_blk").orderBy(F.col("rn").desc()).rowsBetween(UNB_PRE, 0)
+    carry = summ.select(*keys, blk, *carry_cols)
+    d = d.join(carry, keys + [blk], "left")
+    wf = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(UNB_PRE, 0)
+    wb = Window.partitionBy(*keys, blk).orderBy(order.desc()).rowsBetween(UNB_PRE, 0)
     out = []
     for c in cols:
         if prev:

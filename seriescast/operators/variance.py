@@ -3,8 +3,7 @@
 Input: long predictions ``param, actual, predicted`` (plus any other keys).
 The ratio is ``(a - p) / (p + 1e-10)``.  Every table is a grouped aggregate;
 pivots get their value lists up front (no extra job to discover them); the
-fixed label and bin tables are broadcast because their size is fixed (6 rows;
-params x 50 bins).
+fixed label and bin grids are exploded from literal arrays (no cross join).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from seriescast.config import PARAMS, RANGE_LABELS, TIGHT_HI, TIGHT_LO
 from seriescast.functions.errors import percent_variance, range_label, variance_ratio
 from seriescast.operators.quantile import exact_quantiles
+from seriescast.operators.series import reused
 
 
 def with_ratio(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -26,7 +26,7 @@ def variance_summary(pred: DataFrame, keys: list[str] | None = None) -> DataFram
     """AG8 + AG9: ``Total_Records, Records_In_Range, Percentage_In_Range`` and the
     mean / exact median / population std / min / max of the ratio."""
     keys = keys or ["param"]
-    d = with_ratio(pred)
+    d = reused(with_ratio(pred))
     r = F.col("ratio")
     inr = (r >= TIGHT_LO) & (r <= TIGHT_HI)
     base = d.groupBy(*keys).agg(
@@ -53,7 +53,7 @@ def overall_in_range(summary: DataFrame) -> DataFrame:
 def range_counts(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Long form of AG14: ``keys, range_order, range, count`` for all six ranges (zeros kept)."""
     keys = keys or ["param"]
-    d = with_ratio(pred).withColumn("range", range_label("pct_variance"))
+    d = reused(with_ratio(pred).withColumn("range", range_label("pct_variance")))
     cnt = d.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("count"))
     labels = F.array(*[F.struct(F.lit(i).alias("range_order"), F.lit(lab).alias("range"))
                        for i, lab in enumerate(RANGE_LABELS)])
@@ -108,7 +108,7 @@ def histogram(df: DataFrame, keys: list[str], col: str, bins: int = 50) -> DataF
     """AG20: ``bins`` equal bins from min to max per group, last bin closed (numpy's rule,
     including its edge correction); a constant group uses ``[v - 0.5, v + 0.5]``.
     Empty bins are kept."""
-    x = df.select(*keys, F.col(col).alias("_x")).where(F.col("_x").isNotNull())
+    x = reused(df.select(*keys, F.col(col).alias("_x")).where(F.col("_x").isNotNull()))
     rng = x.groupBy(*keys).agg(F.min("_x").alias("_mn"), F.max("_x").alias("_mx"))
     rng = rng.select(*keys,
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),

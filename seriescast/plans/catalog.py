@@ -134,14 +134,19 @@ def q_wn03_rolling_min_max(spark, sf):
     return normalise(_features(spark, sf, R.rolling_stats("value", WINDOWS, ("min", "max"), "v"), 90))
 
 
+def _moments(spark, sf, which: str) -> DataFrame:
+    stages = R.moment_stages("value", WINDOWS, (which,), "v")
+    out = R.trailing(_clean(spark, sf), S, stages, halo=90, block_rows=256)
+    names = [n for n in stages[-1]]
+    return out.select("site", "param", F.col("ts").alias("day"), *names)
+
+
 def q_wn04_rolling_skew(spark, sf):
-    ex = R.rolling_stats("value", WINDOWS, ("skew",), "v")
-    return normalise(_features(spark, sf, ex, 90), default="k10")
+    return normalise(_moments(spark, sf, "skew"), default="k10")
 
 
 def q_wn05_rolling_kurt(spark, sf):
-    ex = R.rolling_stats("value", WINDOWS, ("kurt",), "v")
-    return normalise(_features(spark, sf, ex, 90), default="k10")
+    return normalise(_moments(spark, sf, "kurt"), default="k10")
 
 
 def q_wn06_rain_rolling_sum(spark, sf):
@@ -389,5 +394,36 @@ def q_ml17_forecast_baseline(spark, sf):
     return normalise(_day(out))
 
 
+# ---------------------------------------------------------------- MLlib (rows-only checks)
+def _tier1_quick(spark, sf):
+    from seriescast.plans.tiers import TIER1, quick
+    from seriescast.plans.train import train_evaluate
+    t = quick(TIER1, trees=10, depth=5)
+    obs = observations_long(spark, sf, "supp")
+    return obs, t, train_evaluate(obs, t)
+
+
+def q_ml03_06_tier1_models(spark, sf):
+    """ML3/ML4/ML7/ML9/ML16: tier-1 learners (small ensembles) per parameter, the fixed
+    blend and the choice; metrics of every candidate."""
+    _, _, res = _tier1_quick(spark, sf)
+    chosen = res.choice.select("param", F.col("chosen_model").alias("model"), F.lit(True).alias("chosen"))
+    out = res.all_metrics.join(chosen, ["param", "model"], "left").fillna(False, subset=["chosen"])
+    return normalise(out.select("param", "model", "chosen", "n", "rmse", "mae", "r2", "tight_pct"), SIG6)
+
+
+def q_ml13_ridge_stack(spark, sf):
+    """ML13 on the baseline candidates: ridge (alpha 1) coefficients per parameter."""
+    wide = E.wide_candidates(_cands(spark, sf), ["site", "ts", "param"], EV.BASE_MODELS)
+    return normalise(E.ridge_fit(wide, ["param"], EV.BASE_MODELS, alpha=1.0))
+
+
+def q_ml17_forecast_models(spark, sf):
+    """ML17 with trained models: next-year forecast of the tier-1 chosen models."""
+    from seriescast.plans.forecast import forecast
+    obs, t, res = _tier1_quick(spark, sf)
+    return normalise(_day(forecast(obs, res, t, force=True)))
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

@@ -180,3 +180,20 @@ def test_calendar_edge_dates(spark):
     assert [r.day_of_year for r in got] == list(ts.dayofyear)
     assert [r.week_of_year for r in got] == [int(w) for w in ts.isocalendar().week]
     assert [r.is_weekend for r in got] == [int(d in (5, 6)) for d in ts.dayofweek]
+
+
+def test_prediction_file_roundtrip(spark, tmp_path):
+    """SNK2 wide layout written as CSV and read back by SRC2 / SRC4."""
+    from seriescast.sources.csv import read_predictions_csv
+    from seriescast.sources.sinks import predictions_wide, write_table
+    rows = [("s", "2024-01-0%d" % d, p, float(d), float(d) + 0.5) for d in (1, 2) for p in ("T2M", "PS")]
+    pred = spark.createDataFrame(rows, "site string, d string, param string, actual double, predicted double")
+    pred = pred.withColumn("ts", F.to_date("d")).drop("d")
+    wide = predictions_wide(pred, ["T2M", "PS"])
+    assert wide.columns[:5] == ["site", "YEAR", "MO", "DY", "DATE"] and len(wide.columns) == 5 + 12
+    out = str(tmp_path / "pred")
+    write_table(wide.drop("site"), out, fmt="csv")
+    back = read_predictions_csv(spark, out, ["T2M", "PS"]).orderBy("param", "ts").collect()
+    assert [(r.param, str(r.ts), r.actual, r.predicted) for r in back] == [
+        ("PS", "2024-01-01", 1.0, 1.5), ("PS", "2024-01-02", 2.0, 2.5),
+        ("T2M", "2024-01-01", 1.0, 1.5), ("T2M", "2024-01-02", 2.0, 2.5)]

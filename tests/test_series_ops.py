@@ -126,3 +126,24 @@ def test_index_rows_many_buckets(spark):
     for site, g in out.groupby("site"):
         assert g["rn"].tolist() == list(range(1, len(g) + 1))
         assert (g["n"] == len(g)).all()
+
+
+def test_moment_stages_match_pandas(spark):
+    rng = np.random.default_rng(11)
+    vals = (rng.normal(50, 4, 400)).round(2).tolist()
+    vals[100:115] = [51.0] * 15          # constant frames
+    vals[200:260] = [x + 30 for x in vals[200:260]]   # level shift inside a block
+    df = _frame(spark, {"a": vals, "b": vals[:5]})
+    stages = R.moment_stages("value", [7, 30, 90], prefix="v")
+    out = R.trailing(index_rows(df, S), S, stages, halo=90, block_rows=64)
+    names = list(stages[-1])
+    got = _collect(out, names)
+    assert not any(c.startswith("__") for c in out.columns)
+    for site, v in (("a", vals), ("b", vals[:5])):
+        s = pd.Series(v)
+        g = got[got.site == site]
+        for k in (7, 30, 90):
+            np.testing.assert_allclose(g[f"v_rolling_skew_{k}"], s.rolling(k, min_periods=3).skew().fillna(0),
+                                       atol=1e-7)
+            np.testing.assert_allclose(g[f"v_rolling_kurt_{k}"], s.rolling(k, min_periods=4).kurt().fillna(0),
+                                       atol=1e-6)
