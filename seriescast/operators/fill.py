@@ -52,12 +52,12 @@ def fill(df: DataFrame, s: Series, cols: list[str], method: str = "bfill") -> Da
     """WN15: back-fill (next valid value) or forward-fill (last valid value)."""
     d = _ensure_index(df, s)
     if method == "bfill":
-        d = neighbours(d, s, cols, prev=False)
-        d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_next_{c}")["v"]) for c in cols})
+        d = neighbours(d, s, cols, prev=False, positions=False)
+        d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_next_{c}")) for c in cols})
         return d.drop(*[f"_next_{c}" for c in cols])
     if method == "ffill":
-        d = neighbours(d, s, cols, nxt=False)
-        d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_prev_{c}")["v"]) for c in cols})
+        d = neighbours(d, s, cols, nxt=False, positions=False)
+        d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_prev_{c}")) for c in cols})
         return d.drop(*[f"_prev_{c}" for c in cols])
     raise ValueError(method)
 
@@ -65,9 +65,9 @@ def fill(df: DataFrame, s: Series, cols: list[str], method: str = "bfill") -> Da
 def sweep(df: DataFrame, s: Series, cols: list[str]) -> DataFrame:
     """WN16: non-finite -> null, back-fill, forward-fill, then 0, per column in row order."""
     d = _ensure_index(df, s).withColumns({c: nonfinite_to_null(c) for c in cols})
-    d = neighbours(d, s, cols)
-    d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_next_{c}")["v"],
-                                     F.col(f"_prev_{c}")["v"], F.lit(0.0)) for c in cols})
+    d = neighbours(d, s, cols, positions=False)
+    d = d.withColumns({c: F.coalesce(F.col(c), F.col(f"_next_{c}"),
+                                     F.col(f"_prev_{c}"), F.lit(0.0)) for c in cols})
     return d.drop(*[f"_prev_{c}" for c in cols], *[f"_next_{c}" for c in cols])
 
 

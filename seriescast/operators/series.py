@@ -109,49 +109,72 @@ def block_window(s: Series, desc: bool = False) -> Window:
 
 
 def neighbours(df: DataFrame, s: Series, cols: list[str], prev: bool = True,
-               nxt: bool = True, block_rows: int | None = None) -> DataFrame:
-    """For each column ``c`` add ``_prev_c`` / ``_next_c``: struct(r, v) of the last
-    non-null value at or before the row and the first non-null at or after it.
+               nxt: bool = True, block_rows: int | None = None,
+               positions: bool = True) -> DataFrame:
+    """For each column ``c`` add ``_prev_c`` / ``_next_c``: the last non-null value at
+    or before the row and the first non-null at or after it, anywhere in the series.
+    With ``positions`` they are ``struct(r, v)`` (``r`` = its ``rn``), else plain values.
 
     Needs ``rn``.  Blocks are the time buckets of ``index_rows`` when present (same
     partitioning and order as the numbering window: no new shuffle), else blocks of
     ``block_rows`` rows; carries over blocks come from a window over the per-block
-    summary, which holds one row per block.
+    summary, which holds one row per block.  Running ``last(..., ignorenulls)`` over
+    scalar columns keeps the windows allocation-free.
     """
     keys = s.k
     if "_tb" in df.columns and block_rows is None:
-        d, blk, order = reused(df.withColumn("_blk", F.col("_tb"))), "_blk", F.col(s.order)
+        d, order = reused(df.withColumn("_blk", F.col("_tb"))), F.col(s.order)
     else:
         b = int(block_rows or s.block_rows)
-        d, blk, order = reused(df.withColumn("_blk", F.expr(f"(rn - 1) div {b}"))), "_blk", F.col("rn")
-    pv = {c: F.when(F.col(c).isNotNull(), F.struct(F.col("rn").alias("r"), F.col(c).alias("v")))
-          for c in cols}
+        d, order = reused(df.withColumn("_blk", F.expr(f"(rn - 1) div {b}"))), F.col("rn")
+    blk = "_blk"
+    rn_if = {c: F.when(F.col(c).isNotNull(), F.col("rn")) for c in cols}
     aggs = []
     for c in cols:
         if prev:
-            aggs.append(F.max(pv[c]).alias(f"_bl_{c}"))
+            aggs.append(F.max_by(c, rn_if[c]).alias(f"_blv_{c}"))
+            if positions:
+                aggs.append(F.max(rn_if[c]).alias(f"_blr_{c}"))
         if nxt:
-            aggs.append(F.min(pv[c]).alias(f"_bf_{c}"))
+            aggs.append(F.min_by(c, rn_if[c]).alias(f"_bfv_{c}"))
+            if positions:
+                aggs.append(F.min(rn_if[c]).alias(f"_bfr_{c}"))
     summ = d.groupBy(*keys, blk).agg(*aggs)
     fwd = Window.partitionBy(*keys).orderBy(blk).rowsBetween(UNB_PRE, -1)
     bwd = Window.partitionBy(*keys).orderBy(F.col(blk).desc()).rowsBetween(UNB_PRE, -1)
     carry_cols = []
     for c in cols:
-        if prev:
-            carry_cols.append(F.last(f"_bl_{c}", ignorenulls=True).over(fwd).alias(f"_pin_{c}"))
-        if nxt:
-            carry_cols.append(F.last(f"_bf_{c}", ignorenulls=True).over(bwd).alias(f"_nin_{c}"))
+        for side, win, tag in (("p", fwd, "bl"), ("n", bwd, "bf")):
+            if (side == "p" and not prev) or (side == "n" and not nxt):
+                continue
+            carry_cols.append(F.last(f"_{tag}v_{c}", ignorenulls=True).over(win).alias(f"_{side}inv_{c}"))
+            if positions:
+                carry_cols.append(F.last(f"_{tag}r_{c}", ignorenulls=True).over(win).alias(f"_{side}inr_{c}"))
     carry = summ.select(*keys, blk, *carry_cols)
     d = d.join(carry, keys + [blk], "left")
     wf = Window.partitionBy(*keys, blk).orderBy(order).rowsBetween(UNB_PRE, 0)
     wb = Window.partitionBy(*keys, blk).orderBy(order.desc()).rowsBetween(UNB_PRE, 0)
-    out = []
+    inner = {}
     for c in cols:
-        if prev:
-            out.append(F.coalesce(F.last(pv[c], ignorenulls=True).over(wf),
-                                  F.col(f"_pin_{c}")).alias(f"_prev_{c}"))
-        if nxt:
-            out.append(F.coalesce(F.last(pv[c], ignorenulls=True).over(wb),
-                                  F.col(f"_nin_{c}")).alias(f"_next_{c}"))
-    drop = [f"_pin_{c}" for c in cols if prev] + [f"_nin_{c}" for c in cols if nxt]
-    return d.select("*", *out).drop(*drop, "_blk")
+        for side, win in (("p", wf), ("n", wb)):
+            if (side == "p" and not prev) or (side == "n" and not nxt):
+                continue
+            inner[f"_{side}wv_{c}"] = F.last(c, ignorenulls=True).over(win)
+            if positions:
+                inner[f"_{side}wr_{c}"] = F.last(rn_if[c], ignorenulls=True).over(win)
+    d = d.withColumns(inner)
+    out = {}
+    for c in cols:
+        for side, name in (("p", f"_prev_{c}"), ("n", f"_next_{c}")):
+            if (side == "p" and not prev) or (side == "n" and not nxt):
+                continue
+            wv, cv = F.col(f"_{side}wv_{c}"), F.col(f"_{side}inv_{c}")
+            if positions:
+                wr, cr = F.col(f"_{side}wr_{c}"), F.col(f"_{side}inr_{c}")
+                out[name] = (F.when(wr.isNotNull(), F.struct(wr.alias("r"), wv.alias("v")))
+                              .when(cr.isNotNull(), F.struct(cr.alias("r"), cv.alias("v"))))
+            else:
+                out[name] = F.coalesce(wv, cv)
+    d = d.withColumns(out)
+    helpers = [x for x in d.columns if x[:4] in ("_pwv", "_pwr", "_nwv", "_nwr", "_pin", "_nin")]
+    return d.drop(*helpers, "_blk")

@@ -31,8 +31,12 @@ def con():
     return c
 
 
-def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+ROWS_ONLY = {"ml03_06_tier1_models", "ml13_ridge_stack", "ml17_forecast_models"}
+
+
+def test_every_query_has_an_oracle_except_mllib():
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
 
 
 @pytest.mark.parametrize("name", FAST)
