@@ -268,8 +268,8 @@ def q_ml08_r2_weights(spark, sf):
     return normalise(E.r2_weights(_cands(spark, sf), ["param"], EV.BASE_MODELS))
 
 
-def _all_models(spark, sf) -> DataFrame:
-    c = _cands(spark, sf)
+def _all_models(spark, sf, c: DataFrame | None = None) -> DataFrame:
+    c = c if c is not None else _cands(spark, sf)
     w = E.r2_weights(c, ["param"], EV.BASE_MODELS)
     blend = E.weighted_blend(c, w, ["param"])
     return c.unionByName(blend).persist(StorageLevel.MEMORY_AND_DISK)
@@ -369,10 +369,11 @@ def q_ml02_robust_scale(spark, sf):
 def q_ml17_forecast_baseline(spark, sf):
     """Next-year forecast with each parameter's chosen candidate (ML17, ML21 last value)."""
     obs = _clean(spark, sf)
-    allm = _all_models(spark, sf)
+    c = _cands(spark, sf)
+    allm = _all_models(spark, sf, c)
     met = regression_metrics(allm, ["param", "model"])
     pick = E.choose(met, ["param"], EV.CHOICE_ORDER).select("param", "chosen_model")
-    w = E.r2_weights(_cands(spark, sf), ["param"], EV.BASE_MODELS)
+    w = E.r2_weights(c, ["param"], EV.BASE_MODELS)
     last = obs.groupBy("site", "param").agg(F.max_by("value", "ts").alias("last_value"))
     train = obs.where(EV.split_col("ts") == "train")
     tmean = train.groupBy("site", "param").agg(F.avg("value").alias("train_mean"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from seriescast.operators import rolling as R
 from seriescast.operators.fill import clean
-from seriescast.operators.series import Series
+from seriescast.operators.series import Series, reused
 from seriescast.sources.fixtures import observations_long, split_col
 
 BASE_MODELS = ["persistence", "roll7", "climatology"]
@@ -42,7 +42,7 @@ def candidates(obs: DataFrame, s: Series | None = None) -> DataFrame:
         "persistence": R.lag_bfill(v, 1),
         "roll7": lambda w: F.coalesce(F.avg(v).over(w.rowsBetween(-7, -1)), F.col(v)),
     }], halo=8)
-    feats = feats.withColumn("split", split_col(s.order))
+    feats = reused(feats.withColumn("split", split_col(s.order)))   # read by three branches
     train = feats.where(F.col("split") == "train")
     keys = s.k
     tmean = train.groupBy(*keys).agg(F.avg(v).alias("train_mean"))
