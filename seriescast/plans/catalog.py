@@ -240,10 +240,17 @@ def q_ph_features(spark, sf):
 
 
 # ---------------------------------------------------------------- predictions, metrics
-def _cands(spark, sf) -> DataFrame:
-    """Candidates are read by several branches (weights, blend, metrics): persisted once."""
-    c = EV.candidates(_clean(spark, sf), S).where(F.col("predicted").isNotNull())
-    return c.persist(StorageLevel.MEMORY_AND_DISK)
+IDS = ["site", "param", "ts"]
+
+
+def _cands_wide(spark, sf) -> DataFrame:
+    """Candidates, one column per model, read by several branches: persisted once."""
+    return EV.candidates_wide(_clean(spark, sf), S).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _cands(spark, sf, cw: DataFrame | None = None) -> DataFrame:
+    cw = cw if cw is not None else _cands_wide(spark, sf)
+    return EV.to_long(cw, EV.BASE_MODELS, IDS)
 
 
 def q_er_prediction_errors(spark, sf):
@@ -268,11 +275,15 @@ def q_ml08_r2_weights(spark, sf):
     return normalise(E.r2_weights(_cands(spark, sf), ["param"], EV.BASE_MODELS))
 
 
-def _all_models(spark, sf, c: DataFrame | None = None) -> DataFrame:
-    c = c if c is not None else _cands(spark, sf)
-    w = E.r2_weights(c, ["param"], EV.BASE_MODELS)
-    blend = E.weighted_blend(c, w, ["param"])
-    return c.unionByName(blend).persist(StorageLevel.MEMORY_AND_DISK)
+def _all_models(spark, sf, cw: DataFrame | None = None) -> DataFrame:
+    """Candidates plus the R^2-weighted blend, long.  The blend is a projection of the
+    wide candidates joined to the per-parameter weight row (one row per parameter),
+    so no row-level shuffle is needed."""
+    cw = cw if cw is not None else _cands_wide(spark, sf)
+    w = E.r2_weights(_cands(spark, sf, cw), ["param"], EV.BASE_MODELS)
+    ww, blend = EV.weighted_column(w, EV.BASE_MODELS, ["param"])
+    wide = cw.join(ww, "param").withColumn("weighted", blend)
+    return EV.to_long(wide, EV.BASE_MODELS + ["weighted"], IDS)
 
 
 def _chosen(spark, sf) -> DataFrame:
@@ -369,11 +380,11 @@ def q_ml02_robust_scale(spark, sf):
 def q_ml17_forecast_baseline(spark, sf):
     """Next-year forecast with each parameter's chosen candidate (ML17, ML21 last value)."""
     obs = _clean(spark, sf)
-    c = _cands(spark, sf)
-    allm = _all_models(spark, sf, c)
+    cw = _cands_wide(spark, sf)
+    allm = _all_models(spark, sf, cw)
     met = regression_metrics(allm, ["param", "model"])
     pick = E.choose(met, ["param"], EV.CHOICE_ORDER).select("param", "chosen_model")
-    w = E.r2_weights(c, ["param"], EV.BASE_MODELS)
+    w = E.r2_weights(_cands(spark, sf, cw), ["param"], EV.BASE_MODELS)
     last = obs.groupBy("site", "param").agg(F.max_by("value", "ts").alias("last_value"))
     train = obs.where(EV.split_col("ts") == "train")
     tmean = train.groupBy("site", "param").agg(F.avg("value").alias("train_mean"))
@@ -415,8 +426,7 @@ def q_ml03_06_tier1_models(spark, sf):
 
 def q_ml13_ridge_stack(spark, sf):
     """ML13 on the baseline candidates: ridge (alpha 1) coefficients per parameter."""
-    wide = E.wide_candidates(_cands(spark, sf), ["site", "ts", "param"], EV.BASE_MODELS)
-    return normalise(E.ridge_fit(wide, ["param"], EV.BASE_MODELS, alpha=1.0))
+    return normalise(E.ridge_fit(_cands_wide(spark, sf), ["param"], EV.BASE_MODELS, alpha=1.0))
 
 
 def q_ml17_forecast_models(spark, sf):

@@ -34,8 +34,9 @@ def cleaned(spark: SparkSession, sf_dir: str, grain: str = "supp", s: Series | N
     return clean(observations_long(spark, sf_dir, grain), s)
 
 
-def candidates(obs: DataFrame, s: Series | None = None) -> DataFrame:
-    """Long candidates on the test split: ``site, param, ts, model, actual, predicted, train_mean``."""
+def candidates_wide(obs: DataFrame, s: Series | None = None) -> DataFrame:
+    """Test-split rows with one column per candidate:
+    ``site, param, ts, actual, train_mean, persistence, roll7, climatology``."""
     s = s or Series()
     v = s.value
     feats = R.trailing(obs, s, [{
@@ -52,6 +53,28 @@ def candidates(obs: DataFrame, s: Series | None = None) -> DataFrame:
                  .join(tmean, keys, "left")
                  .join(mmean, keys + ["_m"], "left")
                  .withColumn("climatology", F.coalesce(F.col("_clim"), F.col("train_mean"))))
-    arr = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in BASE_MODELS])
-    out = test.select(*keys, s.order, F.col(v).alias("actual"), "train_mean", F.explode(arr).alias("_c"))
-    return out.select(*keys, s.order, "_c.model", "actual", "_c.predicted", "train_mean")
+    return test.select(*keys, s.order, F.col(v).alias("actual"), "train_mean", *BASE_MODELS)
+
+
+def to_long(wide: DataFrame, models: list[str], ids: list[str]) -> DataFrame:
+    """``ids..., model, actual, predicted, train_mean`` from model columns; rows without a
+    prediction are left out."""
+    arr = F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("predicted")) for m in models])
+    out = wide.select(*ids, "actual", "train_mean", F.explode(arr).alias("_c"))
+    return (out.select(*ids, "_c.model", "actual", "_c.predicted", "train_mean")
+               .where(F.col("predicted").isNotNull()))
+
+
+def candidates(obs: DataFrame, s: Series | None = None) -> DataFrame:
+    """Long candidates on the test split: ``site, param, ts, model, actual, predicted, train_mean``."""
+    s = s or Series()
+    return to_long(candidates_wide(obs, s), BASE_MODELS, s.k + [s.order])
+
+
+def weighted_column(weights: DataFrame, models: list[str], keys: list[str]) -> tuple[DataFrame, object]:
+    """Per-key weight table pivoted wide (one row per key) and the blend expression
+    ``sum(w_m * m)`` over the members present on the row."""
+    ww = weights.groupBy(*keys).pivot("model", models).agg(F.first("weight"))
+    ww = ww.select(*keys, *[F.col(m).alias(f"_w_{m}") for m in models])
+    terms = [F.coalesce(F.col(f"_w_{m}") * F.col(m), F.lit(0.0)) for m in models]
+    return ww, sum(terms[1:], terms[0])
