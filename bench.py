@@ -15,20 +15,27 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from seriescast.config import PARAMS  # noqa: E402
 from seriescast.plans import catalog  # noqa: E402
-from seriescast.plans.features import build_matrix  # noqa: E402
-from seriescast.plans.tiers import TIER3  # noqa: E402
+from seriescast.plans.features import build_matrix, long_features  # noqa: E402
+from seriescast.plans.tiers import TIER1, TIER3  # noqa: E402
 from seriescast.session import build_session  # noqa: E402
 from seriescast.sources.fixtures import observations_long, split_col  # noqa: E402
 from seriescast.operators.fill import clean  # noqa: E402
 from seriescast.operators.series import Series  # noqa: E402
 
 
-def tier3_matrix(spark, sf):
-    """The reference's largest feature builder (699 columns) over every site."""
+def _obs(spark, sf):
     obs = observations_long(spark, sf, "supp").withColumn("split", split_col("ts"))
-    obs = clean(obs, Series(keys=("site", "split", "param"))).drop("rn", "n", "_tb")
-    matrix, feats = build_matrix(obs, TIER3, PARAMS)
-    return matrix
+    return clean(obs, Series(keys=("site", "split", "param"))).drop("rn", "n", "_tb")
+
+
+def tier1_matrix(spark, sf):
+    """Tier-1 feature matrix (59 columns) over every site, pivot included."""
+    return build_matrix(_obs(spark, sf), TIER1, PARAMS)[0]
+
+
+def tier3_long(spark, sf):
+    """All 65 per-parameter tier-3 features, long form (before the 699-column pivot)."""
+    return long_features(_obs(spark, sf), TIER3)
 
 
 HEADLINE = {
@@ -44,7 +51,8 @@ HEADLINE = {
     "variance_summary": catalog.q_ag08_09_variance_summary,
     "range_breakdown": catalog.q_ag14_15_range_breakdown,
     "forecast_baseline": catalog.q_ml17_forecast_baseline,
-    "tier3_feature_matrix": tier3_matrix,
+    "tier1_feature_matrix": tier1_matrix,
+    "tier3_long_features": tier3_long,
 }
 
 
