@@ -53,11 +53,12 @@ def overall_in_range(summary: DataFrame) -> DataFrame:
 def range_counts(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Long form of AG14: ``keys, range_order, range, count`` for all six ranges (zeros kept)."""
     keys = keys or ["param"]
-    d = reused(with_ratio(pred).withColumn("range", range_label("pct_variance")))
+    d = with_ratio(pred).withColumn("range", range_label("pct_variance"))
     cnt = d.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("count"))
     labels = F.array(*[F.struct(F.lit(i).alias("range_order"), F.lit(lab).alias("range"))
                        for i, lab in enumerate(RANGE_LABELS)])
-    grid = d.select(*keys).distinct().select(*keys, F.explode(labels).alias("_l")).select(
+    # every key with rows has at least one count row: the grid comes from the small table
+    grid = cnt.select(*keys).distinct().select(*keys, F.explode(labels).alias("_l")).select(
         *keys, "_l.range_order", "_l.range")
     return (grid.join(cnt, keys + ["range"], "left")
                 .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
