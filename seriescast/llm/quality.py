@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from seriescast.llm.text import WHITE, words
 
 SYMBOLS = "#*$%&|<>"
-SAMPLE_ROWS = 500
+SAMPLE_ROWS, SAMPLE_CHARS = 400, 20_000
 
 
 def _let(value: Column, fn: Callable[[Column], Column]) -> Column:
@@ -93,8 +93,11 @@ def order_rules(docs: DataFrame, text_col: str = "text", rules: Mapping[str, Rul
                 sample_rows: int = SAMPLE_ROWS) -> list[str]:
     """Rule names by rejection per cost, measured on ``sample_rows`` documents.
 
-    The sample only fixes the order of evaluation, never which documents go."""
-    sample = docs.select(F.col(text_col).alias("text")).limit(sample_rows).persist()
+    The sample (read from the first partitions that have enough rows, texts of at
+    most ``SAMPLE_CHARS``, so of bounded size) only fixes the order of evaluation,
+    never which documents go."""
+    rows = docs.select(F.col(text_col).alias("text")).where(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
+    sample = docs.sparkSession.createDataFrame(rows, "text string").persist()
     try:
         n = max(1, sample.count())
         gain = {}
