@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm import superkmer as S
-from seriescast.llm.text import checkpointed, covered, runs, utf8, word_hashes
+from seriescast.llm.text import checkpointed, covered, runs, utf8, word_hashes, written
 
 WINDOW = 50
 GRAM = 8
@@ -77,7 +77,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Ids must be integers (their order decides which copy stays)."""
     read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = checkpointed(S.scan(read, _find, kind))
+    found = written(S.scan(read, _find, kind))
     live = S.anchors_in_common(found, F.min("doc_id") < F.max("doc_id"))
     distinct = checkpointed(live.groupBy("anchor", "digest").agg(
         F.min(F.struct("doc_id", "start", "nwin")).alias("f"), F.max("doc_id").alias("last")))
@@ -85,7 +85,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     several = (distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a")))
     wanted = distinct.join(several, F.expr("anchor = a"), "left_semi").select(
         "f.doc_id", "anchor", "digest", F.col("f.doc_id").cast("long").alias("rank"), "f.start", "f.nwin")
-    strings = checkpointed(S.fetch(read, wanted, _cut))
+    strings = written(S.fetch(read, wanted, _cut))
     usual, hot = S.split_hot(strings)
     parts = S.in_buckets(usual, _judge).unionByName(
         S.by_window(hot, _digests, F.expr("rank > first"), [F.min("rank").alias("first")]))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm import superkmer as S
-from seriescast.llm.text import BYTE_CODES, checkpointed, covered, runs, utf8
+from seriescast.llm.text import BYTE_CODES, checkpointed, covered, runs, utf8, written
 
 WINDOW = 200
 GRAM = 16
@@ -153,7 +153,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row per document: n_bytes, n_removed, kept (bytes), spans (byte ranges removed)."""
     read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
-    found = checkpointed(S.scan(read, _find, kind))
+    found = written(S.scan(read, _find, kind))
     live = S.anchors_in_common(found, (F.count("*") > 1) | F.max("again"))
     distinct = checkpointed(live.groupBy("anchor", "digest").agg(
         F.min(F.struct("doc_id", "start", "nwin")).alias("f"), F.count("*").alias("n"), F.max("again").alias("again")))
@@ -162,7 +162,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
              .where("least = 1 AND (k > 1 OR g)").select(F.col("anchor").alias("a")))
     wanted = distinct.join(open_, F.expr("anchor = a"), "left_semi").select(
         "f.doc_id", "anchor", "digest", F.lit(0).cast("long").alias("rank"), "f.start", "f.nwin")
-    strings = checkpointed(S.fetch(read, wanted, _cut))
+    strings = written(S.fetch(read, wanted, _cut))
     usual, hot = S.split_hot(strings)
     parts = S.in_buckets(usual, _judge).unionByName(
         S.by_window(hot, _digests, F.expr("times > 1"), [F.count("*").alias("times")]))
