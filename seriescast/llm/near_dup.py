@@ -9,16 +9,18 @@
 3. Inside a band bucket every member is paired with one centre.  Pairs whose
    bitmaps differ in more than ``SKETCH_LIMIT`` bits are far below the threshold and
    dropped; the others are confirmed on the full sets.
-4. Components of the confirmed links are found.  Buckets that still hold more
-   than one component pair every member outside the bucket's main component with
-   every member of another component, sketch filter and confirmation as before.
-   So each candidate pair is either confirmed, refuted, or inside one component
-   already; no bucket's pairs are listed whole, and no bucket is capped.
+4. Components of the confirmed links are found.  In buckets that still hold more
+   than one component every member outside the bucket's main component is compared
+   with the members of other components, by the bitmaps and then by wide ones
+   (``WIDE_HASHES`` samples, precise to about 0.05 in similarity); pairs that pass are
+   confirmed on the full sets.  So each candidate pair is either confirmed, refuted,
+   or inside one component already; no bucket's pairs are listed whole, none is capped.
 
 With bands of ``ROWS`` samples a pair at the threshold 0.85 shares no band with
 probability (1 - 0.85^6)^32 = 3e-7.  The sketch of 192 samples in 512 bits
 differs in about 52 bits at 0.85 (standard deviation 8 to 9); the limit 104
-lies six deviations above and stands for a similarity near 0.65.
+lies six deviations above and stands for a similarity near 0.65.  The wide one differs in about 530 bits at 0.85
+(standard deviation about 30); the limit 690 lies more than five deviations above, near 0.8.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
 fewer words than a shingle give one shingle of the whole sequence; repeated
@@ -38,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm.graph import components
-from seriescast.llm.text import LOWER, Rolling, checkpointed, mix, unused, utf8, word_hashes
+from seriescast.llm.text import LOWER, Rolling, checkpointed, mix, unused, utf8, word_hashes, written
 
 SHINGLE = 3
 THRESHOLD = 85         # per cent
@@ -46,11 +48,12 @@ BANDS, ROWS = 32, 6
 HASHES = BANDS * ROWS
 SKETCH_BITS = 512
 SKETCH_LIMIT = 104
+WIDE_HASHES, WIDE_BITS, WIDE_LIMIT = 2048, 4096, 690
 
 _RNG = np.random.default_rng(8)
-_MUL_LO = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_MUL_HI = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_SALT = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+_MUL_LO = _RNG.integers(1, 1 << 31, WIDE_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_MUL_HI = _RNG.integers(1, 1 << 31, WIDE_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_SALT = mix(np.arange(1, WIDE_HASHES + 1, dtype=np.uint64))
 
 
 def shingle_set(raw: bytes, k: int = SHINGLE) -> np.ndarray:
@@ -65,13 +68,13 @@ def shingle_set(raw: bytes, k: int = SHINGLE) -> np.ndarray:
     return np.unique(roll.slices(start, np.minimum(start + k, n)))
 
 
-def min_hashes(values: np.ndarray) -> np.ndarray:
-    """``HASHES`` MinHash samples of a non-empty set."""
+def min_hashes(values: np.ndarray, hashes: int = HASHES) -> np.ndarray:
+    """``hashes`` MinHash samples of a non-empty set."""
     lo, hi = values.astype(np.uint32), (values >> np.uint64(32)).astype(np.uint32)
-    out = np.full(HASHES, np.iinfo(np.uint32).max, dtype=np.uint32)
+    out = np.full(hashes, np.iinfo(np.uint32).max, dtype=np.uint32)
     for at in range(0, len(values), 1024):
-        part = lo[None, at: at + 1024] * _MUL_LO[:, None]
-        part += hi[None, at: at + 1024] * _MUL_HI[:, None]
+        part = lo[None, at: at + 1024] * _MUL_LO[:hashes, None]
+        part += hi[None, at: at + 1024] * _MUL_HI[:hashes, None]
         # a linear hash alone correlates the samples: fold the high half back and multiply again
         part ^= part >> np.uint32(15)
         part *= np.uint32(0x7FEB352D)
@@ -79,10 +82,10 @@ def min_hashes(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(samples: np.ndarray) -> np.ndarray:
+def sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     """Odd sketch: the parity of the samples that fall on each bit, as int64 words."""
-    bit = (mix(samples.astype(np.uint64) ^ _SALT) % np.uint64(SKETCH_BITS)).astype(np.int64)
-    odd = (np.bincount(bit, minlength=SKETCH_BITS) & 1).astype(np.uint8)
+    bit = (mix(samples.astype(np.uint64) ^ _SALT[: len(samples)]) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(bit, minlength=bits) & 1).astype(np.uint8)
     return np.packbits(odd).view(np.int64)
 
 
@@ -99,8 +102,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
             m = min_hashes(s)
-            bands.append(Rolling(m.astype(np.uint64), 0).slices(
-                np.arange(0, HASHES, ROWS), np.arange(ROWS, HASHES + 1, ROWS)).view(np.int64))
+            keys = Rolling(m.astype(np.uint64), 0).slices(np.arange(0, HASHES, ROWS), np.arange(ROWS, HASHES + 1, ROWS))
+            bands.append(mix(keys ^ _SALT[:BANDS]).view(np.int64))
             bits.append(sketch(m))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
@@ -115,6 +118,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                          names=["doc_id", "shingles"])
 
 
+def _wide_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        wide = [sketch(min_hashes(shingle_set(v.as_py()), WIDE_HASHES), WIDE_BITS) for v in batch["raw"]]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(wide, pa.list_(pa.int64()))],
+                                         names=["doc_id", "wide"])
+
+
 def _differ(x: str, y: str) -> Column:
     """Bits in which two sketches differ."""
     words = [F.bit_count(F.col(x)[i].bitwiseXOR(F.col(y)[i])) for i in range(SKETCH_BITS // 64)]
@@ -133,48 +143,65 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
     return (pairs.join(right, "b").join(left, "a").where(100 * both >= threshold * union).select("a", "b"))
 
 
+def _fetch_sets(text: DataFrame, ids: DataFrame) -> DataFrame:
+    """Shingle sets of the documents ``ids``.  The ids are a table of known size, so Spark
+    broadcasts them below its threshold and shuffles the texts beyond it."""
+    kind = text.schema["doc_id"].dataType.simpleString()
+    return text.join(written(ids), "doc_id", "left_semi").mapInArrow(_sets, f"doc_id {kind}, shingles array<long>")
+
+
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+
+
 def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(node, comp) of the class representatives ``reps`` that are linked with another one."""
-    buckets = checkpointed(
-        reps.select("doc_id", F.col("n_shingles").alias("n"), "bits", F.posexplode("bands").alias("band", "key")))
-    many = buckets.groupBy("band", "key").agg(F.min(F.struct("doc_id", "n", "bits")).alias("centre"),
-                                              F.max("doc_id").alias("last")).where("centre.doc_id <> last")
     # set sizes bound the similarity from above: min / max
     sizes = 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
     near = _differ("xa", "xb") <= SKETCH_LIMIT
-    star = checkpointed(
-        buckets.join(many.select("band", "key", F.col("centre.doc_id").alias("a"), F.col("centre.n").alias("na"),
-                                 F.col("centre.bits").alias("xa")), ["band", "key"])
-        .withColumnsRenamed({"doc_id": "b", "n": "nb", "bits": "xb"})
-        .where("a < b").where(sizes).where(near).select("a", "b").distinct())
-    nodes = star.select(F.col("a").alias("doc_id")).union(star.select(F.col("b").alias("doc_id"))).distinct()
-    text = docs.select("doc_id", "raw")
-    sets = checkpointed(text.join(nodes, "doc_id", "left_semi").mapInArrow(
-        _sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>"))
+    seen = reps.select("doc_id", F.col("n_shingles").alias("n"), "bits")
+
+    def with_sketch(df: DataFrame, col: str) -> DataFrame:
+        return df.join(seen.select(F.col("doc_id").alias(col), F.col("n").alias(f"n{col}"), F.col("bits").alias(f"x{col}")), col)
+
+    # a band key already holds its band; buckets of one are dropped before anything wide travels
+    buckets = reps.select(F.explode("bands").alias("key"), "doc_id")
+    many = (buckets.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("last"))
+            .where("centre <> last").select("key", "centre"))
+    live = written(buckets.join(many, "key"))
+    pairs = live.where("centre < doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
+    star = written(with_sketch(with_sketch(pairs, "a"), "b").where(sizes).where(near).select("a", "b"))
+    sets = written(_fetch_sets(docs, _ids(star)))
     edges = checkpointed(confirm(star, sets, threshold))
     comp = components(edges)
 
-    # what the stars left open: members of a bucket outside its main component
-    member = (buckets.join(many.select("band", "key"), ["band", "key"])
-              .join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-              .withColumn("comp", F.coalesce("comp", "doc_id")))
-    # the main component of a bucket is its largest: rows per component, then the maximum
-    tops = (member.groupBy("band", "key", "comp").agg(F.count("*").alias("rows")).groupBy("band", "key")
-            .agg(F.max(F.struct("rows", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1"))
-    open_ = checkpointed(member.join(tops.select("band", "key", F.col("main.comp").alias("main")), ["band", "key"]))
-    outer = open_.where("comp <> main").select("band", "key", F.col("doc_id").alias("p"), F.col("n").alias("na"),
-                                               F.col("bits").alias("xa"), F.col("comp").alias("ca"))
-    inner = open_.withColumnsRenamed({"doc_id": "q", "n": "nb", "bits": "xb", "comp": "cb"})
-    rest = checkpointed(
-        outer.join(inner, ["band", "key"]).where("ca <> cb").where(sizes).where(near)
-        .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-        .join(star, ["a", "b"], "left_anti"))
+    # what the stars left open: members of a bucket outside its main component, its largest
+    member = (live.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+              .select("key", "doc_id", F.coalesce("comp", "doc_id").alias("comp")))
+    tops = (member.groupBy("key", "comp").agg(F.count("*").alias("rows")).groupBy("key")
+            .agg(F.max(F.struct("rows", "comp")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1")
+            .select("key", F.col("main.comp").alias("main")))
+    open_ = written(member.join(tops, "key"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    wide = written(docs.join(written(open_.select("doc_id").distinct()), "doc_id", "left_semi")
+                   .mapInArrow(_wide_sketches, f"doc_id {kind}, wide array<long>"))
+    open_ = open_.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits", "bands"), "doc_id").join(wide, "doc_id")
+    outer = open_.where("comp <> main").select("key", F.col("doc_id").alias("p"), F.col("n").alias("na"),
+                                               F.col("bits").alias("xa"), F.col("comp").alias("ca"), "main",
+                                               F.col("wide").alias("ya"), F.col("bands").alias("ba"))
+    inner = open_.select("key", F.col("doc_id").alias("q"), F.col("n").alias("nb"), F.col("bits").alias("xb"),
+                         F.col("comp").alias("cb"), F.col("wide").alias("yb"), F.col("bands").alias("bb"))
+    nearer = F.aggregate(F.zip_with("ya", "yb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
+                         lambda s, v: s + v) <= WIDE_LIMIT
+    # two members outside the main component meet once in a bucket, and in their first bucket only
+    first = F.array_min(F.array_intersect("ba", "bb")) == F.col("key")
+    once = F.expr("ca <> cb AND (cb = main OR p < q)")
+    rest = (outer.join(inner, "key").where(once).where(sizes).where(near).where(nearer).where(first)
+            .select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct())
+    rest = written(rest.join(star, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return comp
-    more = rest.select(F.col("a").alias("doc_id")).union(rest.select(F.col("b").alias("doc_id"))).distinct()
-    lacking = more.join(sets.select("doc_id"), "doc_id", "left_anti")
-    late = text.join(lacking, "doc_id", "left_semi").mapInArrow(
-        _sets, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, shingles array<long>")
+    late = _fetch_sets(docs, _ids(rest).join(sets.select("doc_id"), "doc_id", "left_anti"))
     found = checkpointed(confirm(rest, sets.unionByName(late), threshold))
     return comp if found.isEmpty() else components(edges.unionByName(found))
 
@@ -184,11 +211,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, set size, component (smallest id reachable) and ``kept``."""
     read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
-    signed = checkpointed(read.mapInArrow(
+    signed = written(read.mapInArrow(
         _signatures, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, bits array<long>"))
-    first = signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    first = checkpointed(first)
-    reps = signed.join(first.withColumnRenamed("digest", "d"), F.expr("digest = d AND doc_id = rep")).drop("d", "rep")
+    first = written(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    reps = written(signed.select("doc_id", "n_shingles", "bands", "bits")
+                   .join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
     comp = links(read, reps, threshold)
     named = first.join(comp, first["rep"] == comp["node"], "left").select(
         "digest", F.coalesce("comp", "rep").alias("component_id"))
