@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriescast.llm.text import utf8
+from seriescast.llm.text import only_ids, utf8
 
 ORDER = 4
 SIZE = 64
@@ -106,7 +106,7 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
     read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
     ids = target.select(F.col(target.columns[0]).alias("doc_id")).distinct()
     back = count_grams(read.select("raw"))
-    aim = count_grams(read.join(ids, "doc_id", "left_semi").select("raw")).select("gram", F.col("n").alias("m"))
+    aim = count_grams(only_ids(read, ids).select("raw")).select("gram", F.col("n").alias("m"))
     both = back.join(aim, "gram", "left").select("gram", "n", F.coalesce("m", F.lit(0)).alias("m")).toPandas()
     both = both.sort_values("gram")  # at most 64^4 rows
     grams = both["gram"].to_numpy().astype(np.uint32)

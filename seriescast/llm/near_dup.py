@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm.graph import components
-from seriescast.llm.text import LOWER, Rolling, checkpointed, mix, unused, utf8, word_hashes, written
+from seriescast.llm.text import LOWER, Rolling, checkpointed, mix, only_ids, unused, utf8, word_hashes, written
 
 SHINGLE = 3
 THRESHOLD = 85         # per cent
@@ -144,10 +144,9 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
 
 
 def _fetch_sets(text: DataFrame, ids: DataFrame) -> DataFrame:
-    """Shingle sets of the documents ``ids``.  The ids are a table of known size, so Spark
-    broadcasts them below its threshold and shuffles the texts beyond it."""
+    """Shingle sets of the documents ``ids``."""
     kind = text.schema["doc_id"].dataType.simpleString()
-    return text.join(written(ids), "doc_id", "left_semi").mapInArrow(_sets, f"doc_id {kind}, shingles array<long>")
+    return only_ids(text, ids).mapInArrow(_sets, f"doc_id {kind}, shingles array<long>")
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
@@ -183,7 +182,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataF
             .select("key", F.col("main.comp").alias("main")))
     open_ = written(member.join(tops, "key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    wide = written(docs.join(written(open_.select("doc_id").distinct()), "doc_id", "left_semi")
+    wide = written(only_ids(docs, open_.select("doc_id").distinct())
                    .mapInArrow(_wide_sketches, f"doc_id {kind}, wide array<long>"))
     open_ = open_.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits", "bands"), "doc_id").join(wide, "doc_id")
     outer = open_.where("comp <> main").select("key", F.col("doc_id").alias("p"), F.col("n").alias("na"),

@@ -69,6 +69,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """The rows of ``docs`` whose ``doc_id`` is in ``ids`` (one column, distinct).  Up to ``most``
+    ids (counted first) are broadcast and the texts stay where they are; more are joined
+    by shuffling both sides."""
+    ids = written(ids.toDF("doc_id"))
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids.hint("merge"), "doc_id", "left_semi")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser over uint64 (multiply, xor-shift)."""
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)

@@ -72,15 +72,15 @@ def features(raw: bytes) -> np.ndarray:
 def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights (dense over ``DIMENSIONS``) and intercept, by full-batch Adam on the nnPU risk
     with the logistic loss."""
-    at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    feats = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int32)
     n_p, n_u = int(positive.sum()), int((~positive).sum())
-    in_p = np.bincount(feats[positive[at]], minlength=DIMENSIONS)
-    in_u = np.bincount(feats[~positive[at]], minlength=DIMENSIONS)
+    in_p, in_u = np.zeros(DIMENSIONS, dtype=np.int32), np.zeros(DIMENSIONS, dtype=np.int32)
+    for r, p in zip(rows, positive):
+        (in_p if p else in_u)[r] += 1
     use = (in_p >= LEAST) & (in_p / max(1, n_p) >= LIFT * (in_u + 1) / max(1, n_u))
     column = np.cumsum(use) - 1
-    keep = use[feats]
-    at, col = at[keep], column[feats[keep]]
+    cols = [column[r[use[r]]] for r in rows]
+    at = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
+    col = np.concatenate(cols) if cols else np.zeros(0, dtype=np.int64)
     width = int(use.sum())
     w, b = np.zeros(width), float(np.log(prior / (1 - prior)))
     theta = np.append(w, b)
