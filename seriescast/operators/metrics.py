@@ -38,7 +38,9 @@ def regression_metrics(pred: DataFrame, keys: list[str], actual: str = "actual",
     ]
     has_base = train_mean is not None and train_mean in pred.columns
     if has_base:
-        aggs.append(F.avg((a - F.col(train_mean)) * (a - F.col(train_mean))).alias("_base"))
+        # one row set for both errors: a group with a row without a train mean has no improvement
+        aggs.append(F.when(F.count(train_mean) == F.count(F.lit(1)),
+                           F.avg((a - F.col(train_mean)) * (a - F.col(train_mean)))).alias("_base"))
     m = pred.groupBy(*keys).agg(*aggs)
     sst = F.col("_var_a") * F.col("n")
     r2 = (F.when(sst == 0, F.when(F.col("_sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))

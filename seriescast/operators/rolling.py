@@ -86,61 +86,19 @@ def kurt(c: str, k: int) -> Expr:
 
 def moment_stages(c: str, windows: list[int], which: tuple[str, ...] = ("skew", "kurt"),
                   prefix: str | None = None) -> list[dict[str, Expr]]:
-    """WN4 + WN5 in O(1) per row: running power sums instead of re-aggregated frames.
-
-    Per block partition: centre ``z`` = the partition mean, running sums
-    ``P_m = sum((x - z)^m)`` (m = 0..4; ``UNBOUNDED PRECEDING`` frames are
-    incremental) and the length of the run of equal values ending at the row.
-    Per window ``k``: frame sums ``S_m = P_m - lag(P_m, k)``, central moments from
-    them, the adjusted G1 / G2.  A frame inside one run of equal values is
-    constant (skew 0, kurtosis -3); fewer than 3 / 4 rows give 0.  Centring on
-    the partition keeps the power sums small; blocks of a few hundred rows
-    (``trailing(..., block_rows=256)``) bound them further.  Helper columns start
-    with ``__`` and are dropped by ``trailing``.
-    """
-    p = prefix if prefix is not None else c
-    x = F.col(c)
-    st1: dict[str, Expr] = {"__mz": lambda w: F.avg(c).over(w.rowsBetween(UNB_PRE, UNB_FOL))}
-    st2: dict[str, Expr] = {
-        "__mstart": lambda w: F.when(F.coalesce(x != F.lag(c, 1).over(w), F.lit(True)), F.col("rn"))}
-    for m in range(5):
-        term = F.when(x.isNotNull(), F.lit(1.0)) if m == 0 else F.pow(x - F.col("__mz"), F.lit(float(m)))
-        st2[f"__mp{m}"] = (lambda t: lambda w: F.sum(t).over(w.rowsBetween(UNB_PRE, 0)))(term)
-    st3: dict[str, Expr] = {
-        "__mrun": lambda w: F.col("rn") - F.last("__mstart", ignorenulls=True).over(
-            w.rowsBetween(UNB_PRE, 0)) + 1}
-    st4: dict[str, Expr] = {}
-
-    def sums(w, k):
-        return [F.col(f"__mp{m}") - F.coalesce(F.lag(f"__mp{m}", k).over(w), F.lit(0.0)) for m in range(5)]
-
-    def skew_fn(w, k):
-        s0, s1, s2, s3, _ = sums(w, k)
-        mu = s1 / s0
-        m2 = s2 - s1 * mu
-        m3 = s3 - 3 * mu * s2 + 2 * s0 * mu * mu * mu
-        adj = F.sqrt(s0) * m3 / F.pow(m2, F.lit(1.5)) * F.sqrt(s0 * (s0 - 1)) / (s0 - 2)
-        return (F.when(s0 < 3, F.lit(0.0)).when((F.col("__mrun") >= s0) | (m2 <= 0), F.lit(0.0))
-                 .otherwise(F.coalesce(adj, F.lit(0.0))))
-
-    def kurt_fn(w, k):
-        s0, s1, s2, s3, s4 = sums(w, k)
-        mu = s1 / s0
-        m2 = s2 - s1 * mu
-        m4 = s4 - 4 * mu * s3 + 6 * mu * mu * s2 - 3 * s0 * mu * mu * mu * mu
-        g2 = s0 * m4 / (m2 * m2) - 3
-        adj = (s0 - 1) / ((s0 - 2) * (s0 - 3)) * ((s0 + 1) * g2 + 6)
-        return (F.when(s0 < 4, F.lit(0.0)).when((F.col("__mrun") >= s0) | (m2 <= 0), F.lit(-3.0))
-                 .otherwise(F.coalesce(adj, F.lit(0.0))))
+    """WN4 + WN5 for windows of 7 rows or more, by Spark's moment aggregates over each frame.
 
+    Differences of running power sums would cost O(1) per row, but one storm in a
+    block destroys the digits of every later window; the frame aggregates never
+    subtract, so heavy-tailed series come out right at any block size."""
+    p = prefix if prefix is not None else c
+    out: dict[str, Expr] = {}
     for k in windows:
-        if k < 7:
-            continue
-        if "skew" in which:
-            st4[f"{p}_rolling_skew_{k}"] = (lambda kk: lambda w: skew_fn(w, kk))(k)
-        if "kurt" in which:
-            st4[f"{p}_rolling_kurt_{k}"] = (lambda kk: lambda w: kurt_fn(w, kk))(k)
-    return [st1, st2, st3, st4]
+        if k >= 7 and "skew" in which:
+            out[f"{p}_rolling_skew_{k}"] = skew(c, k)
+        if k >= 7 and "kurt" in which:
+            out[f"{p}_rolling_kurt_{k}"] = kurt(c, k)
+    return [out]
 
 
 def lag_bfill(c: str, k: int) -> Expr:

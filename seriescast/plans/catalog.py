@@ -88,8 +88,9 @@ def _day(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("ts", "day")
 
 
-def _clean(spark, sf) -> DataFrame:
-    return EV.cleaned(spark, sf, "supp", S)
+def _clean(spark, sf, param: str | None = None) -> DataFrame:
+    """The cleaned series; with ``param`` only that parameter is read into the clean."""
+    return EV.cleaned(spark, sf, "supp", S, param)
 
 
 def _features(spark, sf, exprs: dict, halo: int, stages: list | None = None) -> DataFrame:
@@ -136,7 +137,7 @@ def q_wn03_rolling_min_max(spark, sf):
 
 def _moments(spark, sf, which: str) -> DataFrame:
     stages = R.moment_stages("value", WINDOWS, (which,), "v")
-    out = R.trailing(_clean(spark, sf), S, stages, halo=90, block_rows=256)
+    out = R.trailing(_clean(spark, sf), S, stages, halo=90)
     names = [n for n in stages[-1]]
     return out.select("site", "param", F.col("ts").alias("day"), *names)
 
@@ -150,7 +151,7 @@ def q_wn05_rolling_kurt(spark, sf):
 
 
 def q_wn06_rain_rolling_sum(spark, sf):
-    d = _clean(spark, sf).where(F.col("param") == "PRECTOTCORR")
+    d = _clean(spark, sf, "PRECTOTCORR")
     out = R.trailing(d, S, [{"precip_cumsum_7": R.vsum("value", 7),
                              "precip_cumsum_30": R.vsum("value", 30)}], halo=30)
     return normalise(_day(out.select("site", "ts", "precip_cumsum_7", "precip_cumsum_30")))
@@ -165,7 +166,7 @@ def q_wn08_diffs(spark, sf):
 
 
 def q_wn09_pressure_tendency(spark, sf):
-    d = _clean(spark, sf).where(F.col("param") == "PS")
+    d = _clean(spark, sf, "PS")
     out = R.trailing(d, S, [{"pressure_tendency_3day": R.diff("value", 3, fill0=False),
                              "pressure_tendency_7day": R.diff("value", 7, fill0=False)}], halo=7)
     out = sweep(out, S, ["pressure_tendency_3day", "pressure_tendency_7day"])
@@ -193,7 +194,7 @@ def q_wn12_13_ewm(spark, sf):
 
 
 def q_wn17_18_spells(spark, sf):
-    d = _clean(spark, sf).where(F.col("param") == "PRECTOTCORR")
+    d = _clean(spark, sf, "PRECTOTCORR")
     out = spells(d, S)
     return normalise(_day(out.select("site", "ts", "dry_spell_length", "wet_spell_length")))
 

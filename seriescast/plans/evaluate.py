@@ -28,10 +28,12 @@ CHOICE_ORDER = ["weighted", "persistence", "roll7", "climatology"]
 FIXED_BLEND = {"persistence": 0.6, "climatology": 0.4}
 
 
-def cleaned(spark: SparkSession, sf_dir: str, grain: str = "supp", s: Series | None = None) -> DataFrame:
-    """Long observations, sentinels nulled and gaps interpolated; with ``rn``, ``n``."""
-    s = s or Series()
-    return clean(observations_long(spark, sf_dir, grain), s)
+def cleaned(spark: SparkSession, sf_dir: str, grain: str = "supp", s: Series | None = None,
+            param: str | None = None) -> DataFrame:
+    """Long observations, sentinels nulled and gaps interpolated; with ``rn``, ``n``.
+    ``param`` keeps one parameter's rows before anything is numbered or filled."""
+    obs = observations_long(spark, sf_dir, grain)
+    return clean(obs if param is None else obs.where(F.col("param") == param), s or Series())
 
 
 def candidates_wide(obs: DataFrame, s: Series | None = None) -> DataFrame:

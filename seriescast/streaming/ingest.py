@@ -22,7 +22,7 @@ from seriescast.sources.csv import parse_lines
 
 def daily_files_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
     return (spark.readStream.format("text").option("maxFilesPerTrigger", max_files).load(folder)
-            .select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("_file")))
+            .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file")))
 
 
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str,

@@ -197,3 +197,38 @@ def test_prediction_file_roundtrip(spark, tmp_path):
     assert [(r.param, str(r.ts), r.actual, r.predicted) for r in back] == [
         ("PS", "2024-01-01", 1.0, 1.5), ("PS", "2024-01-02", 2.0, 2.5),
         ("T2M", "2024-01-01", 1.0, 1.5), ("T2M", "2024-01-02", 2.0, 2.5)]
+
+
+def test_daily_csv_files_with_one_base_name(spark, tmp_path):
+    from seriescast.sources.csv import read_daily_csv
+    for folder, text in (("x", "YEAR,MO,DY,T2M,PS\n2024,1,1,5.0,92.0\n"), ("y", "YEAR,MO,DY,PS,T2M\n 2024,1,2,92.5,5.5\n")):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "daily.csv").write_text(text)
+    out = read_daily_csv(spark, [str(tmp_path / "x"), str(tmp_path / "y")], params=["T2M", "PS"]).orderBy("ts").collect()
+    assert [(r.site, r.T2M, r.PS) for r in out] == [("daily", 5.0, 92.0), ("daily", 5.5, 92.5)]
+
+
+def test_daily_csv_without_header_fails(spark, tmp_path):
+    from seriescast.sources.csv import read_daily_csv
+    (tmp_path / "bare.csv").write_text("2024,1,1,5.0,92.0\n")
+    with pytest.raises(Exception, match="no header row"):
+        read_daily_csv(spark, str(tmp_path), params=["T2M", "PS"]).collect()
+
+
+def test_prediction_file_keeps_sites(spark, tmp_path):
+    from seriescast.sources.csv import read_predictions_csv
+    from seriescast.sources.sinks import predictions_wide, write_table
+    rows = [(s, "2024-01-01", p, v, v + 1) for s, v in (("a", 1.0), ("b", 2.0)) for p in ("T2M", "PS")]
+    pred = spark.createDataFrame(rows, "site string, d string, param string, actual double, predicted double")
+    out = str(tmp_path / "pred")
+    write_table(predictions_wide(pred.withColumn("ts", F.to_date("d")).drop("d"), ["T2M", "PS"]), out, fmt="csv")
+    back = read_predictions_csv(spark, out, ["T2M", "PS"])
+    assert sorted((r.site, r.param, r.actual) for r in back.collect()) == sorted((r[0], r[2], r[3]) for r in rows)
+
+
+def test_improvement_uses_one_row_set(spark):
+    from seriescast.operators.metrics import regression_metrics
+    df = spark.createDataFrame([("p", 1.0, 1.5, 2.0), ("p", 3.0, 2.5, None), ("q", 1.0, 2.0, 3.0)],
+                               "param string, actual double, predicted double, train_mean double")
+    got = {r["param"]: r["improvement"] for r in regression_metrics(df, ["param"]).collect()}
+    assert got["p"] is None and abs(got["q"] - 75.0) < 1e-9

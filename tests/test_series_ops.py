@@ -147,3 +147,19 @@ def test_moment_stages_match_pandas(spark):
                                        atol=1e-7)
             np.testing.assert_allclose(g[f"v_rolling_kurt_{k}"], s.rolling(k, min_periods=4).kurt().fillna(0),
                                        atol=1e-6)
+
+
+def test_moments_survive_a_storm(spark):
+    """Rain-like series with two storms, one block of 4,096 rows: no window near a storm loses digits."""
+    rng = np.random.default_rng(5)
+    v = np.where(rng.random(4000) < 0.2, rng.gamma(0.6, 6.0, 4000), 0.0) + rng.random(4000) * 0.05
+    v[1200], v[2600] = 180.0, 240.0
+    stages = R.moment_stages("value", [7, 14], prefix="v")
+    out = R.trailing(index_rows(_frame(spark, {"a": v.tolist()}), Series()), Series(), stages, halo=14)
+    got = _collect(out, list(stages[-1]))
+    s = pd.Series(v)
+    for k in (7, 14):
+        m = s.rolling(k).apply(lambda w: pd.Series(w - w.mean()).kurt(), raw=True)[k:]
+        np.testing.assert_allclose(got[f"v_rolling_kurt_{k}"].to_numpy()[k:], m, atol=1e-3)
+        m = s.rolling(k).apply(lambda w: pd.Series(w - w.mean()).skew(), raw=True)[k:]
+        np.testing.assert_allclose(got[f"v_rolling_skew_{k}"].to_numpy()[k:], m, atol=1e-4)
