@@ -19,6 +19,7 @@ from seriescast.plans.features import build_matrix, long_features  # noqa: E402
 from seriescast.plans.tiers import TIER1, TIER3  # noqa: E402
 from seriescast.session import build_session  # noqa: E402
 from seriescast.sources.fixtures import observations_long, split_col  # noqa: E402
+from seriescast.operators import rolling as R  # noqa: E402
 from seriescast.operators.fill import clean  # noqa: E402
 from seriescast.operators.series import Series  # noqa: E402
 
@@ -38,10 +39,20 @@ def tier3_long(spark, sf):
     return long_features(_obs(spark, sf), TIER3)
 
 
+def rolling_all(spark, sf):
+    """Mean, std, min and max over every window in one pass."""
+    return catalog._features(spark, sf, R.rolling_stats("value", catalog.WINDOWS, ("mean", "std", "min", "max"), "v"), 90)
+
+
+def rolling_moments(spark, sf):
+    """Skewness and kurtosis over every window in one pass."""
+    return catalog._features(spark, sf, R.moment_stages("value", catalog.WINDOWS, prefix="v")[0], 90)
+
+
 HEADLINE = {
     "clean_interpolate": catalog.q_wn14_interpolate,
-    "rolling_mean_std_minmax": lambda s, d: catalog.q_wn03_rolling_min_max(s, d),
-    "rolling_skew_kurt": catalog.q_wn05_rolling_kurt,
+    "rolling_mean_std_minmax": rolling_all,
+    "rolling_skew_kurt": rolling_moments,
     "lags_365": catalog.q_wn07_lags,
     "pct_change_sweep": catalog.q_wn10_pct_change,
     "ewm_block_scan": catalog.q_wn12_13_ewm,

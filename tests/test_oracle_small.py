@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from seriescast.plans import catalog, oracle
 from tests.conftest import SF_SMALL
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -36,7 +37,8 @@ ROWS_ONLY = {"ml03_06_tier1_models", "ml13_ridge_stack", "ml17_forecast_models"}
 
 def test_every_query_has_an_oracle_except_mllib():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == ROWS_ONLY
+    assert set(catalog.registry()) <= set(entry.queries())
+    assert set(catalog.registry()) - set(oracle.registry()) == ROWS_ONLY
 
 
 @pytest.mark.parametrize("name", FAST)
