@@ -106,7 +106,7 @@ def remove(read: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             n, gone, kept, left = [], [], [], []
             for raw, at in zip(batch["raw"], batch["spans"]):
-                ws = raw.as_py().split()
+                ws = S.unzipped(raw).split()
                 at = at.as_py()
                 n.append(len(ws))
                 if not at:
@@ -122,6 +122,6 @@ def remove(read: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
                  pa.array(left, pa.list_(S.RANGE))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    out = read.join(spans.withColumnRenamed("doc_id", "_id"), F.expr("doc_id = _id"), "left").select("doc_id", "raw", "spans")
+    out = S.zipped(read).join(spans.withColumnRenamed("doc_id", "_id"), F.expr("doc_id = _id"), "left").select("doc_id", "raw", "spans")
     return (out.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, spans array<struct<a:int,b:int>>")
             .withColumn("kept_text", F.col("kept").cast("string")).drop("kept"))

@@ -178,7 +178,7 @@ def remove(read: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
         for batch in batches:
             n, gone, kept, left = [], [], [], []
             for raw, at in zip(batch["raw"], batch["spans"]):
-                raw, at = raw.as_py(), at.as_py()
+                raw, at = S.unzipped(raw), at.as_py()
                 n.append(len(raw))
                 if not at:
                     gone.append(0)
@@ -193,5 +193,5 @@ def remove(read: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
                  pa.array(left, pa.list_(S.RANGE))], names=["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
-    out = read.join(spans.withColumnRenamed("doc_id", "_id"), F.expr("doc_id = _id"), "left").select("doc_id", "raw", "spans")
+    out = S.zipped(read).join(spans.withColumnRenamed("doc_id", "_id"), F.expr("doc_id = _id"), "left").select("doc_id", "raw", "spans")
     return out.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, kept binary, spans array<struct<a:int,b:int>>")
