@@ -21,7 +21,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,22 +96,6 @@ def anchors_in_common(found: DataFrame, common: Column) -> DataFrame:
     return checkpointed(found.join(shared, F.expr("anchor = a"), "left_semi"))
 
 
-def zipped(docs: DataFrame) -> DataFrame:
-    """(doc_id, raw) with ``raw`` zstd-compressed, for the joins that must move whole texts."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        z = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array([z.compress(v.as_py()) for v in batch["raw"]], pa.binary())],
-                names=["doc_id", "raw"])
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, raw binary")
-
-
-def unzipped(raw: pa.Scalar) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(raw.as_py())
-
-
 def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable[[bytes, list], list[bytes]]) -> DataFrame:
     """(anchor, digest, rank, packed) of the ``wanted`` super-k-mers
     (doc_id, anchor, digest, rank, start, nwin), cut from their texts."""
@@ -121,15 +104,15 @@ def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable[[bytes, list], list[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for raw, want in zip(batch["raw"], batch["want"]):
-                want, text = want.as_py(), unzipped(raw)
+                want = want.as_py()
                 for at in range(0, len(want), 20_000):
                     some = want[at: at + 20_000]
                     yield pa.RecordBatch.from_arrays(
                         [*[pa.array([w[c] for w in some], pa.int64()) for c in ("anchor", "digest", "rank")],
-                         pa.array(cut(text, [(w["start"], w["nwin"]) for w in some]), pa.binary())],
+                         pa.array(cut(raw.as_py(), [(w["start"], w["nwin"]) for w in some]), pa.binary())],
                         names=["anchor", "digest", "rank", "packed"])
 
-    return (zipped(docs).join(per_doc, "doc_id").select("raw", "want")
+    return (docs.join(per_doc, "doc_id").select("raw", "want")
             .mapInArrow(run, "anchor long, digest long, rank long, packed binary"))
 
 
