@@ -79,7 +79,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = docs.schema[id_col].dataType.simpleString()
     found = written(S.scan(read, _find, kind))
     live = S.anchors_in_common(found, F.min("doc_id") < F.max("doc_id"))
-    distinct = checkpointed(live.groupBy("anchor", "digest").agg(
+    distinct = written(live.groupBy("anchor", "digest").agg(
         F.min(F.struct("doc_id", "start", "nwin")).alias("f"), F.max("doc_id").alias("last")))
     # a minimiser with a single string needs no look inside
     several = (distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a")))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm import superkmer as S
-from seriescast.llm.text import BYTE_CODES, checkpointed, covered, runs, utf8, written
+from seriescast.llm.text import BYTE_CODES, covered, runs, utf8, written
 
 WINDOW = 200
 GRAM = 16
@@ -155,7 +155,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     kind = docs.schema[id_col].dataType.simpleString()
     found = written(S.scan(read, _find, kind))
     live = S.anchors_in_common(found, (F.count("*") > 1) | F.max("again"))
-    distinct = checkpointed(live.groupBy("anchor", "digest").agg(
+    distinct = written(live.groupBy("anchor", "digest").agg(
         F.min(F.struct("doc_id", "start", "nwin")).alias("f"), F.count("*").alias("n"), F.max("again").alias("again")))
     # only strings that occur once, under a minimiser with other strings, need a look inside
     open_ = (distinct.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("again").alias("g"))

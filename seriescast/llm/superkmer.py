@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriescast.llm.text import Rolling, checkpointed, sliding_min
+from seriescast.llm.text import Rolling, checkpointed, sliding_min, written
 
 SLAB = 1 << 18         # window starts handled at once; runs are cut there
 HOT = 4000             # distinct strings of one minimiser that one task sorts
@@ -93,7 +93,7 @@ def anchors_in_common(found: DataFrame, common: Column) -> DataFrame:
     """The super-k-mers whose minimiser passes the aggregate ``common``; minimisers
     are counted with map-side combine, then joined back."""
     shared = (found.groupBy("anchor").agg(common.alias("ok")).where("ok").select(F.col("anchor").alias("a")))
-    return checkpointed(found.join(shared, F.expr("anchor = a"), "left_semi"))
+    return written(found.join(shared, F.expr("anchor = a"), "left_semi"))
 
 
 def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable[[bytes, list], list[bytes]]) -> DataFrame:
