@@ -33,6 +33,8 @@ from seriescast.operators.seasonal import seasonal_means
 from seriescast.operators.series import Series
 from seriescast.operators.spells import spells
 from seriescast.plans import evaluate as EV
+from seriescast.plans.features import clean_matrix
+from seriescast.plans.tiers import TIERS, Tier
 from seriescast.sources.calendar import calendar_fill, forecast_calendar
 from seriescast.sources.fixtures import (hourly_events, observations_long, observations_wide,
                                          priority_daily)
@@ -240,6 +242,26 @@ def q_ph_features(spark, sf):
     return normalise(_day(wide.select("site", "ts", *[c.alias(k) for k, c in cols.items()])))
 
 
+def _matrix(spark, sf, t: Tier) -> DataFrame:
+    """The tier's whole feature matrix as the learners get it (before nulls become 0)."""
+    out, feats = clean_matrix(observations_long(spark, sf, "supp"), t)
+    digits = {f: "k10" for f in feats if "_skew_" in f or "_kurt_" in f}
+    digits.update({f: 3 for f in feats if "_ewm_" in f})
+    return normalise(out.withColumnRenamed("ts", "tday"), digits)
+
+
+def q_tier1_matrix(spark, sf):
+    return _matrix(spark, sf, TIERS[1])
+
+
+def q_tier2_matrix(spark, sf):
+    return _matrix(spark, sf, TIERS[2])
+
+
+def q_tier3_matrix(spark, sf):
+    return _matrix(spark, sf, TIERS[3])
+
+
 # ---------------------------------------------------------------- predictions, metrics
 IDS = ["site", "param", "ts"]
 

@@ -8,6 +8,7 @@ an independent check of the blocked Spark operators.  ``_norm`` mirrors
 from __future__ import annotations
 
 from seriescast.config import PARAMS, RANGE_LABELS
+from seriescast.plans.tiers import TIERS, Tier
 
 WINDOWS = [3, 7, 14, 30, 60, 90]
 LAGS = [1, 2, 3, 7, 14, 30, 60, 90, 365]
@@ -51,7 +52,12 @@ def _norm(body: str, spec: str, digits: int = 4) -> str:
     return f"WITH {body}\nSELECT {', '.join(cols)} FROM final"
 
 
-def _obs(grain: str = "supp") -> str:
+SPLIT = "CASE WHEN ts < DATE '2000-01-01' THEN 'train' ELSE 'test' END"
+
+
+def _obs(grain: str = "supp", by_split: bool = False) -> str:
+    """The derived observations; ``by_split`` names a site's two halves ``<site>/train`` and
+    ``<site>/test``, so that every later window restarts at the cut."""
     site = "CAST(l_suppkey AS VARCHAR)" if grain == "supp" else "l_returnflag"
     exprs = {
         "ALLSKY_SFC_SW_DWN": "allsky",
@@ -81,7 +87,7 @@ lw AS (
   FROM li),
 lw2 AS (SELECT *, allsky + 1.7320508{DBL} + sqrt(cnt) * 0.1414213{DBL} AS clear FROM lw),
 wide AS (
-  SELECT site, ts,
+  SELECT {f"site || '/' || {SPLIT} AS site" if by_split else "site"}, ts,
     {cols}
   FROM lw2),
 long AS (SELECT * FROM (UNPIVOT wide ON {", ".join(PARAMS)} INTO NAME param VALUE value))"""
@@ -276,28 +282,11 @@ final AS (SELECT site, param, ts AS day, avg(diff_1) OVER {_frame(7)} AS v_diff_
 
 
 def q_wn12_13_ewm() -> str:
-    init, step, out, names = [], [], [], []
-    for s in SPANS:
-        a = 2.0 / (s + 1.0)
-        r = 1.0 - a
-        init += [f"value AS m{s}", f"0.0{DBL} AS v{s}", f"1.0{DBL} AS q{s}"]
-        step += [f"r.m{s} + {a!r} * (e.value - r.m{s}) AS m{s}",
-                 f"{r!r} * (r.v{s} + {a!r} * (e.value - r.m{s}) * (e.value - r.m{s})) AS v{s}",
-                 f"{r!r} * {r!r} * r.q{s} + {a!r} * {a!r} AS q{s}"]
-        out += [f"m{s} AS v_ewm_{s}"]
-        names.append(f"v_ewm_{s}")
-    for s in SPANS:
-        out += [f"CASE WHEN rn = 1 OR q{s} >= 1 THEN 0.0 ELSE sqrt(v{s} / (1 - q{s})) END AS v_ewm_std_{s}"]
-        names.append(f"v_ewm_std_{s}")
-    body = _obs() + CLEAN + f""",
-rec AS (
-  SELECT site, param, ts, rn, {", ".join(init)} FROM clean WHERE rn = 1
-  UNION ALL
-  SELECT e.site, e.param, e.ts, e.rn, {", ".join(step)}
-  FROM rec r JOIN clean e ON e.site = r.site AND e.param = r.param AND e.rn = r.rn + 1),
-final AS (SELECT site, param, ts AS day, {", ".join(out)} FROM rec)"""
-    body = "RECURSIVE " + body.lstrip()
-    return _norm(body, "site:s param:s day:d " + " ".join(f"{n}:f3" for n in names))
+    names = [f"ewm_{s}" for s in SPANS] + [f"ewm_std_{s}" for s in SPANS]
+    body = "RECURSIVE " + (_obs() + CLEAN).lstrip() + _ewm_sql(SPANS, True) + f""",
+final AS (SELECT site, param, ts AS day, {", ".join(f"{n} AS v_{n}" for n in names)}
+          FROM ew JOIN clean USING (site, param, rn))"""
+    return _norm(body, "site:s param:s day:d " + " ".join(f"v_{n}:f3" for n in names))
 
 
 def q_wn17_18_spells() -> str:
@@ -335,28 +324,38 @@ final AS (SELECT site, ts, value,
     return _norm(body, "site:s ts:t value:f rolling_3:f rolling_24:f rolling_std_24:f")
 
 
-def q_cal_features() -> str:
-    lat = 29.92
-    tp = "(2 * pi())"
-    dec = f"(23.45 * sin({tp} * (dayofyear(ts) - 81) / 365.25))"
+def _calendar(ts: str) -> dict[str, str]:
+    """CAL1-CAL13 on the date ``ts``."""
+    lat, tp = 29.92, "(2 * pi())"
+    doy, month, week = f"dayofyear({ts})", f"month({ts})", f"week({ts})"
+    dec = f"(23.45 * sin({tp} * ({doy} - 81) / 365.25))"
     x = f"(-tan(radians({lat})) * tan(radians({dec})))"
-    body = _obs() + f""",
-fy AS (SELECT site, arg_min(year(ts), ts) AS fy FROM wide GROUP BY site),
+    return {
+        "day_of_year": doy, "month": month, "day": f"day({ts})", "week_of_year": week,
+        "quarter": f"quarter({ts})", "is_weekend": f"CAST(isodow({ts}) IN (6, 7) AS INTEGER)",
+        "day_sin": f"sin({tp} * {doy} / 365.25)", "day_cos": f"cos({tp} * {doy} / 365.25)",
+        "month_sin": f"sin({tp} * {month} / 12)", "month_cos": f"cos({tp} * {month} / 12)",
+        "week_sin": f"sin({tp} * {week} / 52)", "week_cos": f"cos({tp} * {week} / 52)",
+        "season": f"CAST(floor(({month} % 12) / 3) AS INTEGER)",
+        "is_summer": f"CAST({month} IN (6, 7, 8) AS INTEGER)",
+        "is_winter": f"CAST({month} IN (12, 1, 2) AS INTEGER)",
+        "is_monsoon": f"CAST({month} IN (7, 8, 9) AS INTEGER)",
+        "is_spring": f"CAST({month} IN (3, 4, 5) AS INTEGER)",
+        "is_autumn": f"CAST({month} IN (10, 11) AS INTEGER)",
+        "day_length_hours": f"CASE WHEN abs({x}) <= 1 THEN 2 * acos({x}) * 24 / {tp} END",
+        "solar_noon_altitude": f"90 - {lat} + {dec}",
+    }
+
+
+FIRST_YEAR = """,
+fy AS (SELECT site, arg_min(year(ts), ts) AS fy FROM wide GROUP BY site)"""
+
+
+def q_cal_features() -> str:
+    cal = ", ".join(f"{x} AS {k}" for k, x in _calendar("w.ts").items())
+    body = _obs() + FIRST_YEAR + f""",
 final AS (
-  SELECT w.site, w.ts AS date,
-    dayofyear(w.ts) AS day_of_year, month(w.ts) AS month, day(w.ts) AS day, week(w.ts) AS week_of_year,
-    quarter(w.ts) AS quarter, CAST(isodow(w.ts) IN (6, 7) AS INTEGER) AS is_weekend,
-    sin({tp} * dayofyear(w.ts) / 365.25) AS day_sin, cos({tp} * dayofyear(w.ts) / 365.25) AS day_cos,
-    sin({tp} * month(w.ts) / 12) AS month_sin, cos({tp} * month(w.ts) / 12) AS month_cos,
-    sin({tp} * week(w.ts) / 52) AS week_sin, cos({tp} * week(w.ts) / 52) AS week_cos,
-    CAST(floor((month(w.ts) % 12) / 3) AS INTEGER) AS season,
-    CAST(month(w.ts) IN (6, 7, 8) AS INTEGER) AS is_summer,
-    CAST(month(w.ts) IN (12, 1, 2) AS INTEGER) AS is_winter,
-    CAST(month(w.ts) IN (7, 8, 9) AS INTEGER) AS is_monsoon,
-    CAST(month(w.ts) IN (3, 4, 5) AS INTEGER) AS is_spring,
-    CAST(month(w.ts) IN (10, 11) AS INTEGER) AS is_autumn,
-    CASE WHEN abs({x.replace('ts', 'w.ts')}) <= 1 THEN 2 * acos({x.replace('ts', 'w.ts')}) * 24 / {tp} END AS day_length_hours,
-    90 - {lat} + {dec.replace('ts', 'w.ts')} AS solar_noon_altitude,
+  SELECT w.site, w.ts AS date, {cal},
     date_diff('day', make_date(f.fy, 1, 1), w.ts) AS days_since_year_start,
     date_diff('day', w.ts, make_date(f.fy, 12, 31)) AS days_until_year_end
   FROM wide w JOIN fy f ON w.site = f.site)"""
@@ -367,8 +366,7 @@ final AS (
     return _norm(body, spec)
 
 
-def q_ph_features() -> str:
-    body = _obs() + CLEAN + """,
+PHYSICS = """,
 cw AS (PIVOT (SELECT site, ts, param, value FROM clean) ON param IN ({params}) USING first(value)),
 b AS (SELECT *, T2M AS T, RH2M AS RH, WS2M AS W, PS AS P,
              6.112 * exp((17.67 * T2M) / (T2M + 243.5)) AS es FROM cw),
@@ -376,7 +374,7 @@ c AS (SELECT *, es * (RH / 100.0) AS ea, T * 9 / 5 + 32 AS tf, W * 3.6 AS vk FRO
 d AS (SELECT *, CASE WHEN 101.325 - ea = 0 THEN NULL ELSE (0.622 * ea) / (101.325 - ea) END AS hr,
              (17.27 * T) / (237.7 + T) + CASE WHEN RH / 100.0 > 0 THEN ln(RH / 100.0) END AS alpha FROM c),
 e AS (SELECT *, ((P * 1000) / (287.05 * (T + 273.15))) / (1 + 0.608 * hr) AS rho FROM d),
-final AS (SELECT site, ts AS day,
+phy AS (SELECT site, ts,
   ((-42.379 + 2.04901523 * tf + 10.14333127 * RH - 0.22475541 * tf * RH - 0.00683783 * tf * tf
     - 0.05481717 * RH * RH + 0.00122874 * tf * tf * RH + 0.00085282 * tf * RH * RH
     - 0.00000199 * tf * tf * RH * RH) - 32) * 5 / 9 AS heat_index_advanced,
@@ -397,6 +395,10 @@ final AS (SELECT site, ts AS day,
   ALLSKY_SFC_SW_DWN * T AS solar_temp_interaction,
   CASE WHEN T + 273.15 = 0 THEN NULL ELSE P / (T + 273.15) END AS pressure_temp_ratio
   FROM e)""".replace("{params}", ", ".join(f"'{p}'" for p in PARAMS))
+
+
+def q_ph_features() -> str:
+    body = _obs() + CLEAN + PHYSICS + ",\nfinal AS (SELECT *, ts AS day FROM phy)"
     spec = ("site:s day:d heat_index_advanced:f dew_point:f saturation_vapor_pressure:f "
             "actual_vapor_pressure:f vapor_pressure_deficit:f humidity_ratio:f wind_chill_advanced:f "
             "air_density:f wind_power_density:f wind_calm:i wind_moderate:i wind_strong:i cloud_effect:f "
@@ -406,6 +408,155 @@ final AS (SELECT site, ts AS day,
     return _norm(body, spec)
 
 
+# ------------------------------------------------------------------ tier matrices
+def _ewm_sql(spans, std: bool) -> str:
+    """WN12 / WN13 along every series: CTE ``rec`` with ``ewm_<span>`` (and ``ewm_std_<span>``)."""
+    init, step, out = [], [], []
+    for s in spans:
+        a = 2.0 / (s + 1.0)
+        r = 1.0 - a
+        init += [f"value AS m{s}", f"0.0{DBL} AS v{s}", f"1.0{DBL} AS q{s}"]
+        step += [f"r.m{s} + {a!r} * (e.value - r.m{s}) AS m{s}",
+                 f"{r!r} * (r.v{s} + {a!r} * (e.value - r.m{s}) * (e.value - r.m{s})) AS v{s}",
+                 f"{r!r} * {r!r} * r.q{s} + {a!r} * {a!r} AS q{s}"]
+        out.append(f"m{s} AS ewm_{s}")
+        if std:
+            out.append(f"CASE WHEN rn = 1 OR q{s} >= 1 THEN 0.0 ELSE sqrt(v{s} / (1 - q{s})) END AS ewm_std_{s}")
+    return f""",
+rec AS (
+  SELECT site, param, rn, {", ".join(init)} FROM clean WHERE rn = 1
+  UNION ALL
+  SELECT e.site, e.param, e.rn, {", ".join(step)}
+  FROM rec r JOIN clean e ON e.site = r.site AND e.param = r.param AND e.rn = r.rn + 1),
+ew AS (SELECT site, param, rn, {", ".join(out)} FROM rec)"""
+
+
+def _param_features(t: Tier) -> tuple[dict[str, str], dict[str, str]]:
+    """Per-parameter columns of a tier: over ``cm`` (clean rows), and over ``f1`` (their results)."""
+    one, two = {}, {}
+    plain = {"mean": ("rolling", "avg(value) OVER {f}"),
+             "std": ("rolling_std", "coalesce(stddev_samp(value) OVER {f}, 0.0)"),
+             "min": ("rolling_min", "min(value) OVER {f}"), "max": ("rolling_max", "max(value) OVER {f}"),
+             "skew": ("rolling_skew",
+                      "CASE WHEN count(value) OVER {f} < 3 OR max(value) OVER {f} = min(value) OVER {f} THEN 0.0 "
+                      "ELSE coalesce(skewness(value - smean) OVER {f}, 0.0) END"),
+             "kurt": ("rolling_kurt",
+                      "CASE WHEN count(value) OVER {f} < 4 THEN 0.0 WHEN max(value) OVER {f} = min(value) OVER {f} "
+                      "THEN -3.0 ELSE coalesce(kurtosis(value - smean) OVER {f}, 0.0) END")}
+    pairs = [(st, k) for k in t.windows for st in t.stats if k >= 7 or st not in ("skew", "kurt")]
+    for st, k in pairs + list(t.extra_stats):
+        label, sql = plain[st]
+        one[f"{label}_{k}"] = sql.replace("{f}", _frame(k))
+    for k in t.lags:
+        lag = (f"coalesce(lag(value, {k}) OVER ({W}), CASE WHEN n > {k} THEN first_value(value) OVER ({W}) END"
+               f"{', 0.0' if t.physics else ''})")
+        one[f"lag_{k}"] = lag
+    for k in t.diffs:
+        one[f"diff_{k}"] = f"coalesce(value - lag(value, {k}) OVER ({W}), 0.0)"
+    for k in t.pct_diffs:
+        lg = f"lag(value, {k}) OVER ({W})"
+        one[f"raw_pct_{k}"] = (f"CASE WHEN {lg} IS NULL OR ({lg} = 0 AND value = 0) THEN 0.0 "
+                               f"WHEN {lg} = 0 THEN NULL ELSE value / {lg} - 1 END")
+        two[f"diff_pct_{k}"] = _sweep(f"raw_pct_{k}")
+    for k in t.diff_rolling:
+        two[f"diff_rolling_{k}"] = f"avg(diff_1) OVER {_frame(k)}"
+    if t.seasonal:
+        for lab, fn in (("yearly", "dayofyear"), ("monthly", "month")):
+            avg = f"avg(value) OVER (PARTITION BY site, param, {fn}(ts))"
+            one[f"{lab}_avg"] = avg
+            one[f"deviation_from_{lab}"] = f"value - {avg}"
+    return one, two
+
+
+# tier 3's columns per site and day, besides those of ``phy``
+SITE_DAY = f""",
+psd AS (SELECT site, ts, value - lag(value, 3) OVER (PARTITION BY site ORDER BY rn) AS pressure_tendency_3day,
+               value - lag(value, 7) OVER (PARTITION BY site ORDER BY rn) AS pressure_tendency_7day
+        FROM clean WHERE param = 'PS'),
+kt AS (SELECT site, ts, avg(value) OVER {_frame(7)} AS clearness_index_rolling_7,
+              coalesce(stddev_samp(value) OVER {_frame(7)}, 0.0) AS clearness_index_std_7
+       FROM clean WHERE param = 'ALLSKY_KT'),
+rr AS (SELECT site, ts, rn, coalesce(value > 0, false) AS wet, sum(value) OVER {_frame(7)} AS precip_cumsum_7,
+              sum(value) OVER {_frame(30)} AS precip_cumsum_30
+       FROM clean WHERE param = 'PRECTOTCORR'),
+rl0 AS (SELECT *, max(CASE WHEN wet THEN rn END) OVER (PARTITION BY site ORDER BY rn) AS lw,
+                 max(CASE WHEN NOT wet THEN rn END) OVER (PARTITION BY site ORDER BY rn) AS ld FROM rr),
+rain AS (SELECT *, CASE WHEN wet THEN 0 ELSE rn - coalesce(lw, 0) END AS dry_spell_length,
+                CASE WHEN NOT wet THEN 0 ELSE rn - coalesce(ld, 0) END AS wet_spell_length FROM rl0),
+sd0 AS (SELECT * FROM phy JOIN psd USING (site, ts) JOIN kt USING (site, ts) JOIN rain USING (site, ts)
+                     JOIN fy USING (site))"""
+
+
+def _tier_matrix(t: Tier) -> str:
+    one, two = _param_features(t)
+    per = list(one) + list(two)
+    joins = ""
+    body = "RECURSIVE " + (_obs(by_split=True) + CLEAN).lstrip()
+    if t.ewm_spans:
+        body += _ewm_sql(t.ewm_spans, t.ewm_std)
+        joins = "JOIN ew USING (site, param, rn)"
+        per += [f"ewm_{s}" for s in t.ewm_spans] + [f"ewm_std_{s}" for s in t.ewm_spans if t.ewm_std]
+    per = [c for c in per if not c.startswith("raw_pct_")]
+    body += f""",
+cm AS (SELECT *, avg(value) OVER (PARTITION BY site, param) AS smean FROM clean),
+f1 AS (SELECT site, param, ts, rn, value, {", ".join(f"{x} AS {k}" for k, x in one.items())} FROM cm),
+f2 AS (SELECT *{"".join(f", {x} AS {k}" for k, x in two.items())} FROM f1),
+ft AS (SELECT * FROM f2 {joins})"""
+    cols = {p: f"max(CASE WHEN param = '{p}' THEN value END)" for p in PARAMS}
+    cols.update({f"{p}_{c}": f"max(CASE WHEN param = '{p}' THEN {c} END)" for p in PARAMS for c in per})
+    body += f""",
+pv AS (SELECT site, ts, {", ".join(f'{x} AS "{k}"' for k, x in cols.items())} FROM ft GROUP BY site, ts)"""
+    cal = _calendar("ts")
+    names = [k for k in cal if t.number >= 3 or (k not in ("is_spring", "is_autumn", "day_length_hours",
+                                                          "solar_noon_altitude"))]
+    if t.number == 1:
+        names = [k for k in names if k not in ("is_weekend", "week_sin", "week_cos", "season", "is_summer",
+                                               "is_winter", "is_monsoon")]
+    sel = {k: cal[k] for k in names}
+    src = "pv"
+    if t.interactions:
+        body += PHYSICS
+        src = "pv JOIN phy USING (site, ts)"
+        sel |= {k: k for k in ("temp_humidity_interaction", "heat_index", "wind_chill", "solar_temp_interaction",
+                               "pressure_temp_ratio")}
+    if t.physics:
+        swept = ["dew_point", "humidity_ratio", "air_density", "wind_power_density", "wind_chill_advanced",
+                 "pressure_tendency_3day", "pressure_tendency_7day"]
+        kept = ["heat_index_advanced", "saturation_vapor_pressure", "actual_vapor_pressure",
+                "vapor_pressure_deficit", "wind_calm", "wind_moderate", "wind_strong", "cloud_effect", "cloud_ratio",
+                "clearness_index_rolling_7", "clearness_index_std_7", "precip_binary", "precip_cumsum_7",
+                "precip_cumsum_30", "dry_spell_length", "wet_spell_length", "temp_humidity_wind",
+                "temp_pressure_interaction", "humidity_wind_interaction", "solar_temp_humidity"]
+        days = {"days_since_year_start": "date_diff('day', make_date(fy, 1, 1), ts)",
+                "days_until_year_end": "date_diff('day', ts, make_date(fy, 12, 31))"}
+        body += PHYSICS + FIRST_YEAR + SITE_DAY + f""",
+sd AS (SELECT site, ts, {", ".join(kept)}, {", ".join(f"{_sweep(c, 'site')} AS {c}" for c in swept)},
+              {", ".join(f"{x} AS {k}" for k, x in days.items())} FROM sd0)"""
+        src = "pv JOIN sd USING (site, ts)"
+        sel |= {k: k for k in [*kept, *swept, *days]}
+    body += f""",
+final AS (SELECT split_part(site, '/', 1) AS site, split_part(site, '/', 2) AS split, ts AS tday,
+                 {", ".join(f'"{k}"' for k in cols)}, {", ".join(f'{x} AS "{k}"' for k, x in sel.items())}
+          FROM {src})"""
+    spec = ["site:s", "split:s"]
+    for k in [*cols, *sel]:
+        kind = "k10" if "_skew_" in k or "_kurt_" in k else "f3" if "_ewm_" in k else "f"
+        spec.append(f"{k}:{kind}")
+    return _norm(body, " ".join(spec) + " tday:d")
+
+
+def q_tier1_matrix() -> str:
+    return _tier_matrix(TIERS[1])
+
+
+def q_tier2_matrix() -> str:
+    return _tier_matrix(TIERS[2])
+
+
+def q_tier3_matrix() -> str:
+    return _tier_matrix(TIERS[3])
+
+
 # ------------------------------------------------------------------ predictions
 CANDS = CLEAN + """,
 f AS (SELECT *, coalesce(lag(value, 1) OVER (PARTITION BY site, param ORDER BY rn),
