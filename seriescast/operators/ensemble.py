@@ -2,7 +2,8 @@
 
 Candidate predictions are long: ``keys..., model, actual, predicted``.
 Per-parameter constants (weights, the chosen model, ridge coefficients) are
-small tables keyed by parameter, applied with joins.
+small tables keyed by parameter: their rows are counted and they are broadcast, so the
+candidate rows stay where they are (``small_side``).
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.operators.metrics import r2_score
+from seriescast.operators.series import small_side
 
 
 def wide_candidates(pred: DataFrame, ids: list[str], models: list[str]) -> DataFrame:
@@ -49,7 +51,7 @@ def r2_weights(pred: DataFrame, keys: list[str], models: list[str]) -> DataFrame
 def weighted_blend(pred: DataFrame, weights: DataFrame, keys: list[str], name: str = "weighted") -> DataFrame:
     """Apply ML8 weights (joined on ``keys + model``)."""
     ids = [c for c in pred.columns if c not in ("model", "predicted")]
-    d = pred.join(weights, keys + ["model"])
+    d = pred.join(small_side(weights), keys + ["model"])
     return (d.groupBy(*ids).agg(F.sum(F.col("weight") * F.col("predicted")).alias("predicted"))
              .withColumn("model", F.lit(name)))
 
@@ -73,6 +75,7 @@ def ridge_fit(pred: DataFrame, keys: list[str], inputs: list[str], alpha: float
     ``applyInPandas``; a group is one row.  Returns ``keys, intercept, w_<input>``.
     """
     means = pred.groupBy(*keys).agg(*[F.avg(c).alias(f"_m_{c}") for c in inputs + [label]])
+    means = small_side(means)
     d = pred.join(means, keys)
     xc = {c: F.col(c) - F.col(f"_m_{c}") for c in inputs + [label]}
     cross = []
@@ -103,7 +106,7 @@ def ridge_fit(pred: DataFrame, keys: list[str], inputs: list[str], alpha: float
 
 def ridge_predict(wide: DataFrame, coefs: DataFrame, keys: list[str], inputs: list[str],
                   name: str = "stack") -> DataFrame:
-    d = wide.join(coefs, keys)
+    d = wide.join(small_side(coefs), keys)
     p = F.col("intercept")
     for x in inputs:
         p = p + F.col(f"w_{x}") * F.col(x)

@@ -68,6 +68,19 @@ def reused(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+SMALL_ROWS = 100_000
+
+
+def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """The small side of a join: a table with one row per parameter, model, feature or day.
+
+    Its rows are counted (it is persisted first, so it is computed once); up to ``limit``
+    rows of a few numbers each it is broadcast, so that the large side is not shuffled on a
+    key with ten values.  A larger one is returned as it is, for an ordinary join."""
+    d = reused(df)
+    return F.broadcast(d) if d.count() <= limit else d
+
+
 def index_rows(df: DataFrame, s: Series) -> DataFrame:
     """Add ``rn`` (1-based position in the series) and ``n`` (series length)."""
     keys = s.k

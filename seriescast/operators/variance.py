@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from seriescast.config import PARAMS, RANGE_LABELS, TIGHT_HI, TIGHT_LO
 from seriescast.functions.errors import percent_variance, range_label, variance_ratio
 from seriescast.operators.quantile import exact_quantiles
-from seriescast.operators.series import reused
+from seriescast.operators.series import reused, small_side
 
 
 def with_ratio(pred: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
@@ -100,9 +100,10 @@ def range_share_by_param(pred: DataFrame) -> DataFrame:
 
 
 def range_breakdown_by_param(pred: DataFrame) -> DataFrame:
-    """AG19: the transposed breakdown, one row per parameter and one column per range."""
-    long = range_counts(pred)
-    return long.groupBy("param").pivot("range", RANGE_LABELS).agg(F.sum("count")).fillna(0)
+    """AG19: the transposed breakdown, one row per parameter and one column per range, and
+    the parameter's own ``TOTAL`` (AG15)."""
+    wide = range_counts(pred).groupBy("param").pivot("range", RANGE_LABELS).agg(F.sum("count")).fillna(0)
+    return wide.withColumn("TOTAL", sum((F.col(f"`{x}`") for x in RANGE_LABELS[1:]), F.col(f"`{RANGE_LABELS[0]}`")))
 
 
 def histogram(df: DataFrame, keys: list[str], col: str, bins: int = 50) -> DataFrame:
@@ -114,6 +115,7 @@ def histogram(df: DataFrame, keys: list[str], col: str, bins: int = 50) -> DataF
     rng = rng.select(*keys,
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mn") - 0.5).otherwise(F.col("_mn")).alias("lo"),
                      F.when(F.col("_mn") == F.col("_mx"), F.col("_mx") + 0.5).otherwise(F.col("_mx")).alias("hi"))
+    rng = small_side(rng)
     step = (F.col("hi") - F.col("lo")) / bins
 
     def edge(i):

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.storagelevel import StorageLevel
 
-from seriescast.config import PARAMS
+from seriescast.config import PARAMS, RANGE_LABELS
 from seriescast.functions import calendar as C
 from seriescast.functions.errors import (accuracy_band, bias_band, error, percent_error, r2_band,
                                          spread_band, variance_ratio)
@@ -27,10 +27,10 @@ from seriescast.operators import variance as V
 from seriescast.operators.ewm import ewm
 from seriescast.operators.fill import interpolate, sentinel_to_null, sweep
 from seriescast.operators.folds import contiguous_folds, time_series_folds
-from seriescast.operators.metrics import macro_summary, regression_metrics
+from seriescast.operators.metrics import cv_summary, macro_summary, r2_score, regression_metrics
 from seriescast.operators.scale import apply_long, robust_fit, standard_fit
 from seriescast.operators.seasonal import seasonal_means
-from seriescast.operators.series import Series
+from seriescast.operators.series import Series, small_side
 from seriescast.operators.spells import spells
 from seriescast.plans import evaluate as EV
 from seriescast.plans.features import clean_matrix
@@ -305,7 +305,7 @@ def _all_models(spark, sf, cw: DataFrame | None = None) -> DataFrame:
     cw = cw if cw is not None else _cands_wide(spark, sf)
     w = E.r2_weights(_cands(spark, sf, cw), ["param"], EV.BASE_MODELS)
     ww, blend = EV.weighted_column(w, EV.BASE_MODELS, ["param"])
-    wide = cw.join(ww, "param").withColumn("weighted", blend)
+    wide = cw.join(small_side(ww), "param").withColumn("weighted", blend)
     return EV.to_long(wide, EV.BASE_MODELS + ["weighted"], IDS)
 
 
@@ -313,7 +313,8 @@ def _chosen(spark, sf) -> DataFrame:
     allm = _all_models(spark, sf)
     met = regression_metrics(allm, ["param", "model"])
     pick = E.choose(met, ["param"], EV.CHOICE_ORDER)
-    return allm.join(pick.select("param", F.col("chosen_model").alias("model")), ["param", "model"])
+    pick = small_side(pick.select("param", F.col("chosen_model").alias("model")))
+    return allm.join(pick, ["param", "model"])
 
 
 def q_ml10_model_choice(spark, sf):
@@ -350,6 +351,25 @@ def q_ag20_error_histogram(spark, sf):
     return normalise(V.histogram(d, ["param"], "error", 50))
 
 
+def q_ag15_19_breakdown_by_param(spark, sf):
+    """AG19 with AG15's per-parameter totals; ``range_0`` .. ``range_5`` in the order of the labels."""
+    out = V.range_breakdown_by_param(_chosen(spark, sf))
+    return normalise(out.withColumnsRenamed({lab: f"range_{i}" for i, lab in enumerate(RANGE_LABELS)}))
+
+
+def q_ag20_ratio_histogram(spark, sf):
+    d = V.with_ratio(_chosen(spark, sf))
+    return normalise(V.histogram(d, ["param"], "ratio", 50), {"bin_lo": "g6", "bin_hi": "g6"})
+
+
+def q_ag23_cv_summary(spark, sf):
+    """AG23 over the time folds (ML14): R^2 of yesterday's value on each fold's test days."""
+    d = R.trailing(_clean(spark, sf), S, [{"predicted": R.lag_bfill("value", 1)}], halo=1)
+    d = time_series_folds(d.select("param", "ts", F.col("value").alias("actual"), "predicted"))
+    scores = r2_score(d.where((F.col("role") == "test") & F.col("predicted").isNotNull()), ["param", "fold"])
+    return normalise(cv_summary(scores, ["param"]))
+
+
 def q_ag11_13_quality_summary(spark, sf):
     met = regression_metrics(_chosen(spark, sf), ["param"])
     return normalise(macro_summary(met), SIG6)
@@ -419,7 +439,7 @@ def q_ml17_forecast_baseline(spark, sf):
             .withColumns({"persistence": F.col("last_value"), "roll7": F.col("last_value")}))
     wide_w = w.groupBy("param").pivot("model", EV.BASE_MODELS).agg(F.first("weight"))
     wide_w = wide_w.select("param", *[F.col(m).alias(f"w_{m}") for m in EV.BASE_MODELS])
-    d = d.join(pick, "param").join(wide_w, "param")
+    d = d.join(small_side(pick), "param").join(small_side(wide_w), "param")
     blend = sum((F.col(f"w_{m}") * F.col(m) for m in EV.BASE_MODELS[1:]),
                 F.col(f"w_{EV.BASE_MODELS[0]}") * F.col(EV.BASE_MODELS[0]))
     pred = F.when(F.col("chosen_model") == "weighted", blend)
@@ -430,18 +450,16 @@ def q_ml17_forecast_baseline(spark, sf):
 
 
 # ---------------------------------------------------------------- MLlib (rows-only checks)
-def _tier1_quick(spark, sf):
-    from seriescast.plans.tiers import TIER1, quick
+def _tier1(spark, sf):
     from seriescast.plans.train import train_evaluate
-    t = quick(TIER1, trees=10, depth=5)
     obs = observations_long(spark, sf, "supp")
-    return obs, t, train_evaluate(obs, t)
+    return obs, train_evaluate(obs, TIERS[1])
 
 
 def q_ml03_06_tier1_models(spark, sf):
-    """ML3/ML4/ML7/ML9/ML16: tier-1 learners (small ensembles) per parameter, the fixed
-    blend and the choice; metrics of every candidate."""
-    _, _, res = _tier1_quick(spark, sf)
+    """ML3/ML4/ML7/ML9/ML16: tier 1's learners per parameter with the tier's own settings,
+    the fixed blend and the choice; metrics of every candidate."""
+    _, res = _tier1(spark, sf)
     chosen = res.choice.select("param", F.col("chosen_model").alias("model"), F.lit(True).alias("chosen"))
     out = res.all_metrics.join(chosen, ["param", "model"], "left").fillna(False, subset=["chosen"])
     return normalise(out.select("param", "model", "chosen", "n", "rmse", "mae", "r2", "tight_pct"), SIG6)
@@ -453,10 +471,12 @@ def q_ml13_ridge_stack(spark, sf):
 
 
 def q_ml17_forecast_models(spark, sf):
-    """ML17 with trained models: next-year forecast of the tier-1 chosen models."""
-    from seriescast.plans.forecast import forecast
-    obs, t, res = _tier1_quick(spark, sf)
-    return normalise(_day(forecast(obs, res, t, force=True)))
+    """ML17 with trained models: next-year forecast of the tier-1 chosen models, and the
+    gate's verdict on them (AG13; ``forecast`` itself gives none when the gate refuses)."""
+    from seriescast.plans.forecast import forecast, gate
+    obs, res = _tier1(spark, sf)
+    out = forecast(obs, res, TIERS[1], force=True)
+    return normalise(_day(out.withColumn("forecast_allowed", F.lit(gate(res)))))
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

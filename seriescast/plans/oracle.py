@@ -747,6 +747,38 @@ final AS (SELECT g.param, g.bin,
     return _norm(body, "param:s bin:i bin_lo:f bin_hi:f count:i")
 
 
+def q_ag15_19_breakdown_by_param() -> str:
+    cols = ", ".join(f"sum(count) FILTER (WHERE range_order = {i}) AS range_{i}" for i in range(6))
+    body = PRED + CHOSEN + f""",
+final AS (SELECT param, {cols}, sum(count) AS "TOTAL" FROM rc GROUP BY param)"""
+    return _norm(body, "param:s " + " ".join(f"range_{i}:i" for i in range(6)) + " TOTAL:i")
+
+
+def q_ag20_ratio_histogram() -> str:
+    sql = q_ag20_error_histogram()
+    sql = sql.replace("actual - predicted AS x FROM chosen", "ratio AS x FROM vr")
+    body = sql[sql.index("WITH ") + 5:sql.rindex("\nSELECT ")]
+    return _norm(body, "param:s bin:i bin_lo:g6 bin_hi:g6 count:i")
+
+
+def q_ag23_cv_summary() -> str:
+    body = _days() + CLEAN + f""",
+fo AS (SELECT unnest(range(0, 5)) AS fold),
+pr AS (SELECT param, ts, value AS actual,
+              coalesce(lag(value, 1) OVER ({W}), CASE WHEN n > 1 THEN first_value(value) OVER ({W}) END) AS predicted
+       FROM clean),
+te AS (SELECT p.*, fo.fold FROM pr p JOIN days d ON p.ts = d.ts, fo
+       WHERE d.pos >= d.nd - (5 - fo.fold) * (d.nd // 6)
+         AND d.pos < d.nd - (5 - fo.fold) * (d.nd // 6) + (d.nd // 6) AND p.predicted IS NOT NULL),
+sc AS (SELECT param, fold,
+              CASE WHEN var_pop(actual) = 0 THEN
+                     CASE WHEN sum((actual - predicted) * (actual - predicted)) = 0 THEN 1.0 ELSE 0.0 END
+                   ELSE 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) END AS r2
+       FROM te GROUP BY 1, 2),
+final AS (SELECT param, avg(r2) AS cv_mean, stddev_pop(r2) AS cv_std FROM sc GROUP BY param)"""
+    return _norm(body, "param:s cv_mean:f cv_std:f")
+
+
 def q_ag11_13_quality_summary() -> str:
     body = PRED + CHOSEN + """,
 m1 AS (""" + _metrics_sql("chosen", "param") + """),
@@ -838,6 +870,26 @@ def q_ml02_robust_scale() -> str:
     return _scale("robust")
 
 
+def q_ml13_ridge_stack() -> str:
+    """Ridge over three inputs in closed form (Cramer's rule on the centred normal equations)."""
+    body = PRED + """,
+mu AS (SELECT param, avg(persistence) AS mp, avg(roll7) AS mr, avg(climatology) AS mc, avg(actual) AS my
+       FROM t GROUP BY param),
+xs AS (SELECT t.param, persistence - mp AS a, roll7 - mr AS b, climatology - mc AS c, actual - my AS y
+       FROM t JOIN mu ON t.param = mu.param),
+g AS (SELECT param, sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(c * c) + 1 AS cc, sum(a * b) AS ab,
+             sum(a * c) AS ac, sum(b * c) AS bc, sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS yc
+      FROM xs GROUP BY param),
+s AS (SELECT param, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det,
+             ay * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc) AS d1,
+             aa * (yb * cc - bc * yc) - ay * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac) AS d2,
+             aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ay * (ab * bc - bb * ac) AS d3 FROM g),
+final AS (SELECT s.param, my - (mp * d1 + mr * d2 + mc * d3) / det AS intercept, d1 / det AS w_persistence,
+                 d2 / det AS w_roll7, d3 / det AS w_climatology
+          FROM s JOIN mu ON s.param = mu.param)"""
+    return _norm(body, "param:s intercept:f w_persistence:f w_roll7:f w_climatology:f")
+
+
 def q_ml17_forecast_baseline() -> str:
     body = PRED + CHOSEN + """,
 last AS (SELECT site, param, arg_max(value, ts) AS last_value FROM clean GROUP BY 1, 2),

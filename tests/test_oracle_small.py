@@ -11,7 +11,8 @@ TABLES = "region nation customer supplier part orders lineitem events".split()
 FAST = ["src_observations_long", "src5_forecast_calendar", "src5_calendar_gap_fill", "wn14_interpolate",
         "wn01_rolling_mean", "wn02_rolling_std", "wn04_rolling_skew", "wn05_rolling_kurt", "wn07_lags",
         "wn10_pct_change", "wn12_13_ewm", "wn17_18_spells", "ag24_wn19_seasonal", "wn01_hourly_rolling",
-        "cal_features", "ph_features", "ag01_07_metrics", "ml14_time_folds", "ml12_contiguous_folds",
+        "cal_features", "ph_features", "ag01_07_metrics", "tier1_matrix", "tier2_matrix",
+        "ag15_19_breakdown_by_param", "ag20_ratio_histogram", "ag23_cv_summary", "ml13_ridge_stack", "ml14_time_folds", "ml12_contiguous_folds",
         "ml01_standard_scale", "ml02_robust_scale"]
 
 
@@ -32,7 +33,7 @@ def con():
     return c
 
 
-ROWS_ONLY = {"ml03_06_tier1_models", "ml13_ridge_stack", "ml17_forecast_models"}
+ROWS_ONLY = {"ml03_06_tier1_models", "ml17_forecast_models"}
 
 
 def test_every_query_has_an_oracle_except_mllib():
