@@ -1,21 +1,30 @@
 """Operator 7, LM scoring: cross-entropy difference of two matched n-gram models.
 
 The target model is counted over the documents labelled good, the background
-model over all documents.  They share one vocabulary of 64 symbols (``SYMBOL``:
-letters without case, a digit, white space, punctuation, and the low five bits
-of a non-ASCII byte), the order 4 and the same interpolated smoothing.  A
-document's score is the mean per-symbol loss under the target minus that under
-the background: the lower, the more it looks like the target.
-
-All documents are counted: each task counts its texts' 4-grams, Spark adds the
-counts up.  The table of loss differences has at most 64^4 = 16.8 million cells
-(67 MB as float32) whatever the corpus, which bounds what is collected and
-broadcast; only cells that occur travel.
-
-Defined cases: null or empty text has 0 symbols and null losses and score;
-without target documents the target model is uniform; an empty table gives an
-empty result; repeated rows count as often as they occur; other columns are
-neither read nor returned.
+model over all documents.  The score rests on words (runs of anything but white
+space, A-Z as a-z) under one shared vocabulary that is not capped: a unigram and a
+bigram model, each interpolated with the uniform distribution over the V words of
+the corpus and the end of a text,
+
+    p(w) = (n(w) + S/(V+1)) / (N + S)      p(w | v) = (n(vw) + S/(V+1)) / (n(v) + S)
+
+with the same S in target and background.  A text of k words has k predictions of
+the first and k + 1 of the second kind (its end included); its loss is the mean of
+all of them and its score the target loss minus the background loss, in bits: the
+lower, the more it looks like the target.  Beside it stand the losses per symbol of
+a spelling model: order 4 over 64 symbols (``SYMBOL``), at most 64^4 cells.
+
+Log losses are sums over n-grams, so the n-gram counts of each document travel once,
+to the task of the n-gram; there the counts of both models are added up and the
+documents' losses leave summed per task.  No table of n-grams is collected.  N-grams
+that are common in a sample of the documents (``HOT`` at most) do not travel: they are
+counted per task over all documents and their losses broadcast, which bounds the
+rows of one n-gram in one task.  The sample decides only the way, not the counts.
+
+Defined cases: null or empty text has 0 symbols, blank text 0 words, and null losses
+and score; without target documents the target model is uniform; an empty table gives
+an empty result; repeated rows count as often as they occur; null ids are no target;
+other columns are neither read nor returned.  Words are told apart by 63-bit hashes.
 """
 
 from __future__ import annotations
@@ -24,14 +33,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriescast.llm.text import only_ids, utf8
+from seriescast.llm.text import BROADCAST_IDS, LOWER, mix, utf8, word_hashes, written
 
 ORDER = 4
 SIZE = 64
 SMOOTH = 4.0           # weight of the shorter context, in counts
+HOT = 200_000          # word n-grams that are counted apart, those most common in the sample
+SAMPLE, LEAST = 32, 4  # every 32nd document; sampled documents that must have the n-gram
+CHUNK = 1 << 22        # n-grams that a task gathers before it counts them
 
 
 def _symbols() -> np.ndarray:
@@ -55,32 +67,98 @@ def codes(raw: bytes) -> np.ndarray:
     return ((s[:-3] << 18) | (s[1:-2] << 12) | (s[2:-1] << 6) | s[3:]).astype(np.uint32)
 
 
-def count_grams(read: DataFrame) -> DataFrame:
-    """(gram, n) over all texts of ``read`` (raw), counted per task, then summed."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, counts = np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
-        waiting, size = [], 0
+def word_grams(raw: bytes) -> np.ndarray:
+    """Numbers of the words (even) and word pairs (odd) of a text, begin and end paired too."""
+    w = word_hashes(np.frombuffer(raw.translate(LOWER), dtype=np.uint8))[2]
+    if not len(w):
+        return w
+    w = w | np.uint64(1)
+    end = np.zeros(1, dtype=np.uint64)
+    pairs = mix(np.append(end, w) * np.uint64(0x9E3779B97F4A7C15) + np.append(w, end))
+    return np.concatenate([w ^ np.uint64(1), pairs | np.uint64(1)])
+
 
-        def fold() -> tuple[np.ndarray, np.ndarray]:
-            g, n = np.unique(np.concatenate(waiting), return_counts=True)
-            both, at = np.unique(np.concatenate([grams, g]), return_inverse=True)
-            return both, np.bincount(at, weights=np.concatenate([counts, n]), minlength=len(both)).astype(np.int64)
+def marked(read: DataFrame, ids: DataFrame) -> DataFrame:
+    """``read`` with ``t``: whether ``doc_id`` is among ``ids`` (broadcast up to ``BROADCAST_IDS``)."""
+    ids = written(ids.where("doc_id IS NOT NULL").withColumn("t", F.lit(True)))
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("merge")
+    return read.join(ids, "doc_id", "left").withColumn("t", F.coalesce("t", F.lit(False)))
 
+
+def common(read: DataFrame, most: int = HOT, sample: int = SAMPLE, least: int = LEAST) -> np.ndarray:
+    """The word n-grams most common in a sample of the documents, sorted; at most ``most``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for v in batch["raw"]:
-                c = codes(v.as_py())
-                waiting.append(c)
-                size += len(c)
-                if size > 1 << 22:
-                    grams, counts = fold()
-                    waiting, size = [], 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(word_grams(v.as_py())).view(np.int64))], names=["gram"])
+
+    part = read.where(F.pmod("key", F.lit(sample)) == 0).select("raw")
+    top = (part.mapInArrow(run, "gram long").groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+           .orderBy(F.desc("n"), "gram").limit(most).toPandas())
+    return np.sort(top["gram"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+SPELLED, SEEN, WORD, TOTAL = range(4)
+
+
+def tally(read: DataFrame, hot: np.ndarray) -> DataFrame:
+    """(kind, gram, n, m) over all documents and those of the target, counted per task, then summed:
+    spelling 4-grams, the word n-grams ``hot``, each distinct word, and in ``TOTAL`` words (0) and texts (1)."""
+    shared = read.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        seen, total = np.zeros((2, len(known)), dtype=np.int64), np.zeros((2, 2), dtype=np.int64)
+        spelled = [np.zeros(SIZE ** ORDER, dtype=np.int64) for _ in range(2)]
+        waiting: list[list[np.ndarray]] = [[], []]
+        size = 0
+
+        def rows(kind: int, grams: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for at in range(0, len(grams), 100_000):
+                cut = slice(at, at + 100_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(grams[cut]), kind, dtype=np.int32)), pa.array(grams[cut].astype(np.uint64).view(np.int64)),
+                     pa.array(n[cut]), pa.array(m[cut])], names=["kind", "gram", "n", "m"])
+
+        def fold() -> Iterator[pa.RecordBatch]:
+            words = []
+            for t in range(2):
+                if not waiting[t]:
+                    continue
+                g, n = np.unique(np.concatenate(waiting[t]), return_counts=True)
+                waiting[t] = []
+                words.append(g[(g & np.uint64(1)) == 0])
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                    hit = known[at] == g
+                    seen[t][at[hit]] += n[hit]
+            words = np.unique(np.concatenate(words))
+            zero = np.zeros(len(words), dtype=np.int64)
+            yield from rows(WORD, words, zero, zero)
+
+        for batch in batches:
+            for v, t in zip(batch["raw"], batch["t"].to_pylist()):
+                raw = v.as_py()
+                g, c = np.unique(codes(raw), return_counts=True)
+                spelled[t][g] += c
+                g = word_grams(raw)
+                if not len(g):
+                    continue
+                waiting[t].append(g)
+                total[int(t)] += len(g) // 2, 1
+                size += len(g)
+                if size > CHUNK:
+                    yield from fold()
+                    size = 0
         if size:
-            grams, counts = fold()
-        for at in range(0, len(grams), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(grams[at: at + 100_000].astype(np.int32)),
-                                              pa.array(counts[at: at + 100_000])], names=["gram", "n"])
+            yield from fold()
+        both = np.flatnonzero(spelled[0] + spelled[1])
+        yield from rows(SPELLED, both, (spelled[0] + spelled[1])[both], spelled[1][both])
+        yield from rows(SEEN, known, seen.sum(axis=0), seen[1])
+        yield from rows(TOTAL, np.arange(2), total.sum(axis=0), total[1])
 
-    return read.mapInArrow(run, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    out = read.select("raw", "t").mapInArrow(run, "kind int, gram long, n long, m long")
+    return written(out.groupBy("kind", "gram").agg(F.sum("n").alias("n"), F.sum("m").alias("m")))
 
 
 def losses(grams: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray, smooth: float = SMOOTH) -> np.ndarray:
@@ -98,37 +176,103 @@ def losses(grams: np.ndarray, counts: np.ndarray, vocabulary: np.ndarray, smooth
     return -np.log2(p)
 
 
-def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: n_symbols, target_loss, background_loss, score (bits a symbol).
+def _bits(pair: np.ndarray, n: np.ndarray, words: int, size: int) -> np.ndarray:
+    """What one occurrence of an n-gram counted ``n`` times adds to the loss: a pair its count, a
+    word its own probability and, as the context of the next pair, that pair's denominator."""
+    out = -np.log2(n + SMOOTH / size)
+    return out + np.where(pair, 0.0, np.log2(words + SMOOTH) + np.log2(n + SMOOTH))
+
+
+def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = HOT,
+          sample: int = SAMPLE, least: int = LEAST) -> DataFrame:
+    """One row per document: n_symbols, target_loss, background_loss (spelling, bits a symbol), n_words,
+    word_target_loss, word_background_loss and their difference score (bits a prediction).
 
     ``target`` has the ids of the documents of the target in its first column."""
     spark = docs.sparkSession
     read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
+    # rows of equal id and text have equal results
+    read = read.withColumn("key", F.xxhash64("doc_id", "raw"))
     ids = target.select(F.col(target.columns[0]).alias("doc_id")).distinct()
-    back = count_grams(read.select("raw"))
-    aim = count_grams(only_ids(read, ids).select("raw")).select("gram", F.col("n").alias("m"))
-    both = back.join(aim, "gram", "left").select("gram", "n", F.coalesce("m", F.lit(0)).alias("m")).toPandas()
-    both = both.sort_values("gram")  # at most 64^4 rows
-    grams = both["gram"].to_numpy().astype(np.uint32)
+    flagged = marked(read, ids).select("key", "raw", "t")
+    hot = common(read, most, sample, least)
+    counts = tally(flagged, hot)
+    size = counts.where(F.col("kind") == WORD).count() + 1
+    totals = {r["gram"]: (r["m"], r["n"]) for r in counts.where(F.col("kind") == TOTAL).collect()}
+    n_words, n_texts = totals.get(0, (0, 0)), totals.get(1, (0, 0))
+
+    def of(kind: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        got = counts.where(F.col("kind") == kind).toPandas()  # SPELLED: at most 64^4 rows, SEEN: at most HOT
+        grams = got["gram"].to_numpy().astype(np.int64).view(np.uint64)
+        order = np.argsort(grams)
+        return grams[order], [got[c].to_numpy().astype(float)[order] for c in ("m", "n")]
+
+    grams, spelled = of(SPELLED)
+    grams = grams.astype(np.uint32)
     vocabulary = np.unique(grams & np.uint32(SIZE - 1))
-    tables = spark.sparkContext.broadcast((grams, *[
-        losses(grams, both[c].to_numpy().astype(float), vocabulary).astype(np.float32) for c in ("m", "n")]))
-    kind = docs.schema[id_col].dataType.simpleString()
+    hot, seen = of(SEEN)
+    pair = (hot & np.uint64(1)).astype(bool)
+    shared = spark.sparkContext.broadcast((
+        grams, *[losses(grams, c, vocabulary).astype(np.float32) for c in spelled],
+        hot, *[_bits(pair, c, n_words[i], size) for i, c in enumerate(seen)]))
+    begin = [float(np.log2(n + SMOOTH)) for n in n_texts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, aim_loss, back_loss = tables.value
+        at, aim_loss, back_loss, known, aim_bits, back_bits = shared.value
         slot = np.zeros(SIZE ** ORDER, dtype=np.int32)
         slot[at] = np.arange(len(at))
         for batch in batches:
-            n, a, b = [], [], []
-            for v in batch["raw"]:
-                g = slot[codes(v.as_py())]
-                n.append(len(g))
-                a.append(float(aim_loss[g].mean(dtype=np.float64)) if len(g) else None)
-                b.append(float(back_loss[g].mean(dtype=np.float64)) if len(g) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(n, pa.int64()), pa.array(a, pa.float64()), pa.array(b, pa.float64())],
-                names=["doc_id", "n_symbols", "target_loss", "background_loss"])
-
-    out = read.mapInArrow(run, f"doc_id {kind}, n_symbols long, target_loss double, background_loss double")
-    return out.withColumn("score", F.col("target_loss") - F.col("background_loss"))
+            for v, key, t in zip(batch["raw"], batch["key"].to_pylist(), batch["t"].to_pylist()):
+                raw = v.as_py()
+                s = slot[codes(raw)]
+                all_grams = word_grams(raw)
+                g, c = np.unique(all_grams, return_counts=True)
+                bits = [0.0, 0.0]
+                if len(g):
+                    bits = list(begin)
+                    if len(known):
+                        near = np.minimum(np.searchsorted(known, g), len(known) - 1)
+                        hit = known[near] == g
+                        bits = [x + float((c[hit] * y[near[hit]]).sum())
+                                for x, y in zip(begin, (aim_bits, back_bits))]
+                        g, c = g[~hit], c[~hit]
+                # counts are positive, twice the count and the target mark; what the document has settled is negative
+                done = [len(s), float(aim_loss[s].mean(dtype=np.float64)) if len(s) else 0.0,
+                        float(back_loss[s].mean(dtype=np.float64)) if len(s) else 0.0, len(all_grams) // 2, *bits]
+                own = mix(np.array([key], dtype=np.int64).view(np.uint64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([g, np.repeat(own, len(done))]).view(np.int64)),
+                     pa.array(np.full(len(g) + len(done), key, dtype=np.int64)),
+                     pa.array(np.concatenate([2 * c + int(t), -1 - np.arange(len(done))]).astype(np.int32)),
+                     pa.array([None] * len(g) + [float(x) for x in done], pa.float64())],
+                    names=["gram", "key", "c", "x"])
+
+    sent = flagged.mapInArrow(run, "gram long, key long, c int, x double")
+    every = Window.partitionBy("gram")
+    count = F.when(F.col("c") > 0, F.shiftright("c", 1)).otherwise(0)
+    of_target = F.when(F.col("c") > 0, F.shiftright("c", 1) * F.col("c").bitwiseAND(1)).otherwise(0)
+    added = sent.withColumn("n", F.sum(count).over(every)).withColumn("m", F.sum(of_target).over(every))
+
+    def bits(col: str, words: int) -> Column:
+        single = F.log2(F.lit(words + SMOOTH)) + F.log2(F.col(col) + F.lit(SMOOTH))
+        one = F.when(F.col("gram").bitwiseAND(1) == 0, single).otherwise(0.0) - F.log2(F.col(col) + F.lit(SMOOTH / size))
+        return F.sum(F.when(F.col("c") > 0, F.shiftright("c", 1) * one))
+
+    def settled(i: int) -> Column:
+        return F.max(F.when(F.col("c") == -1 - i, F.col("x")))
+
+    per = added.groupBy("key").agg(
+        F.count(F.when(F.col("c") == -1, 1)).alias("rows"), settled(0).cast("long").alias("n_symbols"),
+        settled(1).alias("ta"), settled(2).alias("ba"), settled(3).cast("long").alias("n_words"),
+        settled(4).alias("tw"), settled(5).alias("bw"), bits("m", n_words[0]).alias("tc"), bits("n", n_words[1]).alias("bc"))
+
+    def mean(done: str, cold: str) -> Column:
+        total = F.col(done) + F.coalesce(F.col(cold) / F.col("rows"), F.lit(0.0))
+        return F.when(F.col("n_words") > 0, total / (2 * F.col("n_words") + 1))
+
+    spelt = F.col("n_symbols") > 0
+    per = per.select("key", "n_symbols", F.when(spelt, F.col("ta")).alias("target_loss"),
+                     F.when(spelt, F.col("ba")).alias("background_loss"), "n_words",
+                     mean("tw", "tc").alias("word_target_loss"), mean("bw", "bc").alias("word_background_loss"))
+    out = read.select("doc_id", "key").join(per, "key").drop("key")
+    return out.withColumn("score", F.col("word_target_loss") - F.col("word_background_loss"))

@@ -264,6 +264,46 @@ def test_op7(spark, small):
             assert abs(got[col][i] - want) < 1e-4
 
 
+@pytest.mark.parametrize("sample", [1, 32])
+def test_op7_words(spark, small, sample):
+    """Word n-gram losses against plain counts; repeated and null-id rows, words alike in folded symbols."""
+    from collections import Counter
+    rows = [(i, t) for i, t in enumerate(ROWS)] + [(6, BASE), (None, "one two"), (None, "one three"),
+            (900, "\u65e5#1 tail"), (901, "\u65c5$2 tail")]
+    good = {i for i in range(len(ROWS)) if i % 2} | {900}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = lm_score.score(docs, spark.createDataFrame([(i,) for i in good], "doc_id long"), sample=sample, least=2).collect()
+
+    def grams(t):
+        w = brute.WORD.findall((t or "").translate(brute.UPPER))
+        return w, list(zip([None] + w, w + [None])) if w else []
+
+    counts = []
+    for keep in (lambda i: i in good, lambda i: True):
+        one, two, context = Counter(), Counter(), Counter()
+        for i, t in rows:
+            if keep(i):
+                w, p = grams(t)
+                one.update(w), two.update(p), context.update(v for v, _ in p)
+        counts.append((one, two, context))
+    size, s = len(counts[1][0]) + 1, lm_score.SMOOTH
+    want = []
+    for i, t in rows:
+        w, p = grams(t)
+        loss = [None if not w else (
+            -sum(np.log2((one[x] + s / size) / (sum(one.values()) + s)) for x in w)
+            - sum(np.log2((two[x] + s / size) / (context[x[0]] + s)) for x in p)) / (len(w) + len(p))
+            for one, two, context in counts]
+        want.append((-1 if i is None else i, len(w), *loss))
+    have = [(-1 if r["doc_id"] is None else r["doc_id"], r["n_words"], r["word_target_loss"], r["word_background_loss"]) for r in got]
+    order = lambda r: (r[0], r[1], r[3] or 0)
+    assert len(have) == len(want)
+    for a, b in zip(sorted(have, key=order), sorted(want, key=order)):
+        assert a[:2] == b[:2] and (a[2:] == b[2:] if b[2] is None else np.allclose(a[2:], b[2:], atol=1e-9)), (a, b)
+    by_id = {r["doc_id"]: r["score"] for r in got}
+    assert by_id[900] < by_id[901] - 0.1
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(rnd.randint(0, 200), rnd.randint(0, 200)) for _ in range(120)] + [(1000 + i, 1001 + i) for i in range(40)]
