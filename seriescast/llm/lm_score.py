@@ -43,7 +43,7 @@ SIZE = 64
 SMOOTH = 4.0           # weight of the shorter context, in counts
 HOT = 200_000          # word n-grams that are counted apart, those most common in the sample
 SAMPLE, LEAST = 32, 4  # every 32nd document; sampled documents that must have the n-gram
-CHUNK = 1 << 22        # n-grams that a task gathers before it counts them
+CHUNK = 1 << 21        # n-grams that a task gathers before it counts them
 
 
 def _symbols() -> np.ndarray:
@@ -78,6 +78,12 @@ def word_grams(raw: bytes) -> np.ndarray:
     return np.concatenate([w ^ np.uint64(1), pairs | np.uint64(1)])
 
 
+def _add(grams: np.ndarray, n: np.ndarray, more: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of two tables of distinct n-grams and counts."""
+    both, at = np.unique(np.concatenate([grams, more]), return_inverse=True)
+    return both, np.bincount(at, weights=np.concatenate([n, m]), minlength=len(both)).astype(np.int64)
+
+
 def marked(read: DataFrame, ids: DataFrame) -> DataFrame:
     """``read`` with ``t``: whether ``doc_id`` is among ``ids`` (broadcast up to ``BROADCAST_IDS``)."""
     ids = written(ids.where("doc_id IS NOT NULL").withColumn("t", F.lit(True)))
@@ -109,9 +115,10 @@ def tally(read: DataFrame, hot: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         seen, total = np.zeros((2, len(known)), dtype=np.int64), np.zeros((2, 2), dtype=np.int64)
-        spelled = [np.zeros(SIZE ** ORDER, dtype=np.int64) for _ in range(2)]
+        spelled = [(np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)) for _ in range(2)]
         waiting: list[list[np.ndarray]] = [[], []]
-        size = 0
+        spelling: list[list[np.ndarray]] = [[], []]
+        size = length = 0
 
         def rows(kind: int, grams: np.ndarray, n: np.ndarray, m: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(grams), 100_000):
@@ -136,11 +143,21 @@ def tally(read: DataFrame, hot: np.ndarray) -> DataFrame:
             zero = np.zeros(len(words), dtype=np.int64)
             yield from rows(WORD, words, zero, zero)
 
+        def fold_spelling() -> None:
+            for t in range(2):
+                if spelling[t]:
+                    g, n = np.unique(np.concatenate(spelling[t]), return_counts=True)
+                    spelled[t] = _add(*spelled[t], g, n)
+                    spelling[t] = []
+
         for batch in batches:
             for v, t in zip(batch["raw"], batch["t"].to_pylist()):
                 raw = v.as_py()
-                g, c = np.unique(codes(raw), return_counts=True)
-                spelled[t][g] += c
+                spelling[t].append(codes(raw))
+                length += len(raw)
+                if length > CHUNK:
+                    fold_spelling()
+                    length = 0
                 g = word_grams(raw)
                 if not len(g):
                     continue
@@ -152,8 +169,9 @@ def tally(read: DataFrame, hot: np.ndarray) -> DataFrame:
                     size = 0
         if size:
             yield from fold()
-        both = np.flatnonzero(spelled[0] + spelled[1])
-        yield from rows(SPELLED, both, (spelled[0] + spelled[1])[both], spelled[1][both])
+        fold_spelling()
+        for t, (g, n) in enumerate(spelled):
+            yield from rows(SPELLED, g, n, t * n)
         yield from rows(SEEN, known, seen.sum(axis=0), seen[1])
         yield from rows(TOTAL, np.arange(2), total.sum(axis=0), total[1])
 
@@ -221,6 +239,14 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
         at, aim_loss, back_loss, known, aim_bits, back_bits = shared.value
         slot = np.zeros(SIZE ** ORDER, dtype=np.int32)
         slot[at] = np.arange(len(at))
+        kept: list[tuple] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.concatenate(x)) for x in list(zip(*kept))[:3]]
+                + [pa.array(np.concatenate([x[3] for x in kept]), from_pandas=True)], names=["gram", "key", "c", "x"])
+
         for batch in batches:
             for v, key, t in zip(batch["raw"], batch["key"].to_pylist(), batch["t"].to_pylist()):
                 raw = v.as_py()
@@ -240,12 +266,16 @@ def score(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
                 done = [len(s), float(aim_loss[s].mean(dtype=np.float64)) if len(s) else 0.0,
                         float(back_loss[s].mean(dtype=np.float64)) if len(s) else 0.0, len(all_grams) // 2, *bits]
                 own = mix(np.array([key], dtype=np.int64).view(np.uint64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate([g, np.repeat(own, len(done))]).view(np.int64)),
-                     pa.array(np.full(len(g) + len(done), key, dtype=np.int64)),
-                     pa.array(np.concatenate([2 * c + int(t), -1 - np.arange(len(done))]).astype(np.int32)),
-                     pa.array([None] * len(g) + [float(x) for x in done], pa.float64())],
-                    names=["gram", "key", "c", "x"])
+                kept.append((np.concatenate([g, np.repeat(own, len(done))]).view(np.int64),
+                             np.full(len(g) + len(done), key, dtype=np.int64),
+                             np.concatenate([2 * c + int(t), -1 - np.arange(len(done))]).astype(np.int32),
+                             np.concatenate([np.full(len(g), np.nan), done])))
+                size += len(kept[-1][0])
+                if size > 50_000:
+                    yield flush()
+                    kept, size = [], 0
+        if kept:
+            yield flush()
 
     sent = flagged.mapInArrow(run, "gram long, key long, c int, x double")
     every = Window.partitionBy("gram")
