@@ -7,14 +7,19 @@ documents P and unlabelled documents U with the class-prior-corrected risk
     prior * R_P(toxic) + max(0, R_U(clean) - prior * R_P(clean))
 
 whose second part is kept non-negative: where it falls below zero its gradient is
-reversed.  The prior is the share of toxic rows among the labels of the training
-side.  Scoring is one pass over all documents.
+reversed.  Scoring is one pass over all documents.
 
-The fit uses at most ``MAX_POSITIVE`` confirmed and ``MAX_UNLABELLED`` unlabelled
-documents, those with the smallest hashes of their ids; these two parameters
+Both sets hold distinct texts, so copies weigh nothing in them, and the prior is
+the share of toxic ones among the distinct labelled texts (toxic if any label of a copy
+says so).  The fit uses at most ``MAX_POSITIVE`` confirmed and ``MAX_UNLABELLED`` unlabelled
+texts, those with the smallest hashes of their ids; these two parameters
 bound what is collected and broadcast.  Documents held out (``crc32(id) % 5 = 0``)
 are in neither set.
 
+U holds toxic texts too: the share of a feature among clean texts is estimated as
+``(share in U - prior * share in P) / (1 - prior)``, and features are chosen by their share
+in P over that, whatever the prior.
+
 Defined cases: null or empty text has no features and gets the score of the
 intercept; without confirmed examples every score is 0; repeated label rows count
 as one (toxic if any says so); empty tables give empty results; label, language,
@@ -31,15 +36,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm.decontaminate import NORMAL
-from seriescast.llm.text import BYTE_CODES, Rolling, utf8, word_bounds
+from seriescast.llm.text import BYTE_CODES, Rolling, utf8, word_bounds, written
 
 DIMENSIONS = 1 << 20
 PREFIXES = (3, 4, 5, 6, 7, 8)
 MAX_POSITIVE = 4000
 MAX_UNLABELLED = 12_000
 FOLDS = 5
-LEAST = 6              # documents of P that must have a feature
-LIFT = 3.0             # how much likelier it must be in P than in U
+LEAST = 6              # confirmed documents, copies included, that must have a feature (fewer of under 300: 1 in 50)
+LIFT = 3.0             # how much likelier it must be in P than in clean texts
 STEPS, RATE, DECAY = 300, 0.1, 1e-4
 
 
@@ -69,14 +74,22 @@ def features(raw: bytes) -> np.ndarray:
     return np.unique(occurrences(raw))
 
 
-def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def nn_pu(rows: list[np.ndarray], positive: np.ndarray, prior: float,
+          copies: np.ndarray | None = None) -> tuple[np.ndarray, float]:
     """Weights (dense over ``DIMENSIONS``) and intercept, by full-batch Adam on the nnPU risk
-    with the logistic loss."""
+    with the logistic loss; ``copies`` are the documents of each text."""
+    copies = np.ones(len(rows), dtype=np.int64) if copies is None else copies
     n_p, n_u = int(positive.sum()), int((~positive).sum())
     in_p, in_u = np.zeros(DIMENSIONS, dtype=np.int32), np.zeros(DIMENSIONS, dtype=np.int32)
-    for r, p in zip(rows, positive):
+    having = np.zeros(DIMENSIONS, dtype=np.int64)
+    for r, p, c in zip(rows, positive, copies):
         (in_p if p else in_u)[r] += 1
-    use = (in_p >= LEAST) & (in_p / max(1, n_p) >= LIFT * (in_u + 1) / max(1, n_u))
+        if p:
+            having[r] += c
+    in_p, in_u = in_p / max(1, n_p), in_u / max(1, n_u)
+    least = min(LEAST, max(1, int(copies[positive].sum()) // 50))
+    clean = np.maximum(0.0, in_u - prior * in_p) / (1 - prior)
+    use = (having >= least) & (in_p >= LIFT * clean)
     column = np.cumsum(use) - 1
     cols = [column[r[use[r]]] for r in rows]
     at = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
@@ -112,29 +125,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """Fit on the training side; None without confirmed toxic documents."""
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).where("id IS NOT NULL AND y IS NOT NULL")
     marks = marks.where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
-    stats = marks.agg(F.avg("y").alias("prior"), F.sum("y").alias("n")).first()
+    raw = utf8(text_col)
+    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(raw).alias("text")).where("id IS NOT NULL")
+    ids = ids.where(~held_out(F.col("id")))
+    # one row per distinct text of the training side; the document with the smallest hash stands for it
+    texts = written(ids.join(marks, "id", "left").groupBy("text")
+                    .agg(F.min(F.struct(F.xxhash64("id").alias("h"), "id")).alias("one"), F.max("y").alias("y"),
+                         F.count("*").alias("copies")).select("one.h", "one.id", "y", "copies"))
+    stats = texts.agg(F.avg("y").alias("prior"), F.sum("y").alias("n")).first()
     if not stats["n"]:
         return None
-    toxic = marks.where("y = 1").select("id")
-    order = [F.xxhash64("id"), "id"]
-    p = toxic.orderBy(*order).limit(MAX_POSITIVE)
-    ids = docs.select(F.col(id_col).alias("id")).where("id IS NOT NULL").where(~held_out(F.col("id")))
-    u = ids.orderBy(*order).limit(MAX_UNLABELLED)  # drawn from all texts, as the risk estimator assumes
+    order = ["h", "id"]
+    p = texts.where("y = 1").orderBy(*order).limit(MAX_POSITIVE).select("id", "copies")
+    u = texts.orderBy(*order).limit(MAX_UNLABELLED).select("id", "copies")  # all texts, as the risk estimator assumes
     # at most MAX_POSITIVE + MAX_UNLABELLED ids
     chosen = p.withColumn("p", F.lit(True)).unionByName(u.withColumn("p", F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["p"], pa.array([features(v.as_py()) for v in batch["raw"]],
-                                                                                pa.list_(pa.int32()))], names=["id", "p", "f"])
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["p"], batch["copies"], pa.array([features(v.as_py()) for v in batch["raw"]],
+                                                                                pa.list_(pa.int32()))], names=["id", "p", "copies", "f"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = (docs.select(F.col(id_col).alias("id"), utf8(text_col).alias("raw")).join(F.broadcast(chosen), "id")
-            .select("id", "p", "raw").mapInArrow(run, f"id {kind}, p boolean, f array<int>")
+            .select("id", "p", "copies", "raw").mapInArrow(run, f"id {kind}, p boolean, copies long, f array<int>")
             .toArrow().sort_by("id"))
     seen = [np.asarray(v.values, dtype=np.int32) for v in rows["f"]]
-    prior = min(0.5, max(1e-4, float(stats["prior"])))
-    return nn_pu(seen, np.array(rows["p"].to_pylist(), dtype=bool), prior)
+    prior = min(1 - 1e-4, max(1e-4, float(stats["prior"])))
+    return nn_pu(seen, np.array(rows["p"].to_pylist(), dtype=bool), prior, rows["copies"].to_numpy())
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",

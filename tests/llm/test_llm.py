@@ -264,6 +264,27 @@ def test_op7(spark, small):
             assert abs(got[col][i] - want) < 1e-4
 
 
+def test_op4_many_toxic_rows(spark):
+    """40 % toxic rows; and one toxic text copied to a third of all rows beside other toxic texts."""
+    rnd = random.Random(6)
+    bad = [f"vile{c}" for c in "abcdefgh"]
+
+    def text(toxic, words=VOCAB):
+        return " ".join([rnd.choice(words) for _ in range(60)] + [rnd.choice(bad) for _ in range(3 * toxic)])
+
+    many = [(i, text(i % 5 < 2), int(i % 5 < 2)) for i in range(1500)]
+    copy = "grubby rogue " + text(0) + " blackguard"
+    copied = [(i, copy if i % 3 == 0 else text(i % 10 == 1), int(i % 3 == 0 or i % 10 == 1)) for i in range(1500)]
+    for rows in (many, copied):
+        docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+        labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 7 < 4], "doc_id long, toxic int")
+        got = toxicity.score(docs, labels).toPandas().set_index("doc_id")
+        held = [r for r in rows if got.held_out[r[0]]]
+        assert len(held) > 200
+        assert np.mean([got.predicted[r[0]] == r[2] for r in held]) > 0.97
+        assert np.mean([got.predicted[r[0]] for r in held if r[2]]) > 0.95
+
+
 @pytest.mark.parametrize("sample", [1, 32])
 def test_op7_words(spark, small, sample):
     """Word n-gram losses against plain counts; repeated and null-id rows, words alike in folded symbols."""
