@@ -1,13 +1,13 @@
 """Operator 8, MinHash near-duplicates with odd sketches.
 
-1. Every text becomes the set of its 3-word shingles (64-bit hashes of the
-   lower-cased words).  ``HASHES`` MinHash samples of the set are cut into bands
+1. Every text becomes the set of its word shingles (64-bit hashes of the
+   lower-cased words).  At most ``HASHES`` MinHash samples of the set are cut into bands
    for candidates and folded into a parity bitmap (odd sketch): each sample flips
    one bit, so the XOR of two bitmaps counts the samples in which they differ.
 2. Texts with equal sets are one class, decided by a 128-bit digest of the set;
    only the class's smallest id goes on.
 3. Inside a band bucket every member is paired with one centre.  Pairs whose
-   bitmaps differ in more than ``SKETCH_LIMIT`` bits are far below the threshold and
+   bitmaps differ in more than ``sketch_limit`` bits are far below the threshold and
    dropped; the others are confirmed on the full sets.
 4. Components of the confirmed links are found.  In buckets that still hold more
    than one component every member outside the bucket's main component is compared
@@ -16,11 +16,12 @@
    confirmed on the full sets.  So each candidate pair is either confirmed, refuted,
    or inside one component already; no bucket's pairs are listed whole, none is capped.
 
-With bands of ``ROWS`` samples a pair at the threshold 0.85 shares no band with
-probability (1 - 0.85^6)^32 = 3e-7.  The sketch of 192 samples in 512 bits
-differs in about 52 bits at 0.85 (standard deviation 8 to 9); the limit 104
-lies six deviations above and stands for a similarity near 0.65.  The wide one differs in about 530 bits at 0.85
-(standard deviation about 30); the limit 690 lies more than five deviations above, near 0.8.
+The shingle length and the threshold (per cent) are arguments; ``Measure`` derives the
+rest from them.  The bands have as many samples as ``HASHES`` allow with a pair at the
+threshold sharing no band with probability at most ``MISSED``: 32 bands of 6 at 0.85, 38
+of 5 at 0.80.  The sketch limits lie five (upper bounds of the) standard deviations above
+the bits that differ at the threshold: about 52 of 512, limit 104, at 0.85 and about 66,
+limit 122, at 0.80; of the wide sketch about 530 of 4,096, limit 692, at 0.85.
 
 Defined cases: null or blank text has an empty set and is linked with nothing;
 fewer words than a shingle give one shingle of the whole sequence; repeated
@@ -32,7 +33,9 @@ rows (equal ids) fall into one component; empty tables give empty results;
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +47,47 @@ from seriescast.llm.text import LOWER, Rolling, checkpointed, mix, only_ids, unu
 
 SHINGLE = 3
 THRESHOLD = 85         # per cent
-BANDS, ROWS = 32, 6
-HASHES = BANDS * ROWS
+HASHES = 192
+MISSED = 3.1e-7        # chance that a pair at the threshold shares no band
+DEVIATIONS = 5
 SKETCH_BITS = 512
-SKETCH_LIMIT = 104
-WIDE_HASHES, WIDE_BITS, WIDE_LIMIT = 2048, 4096, 690
+WIDE_HASHES, WIDE_BITS = 2048, 4096
+
+
+class Measure(NamedTuple):
+    """Shingle length and similarity (per cent) of near copies, and what follows from them."""
+
+    shingle: int = SHINGLE
+    threshold: int = THRESHOLD
+
+    def _bands(self, rows: int) -> int:
+        share = min(0.999, self.threshold / 100) ** rows
+        return math.ceil(math.log(MISSED) / math.log(1 - share))
+
+    @property
+    def rows(self) -> int:
+        """Samples of a band: the most that fit ``HASHES``."""
+        return max([r for r in range(1, 17) if r * self._bands(r) <= HASHES], default=1)
+
+    @property
+    def bands(self) -> int:
+        return self._bands(self.rows)
+
+    def limit(self, hashes: int, bits: int) -> int:
+        """Bits of two odd sketches that differ at the threshold, and ``DEVIATIONS`` more."""
+        same = self.threshold / 100
+        even = (1 - 2 / bits) ** (2 * hashes * (1 - same))
+        spread = math.sqrt(bits / 4 * (1 - even ** 2) + (2 * even) ** 2 * hashes * same * (1 - same))
+        return math.ceil(bits / 2 * (1 - even) + DEVIATIONS * spread)
+
+    @property
+    def sketch_limit(self) -> int:
+        return self.limit(self.rows * self.bands, SKETCH_BITS)
+
+    @property
+    def wide_limit(self) -> int:
+        return self.limit(WIDE_HASHES, WIDE_BITS)
+
 
 _RNG = np.random.default_rng(8)
 _MUL_LO = _RNG.integers(1, 1 << 31, WIDE_HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -89,40 +128,59 @@ def sketch(samples: np.ndarray, bits: int = SKETCH_BITS) -> np.ndarray:
     return np.packbits(odd).view(np.int64)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        n, digest, bands, bits = [], [], [], []
-        for v in batch["raw"]:
-            s = shingle_set(v.as_py())
-            n.append(len(s))
-            if not len(s):
-                digest.append(None)
-                bands.append(None)
-                bits.append(None)
-                continue
-            digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-            m = min_hashes(s)
-            keys = Rolling(m.astype(np.uint64), 0).slices(np.arange(0, HASHES, ROWS), np.arange(ROWS, HASHES + 1, ROWS))
-            bands.append(mix(keys ^ _SALT[:BANDS]).view(np.int64))
-            bits.append(sketch(m))
-        longs = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                                          pa.array(bands, longs), pa.array(bits, longs)],
-                                         names=["doc_id", "n_shingles", "digest", "bands", "bits"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [shingle_set(v.as_py()).view(np.int64) for v in batch["raw"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))],
-                                         names=["doc_id", "shingles"])
-
-
-def _wide_sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        wide = [sketch(min_hashes(shingle_set(v.as_py()), WIDE_HASHES), WIDE_BITS) for v in batch["raw"]]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(wide, pa.list_(pa.int64()))],
-                                         names=["doc_id", "wide"])
+Pass = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _signatures(measure: Measure) -> Pass:
+    rows, bands_, k = measure.rows, measure.bands, measure.shingle
+    hashes = rows * bands_
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, digest, bands, bits = [], [], [], []
+            for v in batch["raw"]:
+                s = shingle_set(v.as_py(), k)
+                n.append(len(s))
+                if not len(s):
+                    digest.append(None)
+                    bands.append(None)
+                    bits.append(None)
+                    continue
+                digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                m = min_hashes(s, hashes)
+                keys = Rolling(m.astype(np.uint64), 0).slices(np.arange(0, hashes, rows), np.arange(rows, hashes + 1, rows))
+                bands.append(mix(keys ^ _SALT[:bands_]).view(np.int64))
+                bits.append(sketch(m))
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
+                                              pa.array(bands, longs), pa.array(bits, longs)],
+                                             names=["doc_id", "n_shingles", "digest", "bands", "bits"])
+
+    return run
+
+
+def _sets(measure: Measure) -> Pass:
+    k = measure.shingle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(v.as_py(), k).view(np.int64) for v in batch["raw"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.list_(pa.int64()))],
+                                             names=["doc_id", "shingles"])
+
+    return run
+
+
+def _wide_sketches(measure: Measure) -> Pass:
+    k = measure.shingle
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wide = [sketch(min_hashes(shingle_set(v.as_py(), k), WIDE_HASHES), WIDE_BITS) for v in batch["raw"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(wide, pa.list_(pa.int64()))],
+                                             names=["doc_id", "wide"])
+
+    return run
 
 
 def _differ(x: str, y: str) -> Column:
@@ -143,21 +201,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, threshold: int = THRESHOLD) -> Da
     return (pairs.join(right, "b").join(left, "a").where(100 * both >= threshold * union).select("a", "b"))
 
 
-def _fetch_sets(text: DataFrame, ids: DataFrame) -> DataFrame:
+def _fetch_sets(text: DataFrame, ids: DataFrame, measure: Measure) -> DataFrame:
     """Shingle sets of the documents ``ids``."""
     kind = text.schema["doc_id"].dataType.simpleString()
-    return only_ids(text, ids).mapInArrow(_sets, f"doc_id {kind}, shingles array<long>")
+    return only_ids(text, ids).mapInArrow(_sets(measure), f"doc_id {kind}, shingles array<long>")
 
 
 def _ids(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
 
 
-def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+def links(docs: DataFrame, reps: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """(node, comp) of the class representatives ``reps`` that are linked with another one."""
+    threshold = measure.threshold
     # set sizes bound the similarity from above: min / max
     sizes = 100 * F.least("na", "nb") >= threshold * F.greatest("na", "nb")
-    near = _differ("xa", "xb") <= SKETCH_LIMIT
+    near = _differ("xa", "xb") <= measure.sketch_limit
     seen = reps.select("doc_id", F.col("n_shingles").alias("n"), "bits")
 
     def with_sketch(df: DataFrame, col: str) -> DataFrame:
@@ -170,7 +229,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataF
     live = written(buckets.join(many, "key"))
     pairs = live.where("centre < doc_id").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     star = written(with_sketch(with_sketch(pairs, "a"), "b").where(sizes).where(near).select("a", "b"))
-    sets = written(_fetch_sets(docs, _ids(star)))
+    sets = written(_fetch_sets(docs, _ids(star), measure))
     edges = checkpointed(confirm(star, sets, threshold))
     comp = components(edges)
 
@@ -183,7 +242,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataF
     open_ = written(member.join(tops, "key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     wide = written(only_ids(docs, open_.select("doc_id").distinct())
-                   .mapInArrow(_wide_sketches, f"doc_id {kind}, wide array<long>"))
+                   .mapInArrow(_wide_sketches(measure), f"doc_id {kind}, wide array<long>"))
     open_ = open_.join(reps.select("doc_id", F.col("n_shingles").alias("n"), "bits", "bands"), "doc_id").join(wide, "doc_id")
     outer = open_.where("comp <> main").select("key", F.col("doc_id").alias("p"), F.col("n").alias("na"),
                                                F.col("bits").alias("xa"), F.col("comp").alias("ca"), "main",
@@ -191,7 +250,7 @@ def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataF
     inner = open_.select("key", F.col("doc_id").alias("q"), F.col("n").alias("nb"), F.col("bits").alias("xb"),
                          F.col("comp").alias("cb"), F.col("wide").alias("yb"), F.col("bands").alias("bb"))
     nearer = F.aggregate(F.zip_with("ya", "yb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0),
-                         lambda s, v: s + v) <= WIDE_LIMIT
+                         lambda s, v: s + v) <= measure.wide_limit
     # two members outside the main component meet once in a bucket, and in their first bucket only
     first = F.array_min(F.array_intersect("ba", "bb")) == F.col("key")
     once = F.expr("ca <> cb AND (cb = main OR p < q)")
@@ -200,22 +259,23 @@ def links(docs: DataFrame, reps: DataFrame, threshold: int = THRESHOLD) -> DataF
     rest = written(rest.join(star, ["a", "b"], "left_anti"))
     if rest.isEmpty():
         return comp
-    late = _fetch_sets(docs, _ids(rest).join(sets.select("doc_id"), "doc_id", "left_anti"))
+    late = _fetch_sets(docs, _ids(rest).join(sets.select("doc_id"), "doc_id", "left_anti"), measure)
     found = checkpointed(confirm(rest, sets.unionByName(late), threshold))
     return comp if found.isEmpty() else components(edges.unionByName(found))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-            threshold: int = THRESHOLD) -> DataFrame:
+            threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One row per document: id, set size, component (smallest id reachable) and ``kept``."""
+    measure = Measure(shingle, threshold)
     read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
     kind = docs.schema[id_col].dataType.simpleString()
     signed = written(read.mapInArrow(
-        _signatures, f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, bits array<long>"))
+        _signatures(measure), f"doc_id {kind}, n_shingles long, digest binary, bands array<long>, bits array<long>"))
     first = written(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
     reps = written(signed.select("doc_id", "n_shingles", "bands", "bits")
                    .join(first.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"))
-    comp = links(read, reps, threshold)
+    comp = links(read, reps, measure)
     named = first.join(comp, first["rep"] == comp["node"], "left").select(
         "digest", F.coalesce("comp", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
@@ -223,10 +283,11 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select("doc_id", "n_shingles", cid.alias("component_id"), (cid == F.col("doc_id")).alias("kept"))
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+               threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component (its smallest id), all columns unchanged."""
     own = unused(docs, "_id")
-    judged = checkpointed(classes(docs, id_col, text_col).select(F.col("doc_id").alias(own), "kept"))
+    judged = checkpointed(classes(docs, id_col, text_col, threshold, shingle).select(F.col("doc_id").alias(own), "kept"))
     out = docs.join(judged.where("NOT kept").select(own).distinct(), F.expr(f"`{id_col}` <=> `{own}`"), "left_anti")
     if judged.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
         return out

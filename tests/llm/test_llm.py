@@ -115,6 +115,23 @@ def test_op8_chain_and_large_group(spark):
     assert _rows(got, 4) == sorted(brute.op8(list(enumerate(rows))))
 
 
+def test_pipeline_near_dedup_rule(spark):
+    """The stage's own rule, 5 words and 0.8: added blocks between 0.80 and 0.85, scattered edits below."""
+    base = _text(200)
+    rows = [base] + [base + " " + " ".join(f"b{i}x{k}" for k in range(30 + 2 * i)) for i in range(12)]
+    other = _text(200).split()
+    rows += [" ".join(other)] + [" ".join(f"e{i}" if k % 37 == i % 5 + 3 else w for k, w in enumerate(other))
+                                 for i in range(12)]
+    assert near_dup.Measure(5, 80).bands * near_dup.Measure(5, 80).rows <= near_dup.HASHES
+    assert (near_dup.Measure().bands, near_dup.Measure().rows, near_dup.Measure().sketch_limit) == (32, 6, 104)
+    docs = _docs(spark, rows)
+    rule = brute.op8(list(enumerate(rows)), 5, 80)
+    assert {d for d, *_, kept in rule if kept} != {d for d, *_, kept in brute.op8(list(enumerate(rows))) if kept}
+    got = dict(corpus_pipeline.STAGES)["near_dedup"](spark, docs, "")
+    assert {r["doc_id"] for r in got.collect()} == {d for d, *_, kept in rule if kept}
+    assert _rows(near_dup.classes(docs, threshold=80, shingle=5), 4) == sorted(rule)
+
+
 def test_op8_repeated_rows(spark):
     docs = _docs(spark, ROWS[:10])
     twice = docs.unionByName(docs)
