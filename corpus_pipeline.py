@@ -27,7 +27,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark passage above the coverage limit."""
+    """Documents that hold no benchmark passages above the coverage limit, passages above the length limit cut."""
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 

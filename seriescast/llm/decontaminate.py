@@ -14,7 +14,10 @@ bounded whatever the size of the benchmark; every document meets every block.
 Defined cases: null or empty text has no words, is never hit; an item without
 words is ignored; equal items are each reported; empty tables give empty results
 or clean documents; ``id_col``/``text_col`` alone are read, other columns stay out
-of ``score`` and unchanged in ``keep_clean``.
+of ``score`` and unchanged in ``keep_clean``, but for the characters of a text that
+``keep_clean`` cut: hit spans of ``limit`` words or more leave the texts of the
+documents that stay (with what parts them from the next word), again until none is
+left, so that no cut joins the two ends of a passage.
 """
 
 from __future__ import annotations
@@ -27,10 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seriescast.llm.text import covered, runs, utf8
+from seriescast.llm.text import covered, runs, utf8, word_bounds
 
 WINDOW = 13
 COVERAGE = 20          # contaminated: COVERAGE * n_hit >= n_words
+SPAN = WINDOW          # words of a hit span that is cut from a kept document
 BLOCK_WORDS = 250_000
 
 _KEEP = set(range(48, 58)) | set(range(97, 123)) | set(range(128, 256))
@@ -224,18 +228,56 @@ def score(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
-               coverage: int = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """The documents that are not contaminated, all columns unchanged, in one pass without a shuffle."""
+               coverage: int = COVERAGE, block_words: int = BLOCK_WORDS, limit: int = SPAN,
+               chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents that are not contaminated, without their hit spans of ``limit`` words or more, in one
+    pass without a shuffle; ``chars_col`` of the cut texts is brought up to date, all else unchanged."""
     blocks = automata(docs, benchmark, item_col, item_text, window, block_words)
+    at = docs.columns.index(text_col)
+    chars = docs.columns.index(chars_col) if chars_col in docs.columns else None
+
+    def hit_flags(raw: bytes) -> np.ndarray | None:
+        ws = normal_words(raw)
+        hits = [x for b in blocks for x in b.value.scan(ws)[0]]
+        return covered(len(ws), *np.array(hits).T) if hits else None
+
+    def cut(raw: bytes, flags: np.ndarray | None) -> bytes:
+        while flags is not None:
+            spans = [(a, b) for a, b in zip(*runs(flags)) if b - a >= limit]
+            if not spans:
+                break
+            start = np.append(word_bounds(np.frombuffer(raw.translate(NORMAL), dtype=np.uint8))[0], len(raw))
+            parts, upto = [], 0
+            for a, b in spans:
+                parts.append(raw[upto: start[a]])
+                upto = int(start[b])
+            raw = b"".join([*parts, raw[upto:]])
+            flags = hit_flags(raw)
+        return raw
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for v in batch[text_col]:
-                ws = normal_words((v.as_py() or "").encode())
-                hits = [x for b in blocks for x in b.value.scan(ws)[0]]
-                n_hit = int(covered(len(ws), *np.array(hits).T).sum()) if hits else 0
-                keep.append(not (n_hit > 0 and coverage * n_hit >= len(ws)))
+            keep, new = [], {}
+            for i, v in enumerate(batch[text_col]):
+                raw = (v.as_py() or "").encode()
+                flags = hit_flags(raw)
+                keep.append(flags is None or coverage * int(flags.sum()) < len(flags))
+                if keep[-1]:
+                    left = cut(raw, flags)
+                    if left != raw:
+                        new[i] = left.decode()
+            if new:
+                columns = list(batch.columns)
+                texts = columns[at].to_pylist()
+                sizes = columns[chars].to_pylist() if chars is not None else []
+                for i, text in new.items():
+                    texts[i] = text
+                    if chars is not None:
+                        sizes[i] = len(text)
+                columns[at] = pa.array(texts, columns[at].type)
+                if chars is not None:
+                    columns[chars] = pa.array(sizes, columns[chars].type)
+                batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

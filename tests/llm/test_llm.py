@@ -115,6 +115,24 @@ def test_op8_chain_and_large_group(spark):
     assert _rows(got, 4) == sorted(brute.op8(list(enumerate(rows))))
 
 
+def test_pipeline_cuts_passages(spark, tmp_path):
+    """A long document stays without its benchmark passage, a short one goes, short hits stay."""
+    words = [f"item{i}" for i in range(60)]
+    passage = "Item0, " + " ".join(words[1:30]) + "\n" + " ".join(words[30:])
+    head, tail = _text(1500) + ". ", " " + _text(500)
+    # the ends of a passage around another one
+    nested = head + " ".join(words[:8]) + " " + " ".join(words[20:50]) + " " + " ".join(words[8:16]) + tail
+    rows = [head + passage + tail, _text(100) + " " + passage, head + " ".join(words[:12]) + tail, nested, None]
+    docs = _docs(spark, rows).withColumn("n_chars", F.length("text"))
+    spark.createDataFrame([(1, " ".join(words)), (2, "zz")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert out.schema == docs.schema and sorted(got) == [0, 2, 3, 4]
+    assert got[0]["text"] == head + tail[1:] and got[0]["n_chars"] == len(got[0]["text"])
+    assert got[2]["text"] == rows[2] and got[4]["text"] is None and got[4]["n_chars"] is None
+    assert got[3]["text"] == head + tail[1:]
+
+
 def test_pipeline_near_dedup_rule(spark):
     """The stage's own rule, 5 words and 0.8: added blocks between 0.80 and 0.85, scattered edits below."""
     base = _text(200)
