@@ -71,7 +71,8 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         bins: int = BINS) -> DataFrame:
-    """One row per document: id, ``size``, ``source_size``, ``target``, ``taken``, ``weight``."""
+    """One row per document: id, ``size``, ``source_size``, ``target``, ``taken``, ``weight`` and the
+    text's ``digest``."""
     size = F.size(words(F.col(text_col))).cast("long")
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("src"), size.alias("size"),
                         F.col(text_col).alias("t"))
@@ -80,6 +81,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .withColumn("key", -F.log(uniform(F.col("doc_id"))) / F.col("weight"))
         # exp(-key) is in (0, 1): ascending bins hold descending exp(-key)
         .withColumn("bin", F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * bins).cast("int"))
+        .withColumn("digest", F.xxhash64(F.coalesce(F.col("t"), F.lit(""))))
         .drop("t"))
     per_bin = checkpointed(keyed.groupBy("src", "bin").agg(F.sum("size").alias("bin_size")))
     goal = targets(per_bin.groupBy("src").agg(F.sum("bin_size").alias("source_size")))
@@ -96,7 +98,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         .when(F.col("before") >= F.col("rest"), F.lit("none")).otherwise(F.lit("cut")).alias("part")))
     rows = keyed.join(cuts, F.expr("src <=> src_ AND bin = bin_")).drop("src_", "bin_")
     inside = rows.where("part = 'cut'")
-    order = Window.partitionBy("src", "bin").orderBy("key", "doc_id", "size")
+    order = Window.partitionBy("src", "bin").orderBy("key", "doc_id", "size", "digest")
     run = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     room = F.round("rest").cast("long") - F.col("before") - (run - F.col("size"))
     inside = inside.withColumn("extra", F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), room)))
@@ -104,17 +106,19 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                                                      .otherwise(0).cast("long"))
     return outside.unionByName(inside).select(
         "doc_id", F.col("src").alias("source"), "size", "source_size", "target",
-        (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "weight")
+        (F.col("passes") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "weight", "digest")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents that the mix takes, with ``taken`` (words) and ``copies`` (passes over the
-    document; a fraction is its first words); columns of these names are replaced.  Rows with
-    equal ids share one row's share."""
+    document; a fraction is its first words); columns of these names are replaced.  Rows equal in
+    id, text and source share one row's share."""
     docs = docs.drop("taken", "copies")
-    own = unused(docs, "_id")
+    own, src, text = (unused(docs, name) for name in ("_id", "_src", "_text"))
     got = (mix(docs, id_col, text_col, source_col).where("taken > 0")
-           .groupBy(F.col("doc_id").alias(own))
+           .groupBy(F.col("doc_id").alias(own), F.col("source").alias(src), F.col("digest").alias(text))
            .agg(F.max(F.struct("taken", (F.col("taken") / F.col("size")).alias("copies"))).alias("m"))
-           .select(own, F.col("m.taken").alias("taken"), F.col("m.copies").alias("copies")))
-    return docs.join(got, F.expr(f"`{id_col}` <=> `{own}`")).drop(own)
+           .select(own, src, text, F.col("m.taken").alias("taken"), F.col("m.copies").alias("copies")))
+    same = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(got, docs[id_col].eqNullSafe(got[own]) & docs[source_col].eqNullSafe(got[src])
+                     & (same == got[text])).drop(own, src, text)

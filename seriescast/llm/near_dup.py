@@ -26,8 +26,10 @@ limit 122, at 0.80; of the wide sketch about 530 of 4,096, limit 692, at 0.85.
 Defined cases: null or blank text has an empty set and is linked with nothing;
 fewer words than a shingle give one shingle of the whole sequence; repeated
 rows (equal ids) fall into one component; empty tables give empty results;
-``id_col`` must be non-null and ordered; further columns are ignored by
-``classes`` and kept by ``keep_first``.
+further columns are ignored by ``classes`` and kept by ``keep_first``.  ``id_col`` must be
+ordered; ``classes`` names components by it and so leaves rows of a null id without
+component unless another copy has an id.  ``keep_first`` tells rows apart by id and text:
+rows equal in both are one, null ids come last, further texts of an id by their digest.
 """
 
 from __future__ import annotations
@@ -287,8 +289,11 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """One document of each component (its smallest id), all columns unchanged."""
     own = unused(docs, "_id")
-    judged = checkpointed(classes(docs, id_col, text_col, threshold, shingle).select(F.col("doc_id").alias(own), "kept"))
-    out = docs.join(judged.where("NOT kept").select(own).distinct(), F.expr(f"`{id_col}` <=> `{own}`"), "left_anti")
-    if judged.groupBy(own).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return out
-    return out.dropDuplicates([id_col])  # repeated rows of one document
+    plain = docs.groupBy(id_col).agg(F.count("*").alias("n")).where(F.col(id_col).isNull() | (F.col("n") > 1)).isEmpty()
+    # ids that name one row each are enough; else null ids (last) and the texts of one id need a key of their own
+    key = F.col(id_col) if plain else F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"),
+                                               F.md5(utf8(text_col)).alias("text"))
+    keyed = docs.withColumn(own, key)
+    judged = checkpointed(classes(keyed, own, text_col, threshold, shingle).select(F.col("doc_id").alias(own), "kept"))
+    out = keyed.join(judged.where("NOT kept").select(own).distinct(), own, "left_anti")
+    return (out if plain else out.dropDuplicates([own])).select(*docs.columns)

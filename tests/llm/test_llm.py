@@ -133,6 +133,23 @@ def test_pipeline_cuts_passages(spark, tmp_path):
     assert got[3]["text"] == head + tail[1:]
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    """Rows of a null or repeated id are told apart by their texts."""
+    a, b, c, d, e = (_text(80) for _ in range(5))
+    rows = [(None, a, "s"), (None, b, "s"), (None, b, "s"), (1, c, "s"), (1, d, "s"), (1, d, "s"), (2, c, "s"),
+            (3, a, "s"), (None, None, "s"), (4, e + " x", "s"), (None, e, "s"), (5, e, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = near_dup.keep_first(docs, threshold=80, shingle=5)
+    want = [(None, b), (1, c), (1, d), (3, a), (None, None), (4, e + " x")]
+    order = lambda r: (str(r[0]), str(r[1]))
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted(want, key=order)
+    short = spark.createDataFrame([(1, "a b", "s"), (1, _text(30), "s"), (None, "c d e", "t"), (None, _text(20), "t")],
+                                  "doc_id long, text string, source string")
+    for r in mixing.mixed(short).collect():
+        assert r["taken"] <= 2 * len(r["text"].split()) and abs(r["copies"] * len(r["text"].split()) - r["taken"]) < 1e-9
+
+
 def test_pipeline_near_dedup_rule(spark):
     """The stage's own rule, 5 words and 0.8: added blocks between 0.80 and 0.85, scattered edits below."""
     base = _text(200)
