@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -167,7 +168,7 @@ def binary(col: pa.Array) -> Iterator[bytes]:
 
 def pieces(batch: pa.RecordBatch, limit: int = 1 << 21, col: str = "raw") -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each piece holds about ``limit`` text bytes (or one longer row)."""
-    size = np.asarray(pa.compute.binary_length(batch[col]).fill_null(0))
+    size = np.asarray(pc.binary_length(batch[col]).fill_null(0))
     at = start = 0
     for i, s in enumerate(size):
         if at and at + s > limit:
