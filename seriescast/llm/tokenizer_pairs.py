@@ -53,6 +53,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SHARD = 1 << 22       # pairs of one perfect hash
 BLOCK = 1 << 16       # vector slots that travel together
 LANES = 64            # partial vectors of one lane are summed before the lanes are
+PIECE = 1 << 18       # text bytes encoded, and four bytes of ids aligned, at once
 HELD = 1 << 20        # distinct pairs a task holds before it hands them on
 TABLES = 2            # bits per key in each table of the hash
 
@@ -113,7 +114,7 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = byte_encoder(a_path), piece_encoder(b_path)
         for batch in batches:
-            for piece in pieces(batch):
+            for piece in pieces(batch, PIECE):
                 raws = [v.as_py() for v in piece["raw"]]
                 texts = []
                 for r in raws:
@@ -122,12 +123,13 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
                     except UnicodeDecodeError:
                         texts.append("")
                 packed: list[list[bytes]] = [[], []]
-                for raw, x, y in zip(raws, a.encode(texts), b.encode(texts)):
+                for raw, *both in zip(raws, a.encode(texts), b.encode(texts)):
+                    ids = [np.array(x, dtype=np.uint32) for x in both]
                     whole = b" " + raw
-                    same = raw and all(b"".join([e.token[i] for i in ids]) == whole and b"" not in {e.token[i] for i in set(ids)}
-                                       for e, ids in ((a, x), (b, y)))
-                    for out, ids in zip(packed, (x, y)):
-                        out.append(np.array(ids, dtype=np.uint32).tobytes() if same else b"")
+                    same = raw and all(e.size[i].all() and b"".join(map(e.token.__getitem__, x)) == whole
+                                       for e, i, x in zip((a, b), ids, both))
+                    for out, i in zip(packed, ids):
+                        out.append(i.tobytes() if same else b"")
                 yield pa.RecordBatch.from_arrays([piece["doc_id"], *[pa.array(p, pa.binary()) for p in packed]],
                                                  names=["doc_id", "a", "b"])
 
@@ -147,7 +149,7 @@ class Aligned(NamedTuple):
 
 def align(a: list[bytes], b: list[bytes], size_a: np.ndarray, size_b: np.ndarray) -> Aligned:
     ids = tuple(np.frombuffer(b"".join(x), dtype=np.uint32) for x in (a, b))
-    ends = [np.cumsum(s[i]) for s, i in zip((size_a, size_b), ids)]
+    ends = [np.cumsum(s[i], dtype=np.int64) for s, i in zip((size_a, size_b), ids)]
     axis = int(ends[0][-1]) if len(ends[0]) else 0
     marks = []
     for e in ends:
@@ -164,11 +166,18 @@ def align(a: list[bytes], b: list[bytes], size_a: np.ndarray, size_b: np.ndarray
     return Aligned(ids, of, hit[0] & hit[1], links, pair)
 
 
-def _each(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
-    sa, sb = byte_encoder(a_path).size, piece_encoder(b_path).size
+Sizes = tuple[np.ndarray, np.ndarray]
+
+
+def token_sizes(a_path: str, b_path: str) -> Sizes:
+    """Bytes per id of both vocabularies: all that aligning needs of them."""
+    return tuple(e.size.astype(np.uint16) for e in (byte_encoder(a_path), piece_encoder(b_path)))
+
+
+def _each(batches: Iterator[pa.RecordBatch], sizes: Sizes) -> Iterator[tuple[pa.RecordBatch, Aligned]]:
     for batch in batches:
-        for piece in pieces(batch, col="a"):
-            yield piece, align(piece["a"].to_pylist(), piece["b"].to_pylist(), sa, sb)
+        for piece in pieces(batch, 4 * PIECE, "a"):
+            yield piece, align(piece["a"].to_pylist(), piece["b"].to_pylist(), *sizes)
 
 
 class PerfectHash:
@@ -228,10 +237,10 @@ def shard_of(pair: np.ndarray, shards: int) -> np.ndarray:
     return (mix(pair >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
 
 
-def distinct_pairs(ids: DataFrame, a_path: str, b_path: str) -> DataFrame:
+def distinct_pairs(ids: DataFrame, sizes: Sizes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, some = np.zeros(0, dtype=np.uint64), []
-        for _, got in _each(batches, a_path, b_path):
+        for _, got in _each(batches, sizes):
             some.append(np.unique(got.pair))
             if sum(map(len, some)) > HELD:
                 held, some = np.unique(np.concatenate([held, *some])), []
@@ -292,7 +301,7 @@ def tree_sum(parts: DataFrame) -> DataFrame:
     return parts
 
 
-def counts(ids: DataFrame, shard: Shard, a_path: str, b_path: str) -> np.ndarray:
+def counts(ids: DataFrame, shard: Shard, sizes: Sizes) -> np.ndarray:
     """In how many documents each pair of the shard is linked, by index of the hash."""
     given = ids.sparkSession.sparkContext.broadcast(shard)
 
@@ -300,7 +309,7 @@ def counts(ids: DataFrame, shard: Shard, a_path: str, b_path: str) -> np.ndarray
         mine: Shard = given.value
         n = len(mine.keys)
         total = np.zeros(n, dtype=np.int64)
-        for _, got in _each(batches, a_path, b_path):
+        for _, got in _each(batches, sizes):
             doc = np.repeat(np.arange(len(got.links) - 1), np.diff(got.links))
             here, at = mine.find(got.pair)
             once = np.unique(doc[here] * n + at)
@@ -352,61 +361,58 @@ def _shown(n: int) -> list[str]:
     return _shown_upto(1 << max(16, (n - 1).bit_length()))
 
 
-def looked_up(ids: DataFrame, shard: Shard, count: np.ndarray, a_path: str, b_path: str) -> DataFrame:
-    """``ids`` with the shard's links added to ``n_best`` and ``count_sum``."""
-    best = np.zeros(int(shard.keys.max() >> np.uint64(32)) + 1, dtype=np.int64)
-    np.maximum.at(best, shard.keys >> np.uint64(32), count)
-    given = ids.sparkSession.sparkContext.broadcast((shard, count, count == best[shard.keys >> np.uint64(32)]))
+RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
+
+
+def looked_up(ids: DataFrame, shard: Shard, count: np.ndarray, sizes: Sizes, last: bool) -> DataFrame:
+    """``ids`` with the shard's links added to ``n_best`` and ``count_sum``; after the ``last`` shard
+    the result rows, with sizes and groups in place of the ids."""
+    best = np.zeros(int(shard.keys.max()) // (1 << 32) + 1 if len(count) else 1, dtype=np.int64)
+    first = (shard.keys >> np.uint64(32)).astype(np.int64)
+    np.maximum.at(best, first, count)
+    given = ids.sparkSession.sparkContext.broadcast((shard, count, count == best[first]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine, times, top = given.value
-        for piece, got in _each(batches, a_path, b_path):
+        for piece, got in _each(batches, sizes):
             here, at = mine.find(got.pair)
-            cols = []
+            cols = {}
             for name, values in (("n_best", top), ("count_sum", times)):
                 sums = np.zeros(len(got.pair) + 1, dtype=np.int64)
                 sums[1:][here] = values[at]
                 sums = np.cumsum(sums)
-                cols.append(pa.array(np.asarray(piece[name]) + sums[got.links[1:]] - sums[got.links[:-1]]))
-            yield pa.RecordBatch.from_arrays([piece["doc_id"], piece["a"], piece["b"], *cols],
-                                             names=["doc_id", "a", "b", "n_best", "count_sum"])
-
-    return ids.mapInArrow(run, ids.schema)
-
-
-def described(ids: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """The result rows: sizes, groups and the looked-up sums."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece, got in _each(batches, a_path, b_path):
-            closed = np.concatenate([[0], np.cumsum(got.close)])[got.links]
-            sizes = [np.array([len(x) // 4 for x in piece[c].to_pylist()], dtype=np.int64) for c in ("a", "b")]
-            yield pa.RecordBatch.from_arrays(
-                [piece["doc_id"], *map(pa.array, sizes), pa.array(np.diff(closed)), pa.array(np.diff(got.links)),
-                 piece["n_best"], piece["count_sum"], pa.array(groups(got), pa.string())],
-                names=["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"])
+                cols[name] = np.asarray(piece[name]) + sums[got.links[1:]] - sums[got.links[:-1]]
+            cols = {c: pa.array(x) for c, x in cols.items()}
+            if last:
+                closed = np.concatenate([[0], np.cumsum(got.close)])[got.links]
+                n_a, n_b = (pa.array([len(x) // 4 for x in piece[c].to_pylist()], pa.int64()) for c in ("a", "b"))
+                cols = {"n_a": n_a, "n_b": n_b, "n_groups": pa.array(np.diff(closed)), "n_links": pa.array(np.diff(got.links)),
+                        **cols, "groups": pa.array(groups(got), pa.string())}
+            else:
+                cols = {"a": piece["a"], "b": piece["b"], **cols}
+            yield pa.RecordBatch.from_arrays([piece["doc_id"], *cols.values()], names=["doc_id", *cols])
 
     kind = ids.schema["doc_id"].dataType.simpleString()
-    return ids.mapInArrow(run, f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, "
-                               "count_sum long, groups string")
+    return ids.mapInArrow(run, f"doc_id {kind}, {RESULT}" if last else ids.schema)
 
 
 def aligned(docs: DataFrame, a_path: str = BYTE_BPE, b_path: str = PIECE_BPE, id_col: str = "doc_id",
             text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """One row per document: n_a, n_b, n_groups, n_links, n_best, count_sum, groups."""
+    sizes = token_sizes(a_path, b_path)
     ids = packed(encoded(docs, a_path, b_path, id_col, text_col))
-    pairs = packed(distinct_pairs(ids, a_path, b_path))
+    pairs = packed(distinct_pairs(ids, sizes))
     shards = max(1, -(-pairs.count() // shard))
     made = packed(hashes(pairs, shards))
     ids = ids.withColumns({"n_best": F.lit(0).cast("long"), "count_sum": F.lit(0).cast("long")})
     for k in range(shards):
         row = made.where(F.col("shard") == k).first()
-        if row is None:
-            continue
-        one = Shard(k, shards, pickle.loads(row["hash"]), np.frombuffer(row["keys"], dtype=np.uint64))
-        ids = looked_up(ids, one, counts(ids, one, a_path, b_path), a_path, b_path)
+        hash_, keys = (pickle.loads(row["hash"]), row["keys"]) if row else (PerfectHash(np.zeros(0, np.uint64)), b"")
+        one = Shard(k, shards, hash_, np.frombuffer(keys, dtype=np.uint64))
+        ids = looked_up(ids, one, counts(ids, one, sizes), sizes, k == shards - 1)
         if k < shards - 1:
             ids = packed(ids)
-    return described(ids, a_path, b_path)
+    return ids
 
 
 def packed(df: DataFrame) -> DataFrame:
