@@ -1,104 +1,203 @@
 """Trailing windows on halo blocks (WN1-WN11, WN20).
 
 Every frame is trailing and includes the current row; ``min_periods`` is 1
-unless said.  Expressions are built as ``fn(window) -> Column`` and evaluated
-by ``trailing`` in stages (a later stage may read an earlier stage's column),
-all over one block window so that Spark plans one exchange and one sort for the
-whole set.
+unless said.  A stage maps names to either ``fn(window) -> Column`` (lags,
+differences) or a ``Rolling`` statistic; ``trailing`` evaluates stages in order (a later
+stage may read an earlier one's column), all over one block window, so that Spark plans
+one exchange and one sort for the whole set.
+
+Rolling statistics are doubling merges.  The state of a frame of ``a + b`` rows is the merge
+of the last ``a`` rows' state with that of the ``b`` rows before them, read with ``lag``; frames
+are reached from single rows by doubling (and a step of one where needed), each frame
+building on the shorter ones.  That is O(log k) merges per row for all frames together, where a sliding
+frame recomputes each aggregate over k rows.  Counts, means and central moments are merged
+pairwise, never subtracted, so a storm leaves no trace in the digits of later frames.
+Every merge is its own small projection between two windows, which keeps the generated
+methods short enough for the JIT.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriescast.operators.series import UNB_FOL, UNB_PRE, Series, block_window, index_rows, with_halo
+from seriescast.operators.series import UNB_PRE, Series, block_window, index_rows, with_halo
 
 Expr = Callable[[Window], Column]
 
 
-def trailing(df: DataFrame, s: Series, stages: list[dict[str, Expr]], halo: int,
+@dataclass(frozen=True)
+class Rolling:
+    """A statistic of column ``col`` over the trailing frame of ``k`` rows; nulls are not counted."""
+
+    col: str
+    k: int
+    stat: str       # "mean" | "std" | "min" | "max" | "sum" | "skew" | "kurt"
+
+
+Stage = dict[str, "Expr | Rolling"]
+
+# the fields of a state that each statistic reads; n is always there
+NEEDS = {"sum": ("s",), "mean": ("s",), "std": ("m", "m2"), "skew": ("m", "m2", "m3"),
+         "kurt": ("m", "m2", "m3", "m4"), "min": ("lo",), "max": ("hi",)}
+FIELDS = ("n", "s", "m", "m2", "m3", "m4", "lo", "hi")
+
+
+def trailing(df: DataFrame, s: Series, stages: list[Stage], halo: int,
              block_rows: int | None = None) -> DataFrame:
     """Evaluate ``stages`` of trailing expressions; ``halo`` must cover the longest look-back."""
     d = df if "rn" in df.columns and "n" in df.columns else index_rows(df, s)
     d = with_halo(d, s, halo, block_rows)
     w = block_window(s)
     for stage in stages:
-        d = d.withColumns({name: fn(w) for name, fn in stage.items()})
+        rolling: dict[str, dict[str, Rolling]] = {}
+        for name, e in stage.items():
+            if isinstance(e, Rolling):
+                rolling.setdefault(e.col, {})[name] = e
+        for col, wanted in rolling.items():     # first, while the frame is narrow
+            d = _doubling(d, w, col, wanted)
+        d = d.withColumns({name: e(w) for name, e in stage.items() if not isinstance(e, Rolling)})
     helpers = [c for c in d.columns if c.startswith("__")]
     return d.where(F.col("_own")).drop("_blk", "_own", *helpers)
 
 
-def _frame(w: Window, k: int) -> Window:
-    return w.rowsBetween(-(int(k) - 1), 0)
-
-
-def mean(c: str, k: int) -> Expr:
-    return lambda w: F.avg(c).over(_frame(w, k))
-
-
-def std(c: str, k: int) -> Expr:
-    """Sample std; a single row (NULL) becomes 0."""
-    return lambda w: F.coalesce(F.stddev_samp(c).over(_frame(w, k)), F.lit(0.0))
-
-
-def vmin(c: str, k: int) -> Expr:
-    return lambda w: F.min(c).over(_frame(w, k))
-
-
-def vmax(c: str, k: int) -> Expr:
-    return lambda w: F.max(c).over(_frame(w, k))
-
-
-def vsum(c: str, k: int) -> Expr:
-    return lambda w: F.sum(c).over(_frame(w, k))
-
-
-def skew(c: str, k: int) -> Expr:
-    """WN4: bias-adjusted G1 over the frame; fewer than 3 rows or a constant frame -> 0.
-
-    Spark's moment aggregates return NULL when the frame's second central moment
-    is exactly 0, which is exactly the constant frame; no min/max pass is needed.
-    """
-    def fn(w: Window) -> Column:
-        f = _frame(w, k)
-        n = F.count(c).over(f).cast("double")
-        g1 = F.skewness(c).over(f)
-        adj = g1 * F.sqrt(n * (n - 1)) / (n - 2)
-        return F.when(n < 3, F.lit(0.0)).otherwise(F.coalesce(adj, F.lit(0.0)))
-    return fn
-
-
-def kurt(c: str, k: int) -> Expr:
+def _chain(frames: set[int]) -> list[tuple[int, int]]:
+    """(a, b) steps that reach every frame as ``a + b`` rows from earlier ones, starting at one row."""
+    known, steps = {1}, []
+
+    def reach(k: int) -> None:
+        if k in known:
+            return
+        a = max((x for x in known if k - x in known and x >= k - x), default=0)
+        if not a:
+            a = k // 2 if k % 2 == 0 else k - 1
+            reach(a)
+        known.add(k)
+        steps.append((a, k - a))
+
+    for k in sorted(frames):
+        reach(k)
+    return steps
+
+
+def _merged(a: dict[str, Column], b: dict[str, Column], tag: str) -> tuple[dict[str, Column], dict[str, Column]]:
+    """The state of two disjoint sets of rows: shared terms, then the fields that read them."""
+    out = {"n": a["n"] + b["n"]}
+    if "s" in a:
+        out["s"] = a["s"] + b["s"]
+    if "lo" in a:
+        out["lo"] = F.least(a["lo"], b["lo"])
+    if "hi" in a:
+        out["hi"] = F.greatest(a["hi"], b["hi"])
+    if "m" not in a:
+        return {}, out
+    n = F.greatest(a["n"] + b["n"], F.lit(1.0))
+    p, q, d, t = (F.col(f"{tag}{x}") for x in "pqdt")
+    dm = b["m"] - a["m"]
+    terms = {f"{tag}p": a["n"] / n, f"{tag}q": b["n"] / n, f"{tag}d": dm, f"{tag}t": dm * dm * a["n"] * (b["n"] / n)}
+    out["m"] = a["m"] + d * q
+    out["m2"] = a["m2"] + b["m2"] + t
+    if "m3" in a:
+        out["m3"] = a["m3"] + b["m3"] + t * d * (p - q) + 3.0 * d * (p * b["m2"] - q * a["m2"])
+    if "m4" in a:
+        out["m4"] = (a["m4"] + b["m4"] + t * d * d * (p * p - p * q + q * q)
+                     + 6.0 * d * d * (p * p * b["m2"] + q * q * a["m2"]) + 4.0 * d * (p * b["m3"] - q * a["m3"]))
+    return terms, out
+
+
+def _statistic(state: dict[str, Column], stat: str) -> Column:
+    """Null over a frame without values."""
+    n = state["n"]
+    if stat in ("min", "max"):
+        return state["lo" if stat == "min" else "hi"]
+    some = F.when(n > 0, n)
+    if stat == "sum":
+        return F.when(n > 0, state["s"])
+    if stat == "mean":
+        return state["s"] / some
+    m2 = state["m2"]
+    if stat == "std":       # sample std; a single row becomes 0
+        return F.when(n > 1, F.sqrt(m2 / (n - 1))).otherwise(F.lit(0.0))
+    if stat == "skew":      # WN4: adjusted G1; fewer than 3 rows or a constant frame -> 0
+        g1 = F.sqrt(n) * state["m3"] / (m2 * F.sqrt(m2))
+        return F.when((n >= 3) & (m2 > 0), g1 * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(F.lit(0.0))
+    # WN5: adjusted excess G2; fewer than 4 rows -> 0, a constant frame -> -3
+    g2 = n * state["m4"] / (m2 * m2) - 3.0
+    return (F.when(n < 4, F.lit(0.0)).when(m2 > 0, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6))
+             .otherwise(F.lit(-3.0)))
+
+
+def _doubling(d: DataFrame, w: Window, col: str, wanted: dict[str, Rolling]) -> DataFrame:
+    """All rolling statistics of one column: its frames one after the other, a state leaving the
+    rows once no later frame builds on it."""
+    need = {f for r in wanted.values() for f in NEEDS[r.stat]}
+    fields = ["n", *[f for f in FIELDS[1:] if f in need]]
+    steps = _chain({r.k for r in wanted.values()})
+    tag = f"__{col}_"
+
+    def state(k: int) -> dict[str, Column]:
+        return {f: F.col(f"{tag}{k}{f}") for f in fields}
+
+    def report(d: DataFrame, k: int) -> DataFrame:
+        return d.withColumns({name: _statistic(state(k), r.stat) for name, r in wanted.items() if r.k == k})
+
+    v, has = F.col(col).cast("double"), F.col(col).isNotNull()
+    one = {"n": F.lit(1.0), "s": v, "m": v, "lo": v, "hi": v}
+    alone = {f: v if f in ("lo", "hi") else F.when(has, one[f]).otherwise(F.lit(0.0)) if f in one else F.lit(0.0)
+             for f in fields}
+    d = report(d.withColumns({f"{tag}1{f}": c for f, c in alone.items()}), 1)
+    last_use = {x: i for i, (a, b) in enumerate(steps) for x in (a, b)}
+    for i, (a, b) in enumerate(steps):
+        zero = {f: None if f in ("lo", "hi") else 0.0 for f in fields}
+        d = d.withColumns({f"{tag}l{f}": F.lag(c, a, zero[f]).over(w) for f, c in state(b).items()})
+        terms, out = _merged({f: F.col(f"{tag}l{f}") for f in fields}, state(a), tag)
+        d = d.withColumns(terms).withColumns({f"{tag}{a + b}{f}": c for f, c in out.items()})
+        gone = [k for k in (1, *map(sum, steps[:i + 1])) if last_use.get(k, -1) <= i and k != a + b]
+        d = report(d, a + b).drop(*terms, *[f"{tag}l{f}" for f in fields],
+                                  *[f"{tag}{k}{f}" for k in gone for f in fields])
+    return d.drop(*[c for c in d.columns if c.startswith(tag)])
+
+
+def mean(c: str, k: int) -> Rolling:
+    return Rolling(c, int(k), "mean")
+
+
+def std(c: str, k: int) -> Rolling:
+    """Sample std; a single row becomes 0."""
+    return Rolling(c, int(k), "std")
+
+
+def vmin(c: str, k: int) -> Rolling:
+    return Rolling(c, int(k), "min")
+
+
+def vmax(c: str, k: int) -> Rolling:
+    return Rolling(c, int(k), "max")
+
+
+def vsum(c: str, k: int) -> Rolling:
+    return Rolling(c, int(k), "sum")
+
+
+def skew(c: str, k: int) -> Rolling:
+    """WN4: bias-adjusted G1 over the frame; fewer than 3 rows or a constant frame -> 0."""
+    return Rolling(c, int(k), "skew")
+
+
+def kurt(c: str, k: int) -> Rolling:
     """WN5: bias-adjusted excess G2; fewer than 4 rows -> 0, a constant frame -> -3."""
-    def fn(w: Window) -> Column:
-        f = _frame(w, k)
-        n = F.count(c).over(f).cast("double")
-        g2 = F.kurtosis(c).over(f)
-        adj = (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * g2 + 6)
-        return (F.when(n < 4, F.lit(0.0))
-                 .when(g2.isNull() | F.isnan(g2), F.lit(-3.0))
-                 .otherwise(adj))
-    return fn
+    return Rolling(c, int(k), "kurt")
 
 
 def moment_stages(c: str, windows: list[int], which: tuple[str, ...] = ("skew", "kurt"),
-                  prefix: str | None = None) -> list[dict[str, Expr]]:
-    """WN4 + WN5 for windows of 7 rows or more, by Spark's moment aggregates over each frame.
-
-    Differences of running power sums would cost O(1) per row, but one storm in a
-    block destroys the digits of every later window; the frame aggregates never
-    subtract, so heavy-tailed series come out right at any block size."""
+                  prefix: str | None = None) -> list[Stage]:
+    """WN4 + WN5 for windows of 7 rows or more."""
     p = prefix if prefix is not None else c
-    out: dict[str, Expr] = {}
-    for k in windows:
-        if k >= 7 and "skew" in which:
-            out[f"{p}_rolling_skew_{k}"] = skew(c, k)
-        if k >= 7 and "kurt" in which:
-            out[f"{p}_rolling_kurt_{k}"] = kurt(c, k)
-    return [out]
+    makers = {"skew": skew, "kurt": kurt}
+    return [{f"{p}_rolling_{st}_{k}": makers[st](c, k) for k in windows if k >= 7 for st in ("skew", "kurt") if st in which}]
 
 
 def lag_bfill(c: str, k: int) -> Expr:
@@ -132,13 +231,13 @@ def pct_change(c: str, k: int) -> Expr:
 
 
 def rolling_stats(c: str, windows: list[int], stats: tuple[str, ...] = ("mean", "std", "min", "max"),
-                  prefix: str | None = None) -> dict[str, Expr]:
+                  prefix: str | None = None) -> Stage:
     """The reference's column names: ``<p>_rolling_<k>``, ``_rolling_std_``, ``_rolling_min_`` ..."""
     p = prefix if prefix is not None else c
     makers = {"mean": ("rolling", mean), "std": ("rolling_std", std), "min": ("rolling_min", vmin),
               "max": ("rolling_max", vmax), "sum": ("rolling_sum", vsum),
               "skew": ("rolling_skew", skew), "kurt": ("rolling_kurt", kurt)}
-    out: dict[str, Expr] = {}
+    out: Stage = {}
     for k in windows:
         for st in stats:
             label, mk = makers[st]
