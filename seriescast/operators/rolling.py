@@ -83,8 +83,9 @@ def _chain(frames: set[int]) -> list[tuple[int, int]]:
     return steps
 
 
-def _merged(a: dict[str, Column], b: dict[str, Column], tag: str) -> tuple[dict[str, Column], dict[str, Column]]:
-    """The state of two disjoint sets of rows: shared terms, then the fields that read them."""
+def _merged(a: dict[str, Column], b: dict[str, Column]) -> dict[str, Column]:
+    """The state of two disjoint sets of rows; terms that several fields share are evaluated once
+    by Spark's subexpression elimination."""
     out = {"n": a["n"] + b["n"]}
     if "s" in a:
         out["s"] = a["s"] + b["s"]
@@ -93,11 +94,10 @@ def _merged(a: dict[str, Column], b: dict[str, Column], tag: str) -> tuple[dict[
     if "hi" in a:
         out["hi"] = F.greatest(a["hi"], b["hi"])
     if "m" not in a:
-        return {}, out
+        return out
     n = F.greatest(a["n"] + b["n"], F.lit(1.0))
-    p, q, d, t = (F.col(f"{tag}{x}") for x in "pqdt")
-    dm = b["m"] - a["m"]
-    terms = {f"{tag}p": a["n"] / n, f"{tag}q": b["n"] / n, f"{tag}d": dm, f"{tag}t": dm * dm * a["n"] * (b["n"] / n)}
+    p, q, d = a["n"] / n, b["n"] / n, b["m"] - a["m"]
+    t = d * d * (a["n"] * q)
     out["m"] = a["m"] + d * q
     out["m2"] = a["m2"] + b["m2"] + t
     if "m3" in a:
@@ -105,7 +105,7 @@ def _merged(a: dict[str, Column], b: dict[str, Column], tag: str) -> tuple[dict[
     if "m4" in a:
         out["m4"] = (a["m4"] + b["m4"] + t * d * d * (p * p - p * q + q * q)
                      + 6.0 * d * d * (p * p * b["m2"] + q * q * a["m2"]) + 4.0 * d * (p * b["m3"] - q * a["m3"]))
-    return terms, out
+    return out
 
 
 def _statistic(state: dict[str, Column], stat: str) -> Column:
@@ -138,27 +138,33 @@ def _doubling(d: DataFrame, w: Window, col: str, wanted: dict[str, Rolling]) ->
     steps = _chain({r.k for r in wanted.values()})
     tag = f"__{col}_"
 
-    def state(k: int) -> dict[str, Column]:
+    def state(k: int | str) -> dict[str, Column]:
         return {f: F.col(f"{tag}{k}{f}") for f in fields}
 
-    def report(d: DataFrame, k: int) -> DataFrame:
-        return d.withColumns({name: _statistic(state(k), r.stat) for name, r in wanted.items() if r.k == k})
+    def named(k: int | str, columns: dict[str, Column]) -> list[Column]:
+        return [c.alias(f"{tag}{k}{f}") for f, c in columns.items()]
 
     v, has = F.col(col).cast("double"), F.col(col).isNotNull()
     one = {"n": F.lit(1.0), "s": v, "m": v, "lo": v, "hi": v}
-    alone = {f: v if f in ("lo", "hi") else F.when(has, one[f]).otherwise(F.lit(0.0)) if f in one else F.lit(0.0)
+    zero = {f: None if f in ("lo", "hi") else 0.0 for f in fields}
+    alone = {f: F.lit(0.0) if f not in one else v if zero[f] is None else F.when(has, one[f]).otherwise(F.lit(0.0))
              for f in fields}
-    d = report(d.withColumns({f"{tag}1{f}": c for f, c in alone.items()}), 1)
-    last_use = {x: i for i, (a, b) in enumerate(steps) for x in (a, b)}
-    for i, (a, b) in enumerate(steps):
-        zero = {f: None if f in ("lo", "hi") else 0.0 for f in fields}
-        d = d.withColumns({f"{tag}l{f}": F.lag(c, a, zero[f]).over(w) for f, c in state(b).items()})
-        terms, out = _merged({f: F.col(f"{tag}l{f}") for f in fields}, state(a), tag)
-        d = d.withColumns(terms).withColumns({f"{tag}{a + b}{f}": c for f, c in out.items()})
-        gone = [k for k in (1, *map(sum, steps[:i + 1])) if last_use.get(k, -1) <= i and k != a + b]
-        d = report(d, a + b).drop(*terms, *[f"{tag}l{f}" for f in fields],
-                                  *[f"{tag}{k}{f}" for k in gone for f in fields])
-    return d.drop(*[c for c in d.columns if c.startswith(tag)])
+    kept = d.columns
+    d = d.select(*kept, *named(1, alone))
+    held = [1]
+    for i, (a, b) in enumerate([*steps, (0, 0)]):
+        # what the last step's frame reports, and the earlier state that this step adds
+        told = {name: _statistic(state(r.k), r.stat) for name, r in wanted.items() if r.k == held[-1]}
+        later = {x for step in steps[i:] for x in step}
+        held = [k for k in held if k in later]
+        moved = [F.lag(c, a, zero[f]).over(w).alias(f"{tag}l{f}") for f, c in state(b).items()] if a else []
+        d = d.select(*kept, *[c.alias(name) for name, c in told.items()], *[c for k in held for c in state(k).values()], *moved)
+        kept = [*kept, *told]
+        if a:
+            d = d.select(*kept, *[c for k in held for c in state(k).values()],
+                         *named(a + b, _merged(state("l"), state(a))))
+            held.append(a + b)
+    return d
 
 
 def mean(c: str, k: int) -> Rolling:

@@ -50,33 +50,29 @@ def normalise(df: DataFrame, digits: dict[str, int] | None = None, default: int
     digits = digits or {}
     cols = []
     for f in df.schema.fields:
-        c = F.col(f.name)
-        t = f.dataType
+        c, t = f"`{f.name}`", f.dataType
         if isinstance(t, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
+            c = f"date_format({c}, 'yyyy-MM-dd')"
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+            c = f"date_format({c}, 'yyyy-MM-dd HH:mm:ss')"
         elif isinstance(t, (T.IntegerType, T.LongType, T.ShortType, T.ByteType)):
-            c = c.cast("long")
+            c = f"CAST({c} AS BIGINT)"
         elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
             nd = digits.get(f.name, default)
-            x = c.cast("double")
-            if isinstance(nd, str) and nd.startswith("k"):
-                # binary grid 2^-n: scale-free statistics of discrete data are rationals
-                # that can sit exactly on a decimal rounding tie
-                scale = float(2 ** int(nd[1:]))
-                c = F.round(x * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
-            elif isinstance(nd, str):  # significant digits, for values spanning many magnitudes
-                k = F.lit(int(nd[1:]) - 1) - F.floor(F.log10(F.abs(x))).cast("int")
-                up = F.round(x * F.pow(F.lit(10.0), k), 0) / F.pow(F.lit(10.0), k)
-                down = F.round(x / F.pow(F.lit(10.0), -k), 0) * F.pow(F.lit(10.0), -k)
-                c = F.when(x.isNull() | (x == 0), x).when(k >= 0, up).otherwise(down) + F.lit(0.0)
+            x = f"CAST({c} AS DOUBLE)"
+            if isinstance(nd, str) and nd.startswith("g"):  # significant digits, for values spanning many magnitudes
+                k = f"({int(nd[1:]) - 1} - CAST(floor(log10(abs({x}))) AS INT))"
+                c = (f"CASE WHEN {x} IS NULL OR {x} = 0D THEN {x} "
+                     f"WHEN {k} >= 0 THEN round({x} * pow(10D, {k}), 0) / pow(10D, {k}) "
+                     f"ELSE round({x} / pow(10D, -{k}), 0) * pow(10D, -{k}) END + 0D")
             else:
-                # round(x * 10^d) / 10^d on the binary value, as DuckDB does
-                scale = float(10 ** nd)
-                c = F.round(x * F.lit(scale), 0) / F.lit(scale) + F.lit(0.0)
-        cols.append(c.alias(f.name))
-    return df.select(*cols)
+                # round(x * s) / s on the binary value, as DuckDB does; "k": binary grid 2^-n, as
+                # scale-free statistics of discrete data are rationals that can sit exactly on a
+                # decimal rounding tie
+                scale = 2 ** int(nd[1:]) if isinstance(nd, str) else 10 ** nd
+                c = f"round({x} * {scale}D, 0) / {scale}D + 0D"
+        cols.append(f"{c} AS `{f.name}`")
+    return df.selectExpr(*cols)
 
 
 # columns whose values span many magnitudes (guards of 1e-10 in a denominator):
