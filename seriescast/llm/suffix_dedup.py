@@ -10,9 +10,9 @@ are induced by one scan over the first-byte buckets.  Neighbours with a common
 prefix of 200 bytes are repeats.
 
 Defined cases: null or empty text has no bytes, removes nothing and keeps the
-empty string; equal rows are copies of each other and lose their repeats (rows
-with equal ids count as different places); empty tables give empty results;
-columns besides id and text are neither read nor returned.
+empty string; equal rows are copies of each other and lose their repeats; rows with equal or
+null ids are different places, each cut by its own text's repeats (they are told apart by a
+64-bit hash of the text); empty tables give empty results; columns besides id and text are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm import superkmer as S
-from seriescast.llm.text import BYTE_CODES, covered, runs, utf8, written
+from seriescast.llm.text import BYTE_CODES, covered, runs, written
 
 WINDOW = 200
 GRAM = 16
@@ -151,17 +151,17 @@ def _judge(rows: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int]
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_bytes, n_removed, kept (bytes), spans (byte ranges removed)."""
-    read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
+    read = S.keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     found = written(S.scan(read, _find, kind))
     live = S.anchors_in_common(found, (F.count("*") > 1) | F.max("again"))
     distinct = written(live.groupBy("anchor", "digest").agg(
-        F.min(F.struct("doc_id", "start", "nwin")).alias("f"), F.count("*").alias("n"), F.max("again").alias("again")))
+        F.min(F.struct("doc_id", "part", "start", "nwin")).alias("f"), F.count("*").alias("n"), F.max("again").alias("again")))
     # only strings that occur once, under a minimiser with other strings, need a look inside
     open_ = (distinct.groupBy("anchor").agg(F.count("*").alias("k"), F.min("n").alias("least"), F.max("again").alias("g"))
              .where("least = 1 AND (k > 1 OR g)").select(F.col("anchor").alias("a")))
     wanted = distinct.join(open_, F.expr("anchor = a"), "left_semi").select(
-        "f.doc_id", "anchor", "digest", F.lit(0).cast("long").alias("rank"), "f.start", "f.nwin")
+        "f.doc_id", "f.part", "anchor", "digest", F.lit(0).cast("long").alias("rank"), "f.start", "f.nwin")
     strings = written(S.fetch(read, wanted, _cut))
     usual, hot = S.split_hot(strings)
     parts = S.in_buckets(usual, _judge).unionByName(
@@ -193,5 +193,4 @@ def remove(read: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
                  pa.array(left, pa.list_(S.RANGE))], names=["doc_id", "n_bytes", "n_removed", "kept", "spans"])
 
-    out = read.join(spans.withColumnRenamed("doc_id", "_id"), F.expr("doc_id = _id"), "left").select("doc_id", "raw", "spans")
-    return out.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, kept binary, spans array<struct<a:int,b:int>>")
+    return S.with_spans(read, spans).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, kept binary, spans array<struct<a:int,b:int>>")

@@ -5,6 +5,9 @@ its ``gram``-token grams, so equal windows have equal minimisers.  A maximal run
 of windows with one minimiser is a super-k-mer: ``nwin`` windows packed in
 ``nwin + window - 1`` tokens.  Equal windows can only meet under one minimiser.
 
+A row is known by ``doc_id`` and ``part``: a hash of the text where ids are null or repeated,
+0 where every id names one row (``keyed``).
+
 Only hashes travel at first: ``anchors_in_common`` keeps the super-k-mers whose
 minimiser occurs elsewhere too.  The packed strings of those (one per distinct
 string) are then fetched from the texts and dealt out by minimiser.
@@ -24,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seriescast.llm.text import Rolling, checkpointed, sliding_min, written
+from seriescast.llm.text import Rolling, checkpointed, sliding_min, utf8, written
 
 SLAB = 1 << 18         # window starts handled at once; runs are cut there
 HOT = 4000             # distinct strings of one minimiser that one task sorts
@@ -61,8 +64,16 @@ def segments(codes: np.ndarray, second: np.ndarray, window: int, gram: int) -> S
     return Segments(*[np.concatenate(x) for x in zip(*parts)])
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, part, raw).  Ids are counted first; where one is null or names several rows, ``part``
+    tells its texts apart (equal rows stay together, which changes nothing: they lose the same)."""
+    ids = docs.groupBy(F.col(id_col).alias("id")).agg(F.count("*").alias("n")).where("id IS NULL OR n > 1")
+    part = F.lit(0).cast("long") if ids.isEmpty() else F.xxhash64(F.lit(text_col), F.coalesce(F.col(text_col), F.lit("")))
+    return docs.select(F.col(id_col).alias("doc_id"), part.alias("part"), utf8(text_col).alias("raw"))
+
+
 def scan(docs: DataFrame, find: Callable[[bytes], Segments], id_kind: str) -> DataFrame:
-    """(doc_id, anchor, digest, start, nwin, again) of every super-k-mer of ``docs`` (doc_id, raw)."""
+    """(doc_id, part, anchor, digest, start, nwin, again) of every super-k-mer of ``docs`` (doc_id, part, raw)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, got, size = [], [], 0
@@ -80,13 +91,13 @@ def scan(docs: DataFrame, find: Callable[[bytes], Segments], id_kind: str) -> Da
 
     def pack(batch: pa.RecordBatch, rows: list, got: list) -> pa.RecordBatch:
         s = Segments(*[np.concatenate(x) for x in zip(*got)])
-        ids = batch["doc_id"].take(pa.array(np.concatenate(rows)))
+        at = pa.array(np.concatenate(rows))
         return pa.RecordBatch.from_arrays(
-            [ids, pa.array(s.anchor), pa.array(s.digest), pa.array(s.start.astype(np.int32)),
+            [batch["doc_id"].take(at), batch["part"].take(at), pa.array(s.anchor), pa.array(s.digest), pa.array(s.start.astype(np.int32)),
              pa.array(s.nwin.astype(np.int32)), pa.array(s.again)],
-            names=["doc_id", "anchor", "digest", "start", "nwin", "again"])
+            names=["doc_id", "part", "anchor", "digest", "start", "nwin", "again"])
 
-    return docs.mapInArrow(run, f"doc_id {id_kind}, anchor long, digest long, start int, nwin int, again boolean")
+    return docs.mapInArrow(run, f"doc_id {id_kind}, part long, anchor long, digest long, start int, nwin int, again boolean")
 
 
 def anchors_in_common(found: DataFrame, common: Column) -> DataFrame:
@@ -98,8 +109,8 @@ def anchors_in_common(found: DataFrame, common: Column) -> DataFrame:
 
 def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable[[bytes, list], list[bytes]]) -> DataFrame:
     """(anchor, digest, rank, packed) of the ``wanted`` super-k-mers
-    (doc_id, anchor, digest, rank, start, nwin), cut from their texts."""
-    per_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "digest", "rank", "start", "nwin")).alias("want"))
+    (doc_id, part, anchor, digest, rank, start, nwin), cut from their texts."""
+    per_doc = wanted.groupBy(F.col("doc_id").alias("_id"), F.col("part").alias("_part")).agg(F.collect_list(F.struct("anchor", "digest", "rank", "start", "nwin")).alias("want"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,7 +123,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, cut: Callable[[bytes, list], list[
                          pa.array(cut(raw.as_py(), [(w["start"], w["nwin"]) for w in some]), pa.binary())],
                         names=["anchor", "digest", "rank", "packed"])
 
-    return (docs.join(per_doc, "doc_id").select("raw", "want")
+    return (docs.join(per_doc, F.expr("doc_id <=> _id AND part = _part")).select("raw", "want")
             .mapInArrow(run, "anchor long, digest long, rank long, packed binary"))
 
 
@@ -182,11 +193,18 @@ def by_window(strings: DataFrame, windows: Callable[[bytes], list[bytes]], verdi
 
 
 def ranges_by_doc(live: DataFrame, marks: DataFrame, window: int) -> DataFrame:
-    """(doc_id, spans): token ranges covered by marked windows, per document.
+    """(doc_id, part, spans): token ranges covered by marked windows, per document.
     ``marks``: (anchor, digest, at) with ``at`` null for all windows of a string."""
     m = marks.select(F.col("anchor").alias("ma"), F.col("digest").alias("md"), "at")
     hit = live.join(m, F.expr("anchor = ma AND digest = md"))
     whole = F.array(F.struct(F.lit(0).alias("a"), F.col("nwin").alias("b")))
     spans = F.transform(F.coalesce("at", whole), lambda r: F.struct(
         (F.col("start") + r["a"]).alias("a"), (F.col("start") + r["b"] + F.lit(window - 1)).alias("b")))
-    return hit.select("doc_id", spans.alias("s")).groupBy("doc_id").agg(F.flatten(F.collect_list("s")).alias("spans"))
+    return (hit.select("doc_id", "part", spans.alias("s")).groupBy("doc_id", "part")
+            .agg(F.flatten(F.collect_list("s")).alias("spans")))
+
+
+def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, raw, spans) of every row; null where nothing is covered."""
+    spans = spans.withColumnsRenamed({"doc_id": "_id", "part": "_part"})
+    return docs.join(spans, F.expr("doc_id <=> _id AND part = _part"), "left").select("doc_id", "raw", "spans")
