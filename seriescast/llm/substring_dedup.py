@@ -7,8 +7,9 @@ strings of a shared minimiser travel packed to its bucket, where sorting the
 windows gives each the smallest id that has it.
 
 Defined cases: null or empty text has no words, removes nothing and keeps the
-empty string; equal ids are one document, so their rows do not remove each
-other's words; empty tables give empty results; columns besides id and text are
+empty string; rows of equal ids do not remove each other's words, and each is cut by its own text's
+windows (texts of one id are told apart by a 64-bit hash); null ids come after all others, so
+they remove no other document's words and count as equal; empty tables give empty results; columns besides id and text are
 neither read nor returned.
 """
 
@@ -23,10 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.llm import superkmer as S
-from seriescast.llm.text import checkpointed, covered, runs, utf8, word_hashes, written
+from seriescast.llm.text import checkpointed, covered, runs, word_hashes, written
 
 WINDOW = 50
 GRAM = 8
+LAST = (1 << 63) - 1     # the rank of null ids
 
 
 def _find(raw: bytes) -> S.Segments:
@@ -75,29 +77,31 @@ def _judge(rows: list[tuple[int, int, int, bytes]]) -> list[list[tuple[int, int]
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: n_words, n_removed, kept_text, spans (word ranges removed).
     Ids must be integers (their order decides which copy stays)."""
-    read = docs.select(F.col(id_col).alias("doc_id"), utf8(text_col).alias("raw"))
+    read = S.keyed(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     found = written(S.scan(read, _find, kind))
-    live = S.anchors_in_common(found, F.min("doc_id") < F.max("doc_id"))
+    rank = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
+    live = S.anchors_in_common(found, F.min(rank) < F.max(rank))
     distinct = written(live.groupBy("anchor", "digest").agg(
-        F.min(F.struct("doc_id", "start", "nwin")).alias("f"), F.max("doc_id").alias("last")))
+        F.min(F.struct(rank.alias("rank"), "doc_id", "part", "start", "nwin")).alias("f"), F.max(rank).alias("last")))
     # a minimiser with a single string needs no look inside
     several = (distinct.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("a")))
     wanted = distinct.join(several, F.expr("anchor = a"), "left_semi").select(
-        "f.doc_id", "anchor", "digest", F.col("f.doc_id").cast("long").alias("rank"), "f.start", "f.nwin")
+        "f.doc_id", "f.part", "anchor", "digest", "f.rank", "f.start", "f.nwin")
     strings = written(S.fetch(read, wanted, _cut))
     usual, hot = S.split_hot(strings)
     parts = S.in_buckets(usual, _judge).unionByName(
         S.by_window(hot, _digests, F.expr("rank > first"), [F.min("rank").alias("first")]))
     parts = checkpointed(parts)
     # the first document of a string loses the windows that others have earlier, later ones the whole string
-    of_first = S.ranges_by_doc(live.join(distinct.select(F.col("anchor").alias("a"), F.col("digest").alias("d"), F.col("f.doc_id").alias("fd")),
-                                         F.expr("anchor = a AND digest = d AND doc_id = fd"), "left_semi"), parts, WINDOW)
-    later = live.join(distinct.where("f.doc_id < last").select(F.col("anchor").alias("a"), F.col("digest").alias("d"), F.col("f.doc_id").alias("fd")),
-                      F.expr("anchor = a AND digest = d AND doc_id > fd"), "left_semi")
-    of_later = later.groupBy("doc_id").agg(F.collect_list(F.struct(
+    firsts = distinct.select(F.col("anchor").alias("a"), F.col("digest").alias("d"), F.col("f.rank").alias("first"), "last")
+    ranked = live.withColumn("rank", rank)
+    of_first = S.ranges_by_doc(ranked.join(firsts, F.expr("anchor = a AND digest = d AND rank = first"), "left_semi"),
+                               parts, WINDOW)
+    later = ranked.join(firsts.where("first < last"), F.expr("anchor = a AND digest = d AND rank > first"), "left_semi")
+    of_later = later.groupBy("doc_id", "part").agg(F.collect_list(F.struct(
         F.col("start").alias("a"), (F.col("start") + F.col("nwin") + F.lit(WINDOW - 1)).alias("b"))).alias("spans"))
-    spans = (of_first.unionByName(of_later).groupBy("doc_id").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+    spans = (of_first.unionByName(of_later).groupBy("doc_id", "part").agg(F.flatten(F.collect_list("spans")).alias("spans")))
     return remove(read, spans, kind)
 
 
@@ -122,6 +126,5 @@ def remove(read: DataFrame, spans: DataFrame, kind: str) -> DataFrame:
                 [batch["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()),
                  pa.array(left, pa.list_(S.RANGE))], names=["doc_id", "n_words", "n_removed", "kept", "spans"])
 
-    out = read.join(spans.withColumnRenamed("doc_id", "_id"), F.expr("doc_id = _id"), "left").select("doc_id", "raw", "spans")
-    return (out.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, spans array<struct<a:int,b:int>>")
+    return (S.with_spans(read, spans).mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept binary, spans array<struct<a:int,b:int>>")
             .withColumn("kept_text", F.col("kept").cast("string")).drop("kept"))

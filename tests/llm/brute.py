@@ -15,16 +15,17 @@ def sha(x):
 
 def op2(docs, window=50):
     words = [(d, WORD.findall(t or "")) for d, t in docs]
+    order = lambda d: float("inf") if d is None else d
     first = {}
     for d, w in words:
         for i in range(len(w) - window + 1):
             k = tuple(w[i:i + window])
-            first[k] = min(first.get(k, d), d)
+            first[k] = min(first.get(k, order(d)), order(d))
     out = []
     for d, w in words:
         gone = set()
         for i in range(len(w) - window + 1):
-            if first[tuple(w[i:i + window])] < d:
+            if first[tuple(w[i:i + window])] < order(d):
                 gone.update(range(i, i + window))
         out.append((d, len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
@@ -52,7 +53,7 @@ def op5(docs, items, window=13):
             n = min(window, len(w))
             sizes.add(n)
             for k in range(len(w) - n + 1):
-                wins[tuple(w[k:k + n])].add(str(i))
+                wins[tuple(w[k:k + n])] |= {str(i)} if i is not None else {None}
     out = []
     for d, t in docs:
         w = NORMAL.findall((t or "").translate(UPPER))
@@ -62,7 +63,7 @@ def op5(docs, items, window=13):
                 got = wins.get(tuple(w[k:k + n]))
                 if got:
                     hit.update(range(k, k + n))
-                    found |= got
+                    found |= got - {None}
         out.append((d, len(w), len(hit), len(found), sha(",".join(sorted(found))),
                     len(hit) > 0 and 20 * len(hit) >= len(w)))
     return out

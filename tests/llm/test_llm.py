@@ -178,6 +178,38 @@ def test_op10(spark, small):
     assert _rows(queries.op10_suffix_dedup(spark, small), 5) == sorted(brute.op10(_pairs(small)))
 
 
+def _odd_ids():
+    """Null and repeated ids beside proper ones: copies, own texts, and texts that share a part."""
+    a, b, c = _text(150), _text(160), _text(130)
+    cut = lambda t, i, j: " ".join(t.split()[i:j])
+    return [(1, a), (5, cut(a, 20, 120) + " " + _text(40)), (None, cut(a, 20, 120) + " tail"), (None, b), (7, b),
+            (8, b + " x"), (9, c), (9, _text(400)), (9, c), (9, None), (None, None), (None, _text(90)), (12, c), (None, b)]
+
+
+def test_op2_null_and_repeated_ids(spark):
+    rows = _odd_ids()
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = [(r["doc_id"], r["n_words"], r["n_removed"], brute.sha(r["kept_text"])) for r in got.collect()]
+    assert sorted(got, key=str) == sorted(brute.op2(rows), key=str)
+
+
+def test_op10_null_and_repeated_ids(spark):
+    rows = _odd_ids()
+    got = suffix_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = [(r["doc_id"], r["n_bytes"], r["n_removed"], len(r["spans"]), brute.sha(bytes(r["kept"]))) for r in got.collect()]
+    assert sorted(got, key=str) == sorted(brute.op10(rows), key=str)
+
+
+def test_op5_null_items(spark):
+    docs = list(enumerate([SHARED, _text(30), None, "one two", BASE]))
+    items = [(None, SHARED), (3, " ".join(SHARED.split()[:20])), (None, "one two")]
+    got = decontaminate.score(spark.createDataFrame(docs, "doc_id long, text string"),
+                              spark.createDataFrame(items, "item_id long, text string"))
+    want = brute.op5(docs, items)
+    assert want[0][2] == len(SHARED.split()) and want[0][5] and want[0][3] == 1
+    assert _rows(got, 6) == sorted(want)
+
+
 @pytest.mark.parametrize("hot", [1, 4000])
 def test_hot_minimisers_give_the_same(spark, small, monkeypatch, hot):
     monkeypatch.setattr(superkmer.split_hot, "__defaults__", (hot,))
