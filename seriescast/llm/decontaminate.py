@@ -12,7 +12,8 @@ The items are a stated query set.  They reach the tasks in blocks of at most
 bounded whatever the size of the benchmark; every document meets every block.
 
 Defined cases: null or empty text has no words, is never hit; an item without
-words is ignored; equal items are each reported; empty tables give empty results
+words is ignored; equal items are each reported; an item with a null id marks its words but has no
+id to list or count; empty tables give empty results
 or clean documents; ``id_col``/``text_col`` alone are read, other columns stay out
 of ``score`` and unchanged in ``keep_clean``, but for the characters of a text that
 ``keep_clean`` cut: hit spans of ``limit`` words or more leave the texts of the
@@ -50,14 +51,14 @@ def normal_words(raw: bytes) -> list[bytes]:
 class SuffixAutomaton:
     """Generalised suffix automaton over word numbers, with the items of each window."""
 
-    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int = WINDOW):
         self.window = window
         self.vocab: dict[bytes, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         self.shortest = window
         #: state -> items with a window whose walk ends there
-        self.items: dict[int, set[str]] = {}
+        self.items: dict[int, set[tuple[int, str | None]]] = {}
         coded = [(name, [self.vocab.setdefault(w, len(self.vocab)) for w in ws]) for name, ws in items if ws]
         for _, seq in coded:
             last = 0
@@ -144,7 +145,7 @@ class SuffixAutomaton:
                         hit = [name for k, name in items.get(s, ()) if k == need]
                         if hit:
                             spans.append((i - need, i))
-                            found.update(hit)
+                            found.update(name for name in hit if name is not None)
         return spans, found
 
 
@@ -168,7 +169,7 @@ def item_blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: i
         if block and size + len(ws) > block_words:
             yield block
             block, size = [], 0
-        if ws and r["i"] is not None:
+        if ws:
             block.append((r["i"], ws))
             size += len(ws)
     if block:
