@@ -104,6 +104,53 @@ def ridge_fit(pred: DataFrame, keys: list[str], inputs: list[str], alpha: float
     return sums.groupBy(*keys).applyInPandas(solve, schema)
 
 
+def ridge_cv(pred: DataFrame, keys: list[str], inputs: list[str], alpha: float = 1.0,
+             label: str = "actual", seg: str = "seg") -> DataFrame:
+    """ML15 for the ridge meta-learner: ``keys, fold, n_train, r2`` of expanding time folds.
+
+    ``pred`` carries the segments of ``folds.time_segments``.  One grouped aggregate gives each
+    segment's count, means and covariances (Spark's own mergeable aggregates); everything else is
+    additive over segments: fold i's training side is the merge of segments 0 to i, and its test
+    error follows from segment i + 1's moments without reading a row again.  Rows with a null
+    input or label are left out; a fold without training or test rows has no score."""
+    names = [*inputs, label]
+    aggs = [F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(f"_m{i}") for i, c in enumerate(names)]]
+    pairs = [(i, j) for i in range(len(names)) for j in range(i, len(names))]
+    aggs += [F.covar_pop(names[i], names[j]).alias(f"_c{i}_{j}") for i, j in pairs]
+    stats = pred.dropna(subset=names).groupBy(*keys, seg).agg(*aggs)
+    k = len(inputs)
+
+    def moments(r: pd.Series) -> tuple[float, np.ndarray, np.ndarray]:
+        cov = np.zeros((k + 1, k + 1))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = r[f"_c{i}_{j}"]
+        return float(r["_n"]), np.array([r[f"_m{i}"] for i in range(k + 1)], dtype=float), cov * r["_n"]
+
+    def score(pdf: pd.DataFrame) -> pd.DataFrame:
+        by = {int(r[seg]): moments(r) for _, r in pdf.iterrows()}
+        rows = []
+        n, mean, cross = 0.0, np.zeros(k + 1), np.zeros((k + 1, k + 1))
+        for fold in range(max(by)):
+            if fold in by:      # merge the next piece of the training side
+                m, mu, c = by[fold]
+                d = mu - mean
+                cross = cross + c + np.outer(d, d) * (n * m / (n + m))
+                mean, n = mean + d * (m / (n + m)), n + m
+            if not n or fold + 1 not in by:
+                continue
+            w = np.linalg.solve(cross[:k, :k] + alpha * np.eye(k), cross[:k, k])
+            icpt = mean[k] - mean[:k] @ w
+            m, mu, c = by[fold + 1]
+            e = np.append(-w, 1.0)      # residual = e . (inputs, label) - intercept
+            sse, sst = e @ c @ e + m * (e @ mu - icpt) ** 2, c[k, k]
+            r2 = (1.0 if abs(sse) < 1e-20 else 0.0) if sst == 0 else 1 - sse / sst
+            rows.append([*[pdf[kk].iloc[0] for kk in keys], fold, int(n), r2])
+        return pd.DataFrame(rows, columns=[*keys, "fold", "n_train", "r2"])
+
+    key_types = ", ".join(f"{kk} {dict(pred.dtypes)[kk]}" for kk in keys)
+    return stats.groupBy(*keys).applyInPandas(score, f"{key_types}, fold int, n_train long, r2 double")
+
+
 def ridge_predict(wide: DataFrame, coefs: DataFrame, keys: list[str], inputs: list[str],
                   name: str = "stack") -> DataFrame:
     d = wide.join(small_side(coefs), keys)

@@ -8,7 +8,7 @@ fixed label and bin grids are exploded from literal arrays (no cross join).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seriescast.config import PARAMS, RANGE_LABELS, TIGHT_HI, TIGHT_LO
@@ -50,37 +50,46 @@ def overall_in_range(summary: DataFrame) -> DataFrame:
         "overall_pct", F.col("points_in_range") / F.col("total_points") * 100)
 
 
-def range_counts(pred: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Long form of AG14: ``keys, range_order, range, count`` for all six ranges (zeros kept)."""
-    keys = keys or ["param"]
-    d = with_ratio(pred).withColumn("range", range_label("pct_variance"))
-    cnt = d.groupBy(*keys, "range").agg(F.count(F.lit(1)).alias("count"))
-    labels = F.array(*[F.struct(F.lit(i).alias("range_order"), F.lit(lab).alias("range"))
-                       for i, lab in enumerate(RANGE_LABELS)])
-    # every key with rows has at least one count row: the grid comes from the small table
-    grid = cnt.select(*keys).distinct().select(*keys, F.explode(labels).alias("_l")).select(
-        *keys, "_l.range_order", "_l.range")
-    return (grid.join(cnt, keys + ["range"], "left")
-                .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("long")))
+def range_table(pred: DataFrame) -> DataFrame:
+    """AG14-AG19 in one table: per parameter, and for all of them (null ``param``, ``is_total`` 1), the
+    rows in each of the six ranges (``c0`` .. ``c5``) and their ``total``.
+
+    One grouped aggregate of conditional counts over the rows; the grand total is the rollup of
+    its few rows, not a second grouping of the rows."""
+    d = with_ratio(pred).withColumn("_r", range_label("pct_variance"))
+    cells = [F.count_if(F.col("_r") == lab).alias(f"c{i}") for i, lab in enumerate(RANGE_LABELS)]
+    per = d.groupBy("param").agg(*cells)
+    out = per.rollup("param").agg(F.grouping("param").cast("int").alias("is_total"),
+                                  *[F.sum(f"c{i}").cast("long").alias(f"c{i}") for i in range(len(cells))])
+    return out.withColumn("total", sum((F.col(f"c{i}") for i in range(1, len(cells))), F.col("c0")))
+
+
+def _ranges(table: DataFrame) -> DataFrame:
+    """``range_table`` with one row per range: ``param, is_total, range_order, range, count, total``."""
+    cells = F.array(*[F.struct(F.lit(i).alias("range_order"), F.lit(lab).alias("range"), F.col(f"c{i}").alias("count"))
+                      for i, lab in enumerate(RANGE_LABELS)])
+    return table.select("param", "is_total", "total", F.explode(cells).alias("_c")).select(
+        "param", "is_total", "_c.*", "total")
+
+
+def range_counts(pred: DataFrame) -> DataFrame:
+    """Long form of AG14: ``param, range_order, range, count`` for all six ranges (zeros kept)."""
+    return _ranges(range_table(pred)).where("is_total = 0").select("param", "range_order", "range", "count")
 
 
 def range_breakdown(pred: DataFrame, params: list[str] | None = None) -> DataFrame:
     """AG14 + AG15: one row per range, one count column per parameter, plus TOTAL."""
     params = params or PARAMS
-    long = range_counts(pred)
-    wide = long.groupBy("range_order", "range").pivot("param", params).agg(F.sum("count"))
-    wide = wide.fillna(0, subset=params)
-    total = sum((F.col(p) for p in params[1:]), F.col(params[0]))
-    return wide.withColumn("TOTAL", total.cast("long")).select(
-        "range_order", "range", *[F.col(p).cast("long").alias(p) for p in params], "TOTAL")
+    long = _ranges(range_table(pred).where(F.col("param").isin(params) | (F.col("is_total") == 1)))
+    wide = long.groupBy("range_order", "range").agg(
+        *[F.coalesce(F.max(F.when(F.col("param") == p, F.col("count"))), F.lit(0)).cast("long").alias(p) for p in params])
+    total = sum((F.col(f"`{p}`") for p in params[1:]), F.col(f"`{params[0]}`"))
+    return wide.withColumn("TOTAL", total)
 
 
 def range_shares(pred: DataFrame) -> DataFrame:
     """AG16 + AG17: per range, the count over all points and its share of all points;
     then the excellent [-5, 5] / good [-5, 10] / outside groupings as extra rows."""
-    long = range_counts(pred)
-    c = {i: F.sum(F.when(F.col("range_order") == i, F.col("count"))) for i in range(6)}
-    tot = long.agg(*[c[i].alias(f"c{i}") for i in range(6)], F.sum("count").alias("total"))
     good = F.col("c2") + F.col("c3") + F.col("c4")
     rows = [(i, F.lit(lab), F.col(f"c{i}")) for i, lab in enumerate(RANGE_LABELS)]
     rows += [(10, F.lit("excellent -5% to +5%"), F.col("c2") + F.col("c3")),
@@ -89,21 +98,21 @@ def range_shares(pred: DataFrame) -> DataFrame:
     arr = F.array(*[F.struct(F.lit(i).alias("range_order"), lab.alias("range"),
                              v.cast("long").alias("count"),
                              (v / F.col("total") * 100).alias("share_pct")) for i, lab, v in rows])
-    return tot.select(F.explode(arr).alias("r")).select("r.*")
+    return range_table(pred).where("is_total = 1").select(F.explode(arr).alias("r")).select("r.*")
 
 
 def range_share_by_param(pred: DataFrame) -> DataFrame:
     """AG18: ``param, range, count, pct_of_param`` (column percent of the breakdown)."""
-    long = range_counts(pred)
-    return long.withColumn("pct_of_param",
-                           F.col("count") / F.sum("count").over(Window.partitionBy("param")) * 100)
+    long = _ranges(range_table(pred)).where("is_total = 0")
+    return long.select("param", "range_order", "range", "count",
+                       (F.col("count") / F.col("total") * 100).alias("pct_of_param"))
 
 
 def range_breakdown_by_param(pred: DataFrame) -> DataFrame:
     """AG19: the transposed breakdown, one row per parameter and one column per range, and
     the parameter's own ``TOTAL`` (AG15)."""
-    wide = range_counts(pred).groupBy("param").pivot("range", RANGE_LABELS).agg(F.sum("count")).fillna(0)
-    return wide.withColumn("TOTAL", sum((F.col(f"`{x}`") for x in RANGE_LABELS[1:]), F.col(f"`{RANGE_LABELS[0]}`")))
+    return range_table(pred).where("is_total = 0").select(
+        "param", *[F.col(f"c{i}").alias(lab) for i, lab in enumerate(RANGE_LABELS)], F.col("total").alias("TOTAL"))
 
 
 def histogram(df: DataFrame, keys: list[str], col: str, bins: int = 50) -> DataFrame:

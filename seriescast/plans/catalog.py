@@ -9,6 +9,7 @@ summation orders differ most between engines) with ``-0.0`` folded to ``0.0``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,8 @@ from seriescast.operators import ensemble as E
 from seriescast.operators import rolling as R
 from seriescast.operators import variance as V
 from seriescast.operators.ewm import ewm
-from seriescast.operators.fill import interpolate, sentinel_to_null, sweep
-from seriescast.operators.folds import contiguous_folds, time_series_folds
+from seriescast.operators.fill import interpolate, nonfinite_to_null, sentinel_to_null, sweep
+from seriescast.operators.folds import contiguous_folds, time_segments, time_series_folds
 from seriescast.operators.metrics import cv_summary, macro_summary, r2_score, regression_metrics
 from seriescast.operators.scale import apply_long, robust_fit, standard_fit
 from seriescast.operators.seasonal import seasonal_means
@@ -36,8 +37,12 @@ from seriescast.plans import evaluate as EV
 from seriescast.plans.features import clean_matrix
 from seriescast.plans.tiers import TIERS, Tier
 from seriescast.sources.calendar import calendar_fill, forecast_calendar
-from seriescast.sources.fixtures import (hourly_events, observations_long, observations_wide,
+from seriescast.session import ensure_checkpoint_dir
+from seriescast.sources.csv import read_daily_csv, read_predictions_csv
+from seriescast.sources.fixtures import (DAY0, hourly_events, observations_long, observations_wide,
                                          priority_daily)
+from seriescast.sources.sinks import (forecast_wide, metrics_table, predictions_wide, variance_detail_wide,
+                                      write_daily_csv, write_table)
 
 S = Series()
 WINDOWS = [3, 7, 14, 30, 60, 90]
@@ -120,6 +125,68 @@ def q_wn14_interpolate(spark, sf):
     return normalise(_day(_clean(spark, sf).select("site", "param", "ts", "value")))
 
 
+def _scratch(spark, name: str) -> str:
+    """A new folder for files that a query writes and reads back."""
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def q_src1_daily_csv(spark, sf):
+    """SRC1, SRC3, PRJ4, PRJ5: raw files per site (preamble, header, sentinels, some cells not finite)
+    written to the checkpoint folder and read back through the scan, all files in one pass."""
+    path = _scratch(spark, "daily-csv")
+    dn = F.datediff("ts", F.lit(DAY0).cast("date"))
+    odd = {p: F.when(F.pmod(dn + i, F.lit(17)) == 0, F.lit(float("nan")))
+               .when(F.pmod(dn + i, F.lit(19)) == 0, F.lit(float("inf")))
+               .when(F.pmod(dn + i, F.lit(23)) == 0, F.lit(float("-inf"))).otherwise(F.col(p)) for i, p in enumerate(PARAMS)}
+    write_daily_csv(observations_wide(spark, sf, "supp").withColumns(odd), path)
+    got = read_daily_csv(spark, path).withColumns({p: nonfinite_to_null(p) for p in PARAMS})
+    return normalise(got.select("site", F.col("ts").alias("day"), "YEAR", "MO", "DY", *PARAMS))
+
+
+def q_src2_predictions_csv(spark, sf):
+    """SRC2, SRC4, SNK2: the wide prediction file written per site and read back long."""
+    path = _scratch(spark, "predictions-csv")
+    write_table(predictions_wide(_cands(spark, sf).where("model = 'persistence'")), path, "csv", by_site=True)
+    got = read_predictions_csv(spark, path, model="persistence").where("actual IS NOT NULL")
+    got = got.withColumns({"error": error(), "percent_error": percent_error()})
+    return normalise(_day(got.select("site", "param", "ts", "model", "actual", "predicted", "error", "percent_error")),
+                     {"percent_error": "g6"})
+
+
+def _read_back(spark, df: DataFrame, name: str, by_site: bool = False) -> DataFrame:
+    path = _scratch(spark, name)
+    write_table(df, path, "csv", by_site=by_site)
+    return spark.read.option("header", True).schema(df.schema).csv(path).select(*df.columns)
+
+
+def q_snk1_metrics_csv(spark, sf):
+    """SNK1: the metrics file of the chosen models, written and read back."""
+    allm = _all_models(spark, sf)
+    met = regression_metrics(allm, ["param", "model"])
+    pick = small_side(E.choose(met, ["param"], EV.CHOICE_ORDER).select("param", F.col("chosen_model").alias("model")))
+    got = _read_back(spark, metrics_table(met.join(pick, ["param", "model"])), "metrics-csv")
+    return normalise(got.withColumnsRenamed({c: c.lower() for c in got.columns}), SIG6)
+
+
+def q_snk3_forecast_csv(spark, sf):
+    """SNK3: the wide forecast file written per site and read back."""
+    fc = _forecast_baseline(spark, sf)
+    wide = forecast_wide(fc.select("site", "param", "ts", "predicted"))
+    return normalise(_read_back(spark, wide, "forecast-csv", by_site=True).withColumnRenamed("DATE", "day"))
+
+
+def q_snk4_variance_csv(spark, sf):
+    """SNK4: the variance detail written per site and read back."""
+    wide = variance_detail_wide(_cands(spark, sf).where("model = 'climatology'"))
+    got = _read_back(spark, wide, "variance-csv", by_site=True)
+    return normalise(got.withColumnRenamed("DATE", "day"), {f"{p}_VARIANCE": "g6" for p in PARAMS})
+
+
+def q_snk5_breakdown_csv(spark, sf):
+    """SNK5: the breakdown matrix written and read back."""
+    return normalise(_read_back(spark, V.range_breakdown(_chosen(spark, sf)), "breakdown-csv"))
+
+
 # ---------------------------------------------------------------- trailing windows
 def q_wn01_rolling_mean(spark, sf):
     return normalise(_features(spark, sf, R.rolling_stats("value", WINDOWS, ("mean",), "v"), 90))
@@ -416,7 +483,7 @@ def q_ml02_robust_scale(spark, sf):
     return _scaled(spark, sf, robust_fit)
 
 
-def q_ml17_forecast_baseline(spark, sf):
+def _forecast_baseline(spark, sf) -> DataFrame:
     """Next-year forecast with each parameter's chosen candidate (ML17, ML21 last value)."""
     obs = _clean(spark, sf)
     cw = _cands_wide(spark, sf)
@@ -441,8 +508,11 @@ def q_ml17_forecast_baseline(spark, sf):
     pred = F.when(F.col("chosen_model") == "weighted", blend)
     for m in EV.BASE_MODELS:
         pred = pred.when(F.col("chosen_model") == m, F.col(m))
-    out = d.select("site", "param", "ts", "chosen_model", pred.alias("predicted"))
-    return normalise(_day(out))
+    return d.select("site", "param", "ts", "chosen_model", pred.alias("predicted"))
+
+
+def q_ml17_forecast_baseline(spark, sf):
+    return normalise(_day(_forecast_baseline(spark, sf)))
 
 
 # ---------------------------------------------------------------- MLlib (rows-only checks)
@@ -469,6 +539,25 @@ def q_ml13_ridge_stack(spark, sf):
     return normalise(E.ridge_fit(_cands_wide(spark, sf), ["param"], EV.BASE_MODELS, alpha=1.0))
 
 
+def q_ml15_cv_stack(spark, sf):
+    """ML15 + AG23 on the baseline candidates: mean and std of the ridge stack's R^2 over the
+    expanding time folds, every fold's ridge and test error from one aggregate."""
+    scores = E.ridge_cv(time_segments(_cands_wide(spark, sf)), ["param"], EV.BASE_MODELS, alpha=1.0)
+    return normalise(cv_summary(scores, ["param"]))
+
+
+def q_ml09_ml11_choice_orders(spark, sf):
+    """ML9 and ML11 (TK2): the choice by each tier's tie order, learners played by the baseline
+    candidates.  Scores are rounded to a tenth first, so that ties do occur."""
+    met = regression_metrics(_all_models(spark, sf), ["param", "model"]).withColumn("r2", F.round("r2", 1))
+    met = met.replace({"weighted": "blend", "persistence": "gbt_a", "roll7": "rf"}, subset=["model"])
+    one = E.choose(met, ["param"], list(TIERS[1].choice_order))
+    three = E.choose(met.replace({"blend": "stack", "climatology": "extra"}, subset=["model"]), ["param"],
+                     list(TIERS[3].choice_order))
+    return normalise(one.select("param", F.col("chosen_model").alias("tier1")).join(
+        three.select("param", F.col("chosen_model").alias("tier3"), "chosen_score"), "param"))
+
+
 def q_ml17_forecast_models(spark, sf):
     """ML17 with trained models: next-year forecast of the tier-1 chosen models, and the
     gate's verdict on them (AG13; ``forecast`` itself gives none when the gate refuses)."""

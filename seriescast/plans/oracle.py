@@ -141,6 +141,57 @@ final AS (SELECT site, param, ts AS day, CASE WHEN value = -999 THEN NULL ELSE v
     return _norm(body, "site:s param:s day:d value:f")
 
 
+def q_src1_daily_csv() -> str:
+    def cell(i: int, p: str) -> str:
+        gone = " OR ".join(f"(date_diff('day', DATE '1995-01-01', ts) + {i}) % {m} = 0" for m in (13, 17, 19, 23))
+        return f"CASE WHEN {gone} THEN NULL ELSE {p} END AS {p}"
+    body = _obs() + f""",
+final AS (SELECT site, ts AS day, year(ts) AS "YEAR", month(ts) AS "MO", day(ts) AS "DY",
+                 {", ".join(cell(i, p) for i, p in enumerate(PARAMS))} FROM wide)"""
+    return _norm(body, "site:s day:d YEAR:i MO:i DY:i " + " ".join(f"{p}:f" for p in PARAMS))
+
+
+def q_src2_predictions_csv() -> str:
+    body = PRED + """,
+final AS (SELECT site, param, ts AS day, model, actual, predicted, actual - predicted AS error,
+                 (actual - predicted) / (abs(actual) + 1e-10) * 100 AS percent_error
+          FROM cands WHERE model = 'persistence')"""
+    return _norm(body, "site:s param:s day:d model:s actual:f predicted:f error:f percent_error:g6")
+
+
+def q_snk1_metrics_csv() -> str:
+    body = PRED + CHOSEN + """,
+final AS (SELECT m.param AS parameter, m.model, mse, rmse, mae, r2, variance, mape, improvement,
+                 tight_pct AS tight_range_accuracy
+          FROM met m JOIN pick p ON m.param = p.param AND m.model = p.chosen_model)"""
+    return _norm(body, "parameter:s model:s mse:f rmse:f mae:f r2:f variance:f mape:g6 improvement:f "
+                       "tight_range_accuracy:f")
+
+
+def _wide_file(src: str, what: str, suffix: str, kind: str) -> str:
+    cols = ", ".join(f"max(CASE WHEN param = '{p}' THEN {what} END) AS \"{p}_{suffix}\"" for p in PARAMS)
+    body = src + f""",
+final AS (SELECT site, year(ts) AS "YEAR", month(ts) AS "MO", day(ts) AS "DY", ts AS day, {cols}
+          FROM rows_ GROUP BY site, ts)"""
+    return _norm(body, "site:s YEAR:i MO:i DY:i day:d " + " ".join(f"{p}_{suffix}:{kind}" for p in PARAMS))
+
+
+def q_snk3_forecast_csv() -> str:
+    src = FORECAST + ",\nrows_ AS (SELECT site, param, day AS ts, predicted FROM fc)"
+    return _wide_file(src, "predicted", "PREDICTED", "f")
+
+
+def q_snk4_variance_csv() -> str:
+    src = PRED + """,
+rows_ AS (SELECT site, param, ts, (actual - predicted) / (predicted + 1e-10) AS ratio
+          FROM cands WHERE model = 'climatology')"""
+    return _wide_file(src, "ratio", "VARIANCE", "g6")
+
+
+def q_snk5_breakdown_csv() -> str:
+    return q_ag14_15_range_breakdown()
+
+
 def q_src5_forecast_calendar() -> str:
     body = _obs() + """,
 nxt AS (SELECT site, year(max(ts)) + 1 AS fy FROM wide GROUP BY site),
@@ -890,8 +941,7 @@ final AS (SELECT s.param, my - (mp * d1 + mr * d2 + mc * d3) / det AS intercept,
     return _norm(body, "param:s intercept:f w_persistence:f w_roll7:f w_climatology:f")
 
 
-def q_ml17_forecast_baseline() -> str:
-    body = PRED + CHOSEN + """,
+FORECAST = PRED + CHOSEN + """,
 last AS (SELECT site, param, arg_max(value, ts) AS last_value FROM clean GROUP BY 1, 2),
 tr AS (SELECT * FROM clean WHERE ts < DATE '2000-01-01'),
 tm2 AS (SELECT site, param, avg(value) AS train_mean FROM tr GROUP BY 1, 2),
@@ -906,12 +956,63 @@ d AS (SELECT c.site, l.param, c.ts, l.last_value, coalesce(mm2.clim, tm2.train_m
       FROM cal c JOIN last l ON c.site = l.site
       LEFT JOIN tm2 ON l.site = tm2.site AND l.param = tm2.param
       LEFT JOIN mm2 ON l.site = mm2.site AND l.param = mm2.param AND month(c.ts) = mm2.m),
-final AS (SELECT d.site, d.param, d.ts AS day, p.chosen_model,
+fc AS (SELECT d.site, d.param, d.ts AS day, p.chosen_model,
    CASE p.chosen_model WHEN 'weighted' THEN ww.w_p * d.last_value + ww.w_r * d.last_value + ww.w_c * d.clim
         WHEN 'persistence' THEN d.last_value WHEN 'roll7' THEN d.last_value ELSE d.clim END AS predicted
    FROM d JOIN pick p ON d.param = p.param JOIN ww ON d.param = ww.param)"""
+
+
+def q_ml17_forecast_baseline() -> str:
+    body = FORECAST + ",\nfinal AS (SELECT * FROM fc)"
     return _norm(body, "site:s param:s day:d chosen_model:s predicted:f")
 
 
+def q_ml15_cv_stack() -> str:
+    """Per expanding fold the ridge in closed form on the rows before it, scored on its own rows."""
+    body = PRED + """,
+d2 AS (SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS pos, count(*) OVER () AS nd FROM (SELECT DISTINCT ts FROM t)),
+fo AS (SELECT unnest(range(0, 5)) AS fold),
+z AS (SELECT t.*, d2.pos, d2.nd, fo.fold, d2.nd - (5 - fo.fold) * (d2.nd // 6) AS cut
+      FROM t JOIN d2 ON t.ts = d2.ts, fo
+      WHERE persistence IS NOT NULL AND roll7 IS NOT NULL AND climatology IS NOT NULL AND actual IS NOT NULL),
+tr2 AS (SELECT * FROM z WHERE pos < cut),
+te2 AS (SELECT * FROM z WHERE pos >= cut AND pos < cut + nd // 6),
+mu AS (SELECT param, fold, avg(persistence) AS mp, avg(roll7) AS mr, avg(climatology) AS mc, avg(actual) AS my
+       FROM tr2 GROUP BY 1, 2),
+xs AS (SELECT param, fold, persistence - mp AS a, roll7 - mr AS b, climatology - mc AS c, actual - my AS y
+       FROM tr2 JOIN mu USING (param, fold)),
+g AS (SELECT param, fold, sum(a * a) + 1 AS aa, sum(b * b) + 1 AS bb, sum(c * c) + 1 AS cc, sum(a * b) AS ab,
+             sum(a * c) AS ac, sum(b * c) AS bc, sum(a * y) AS ay, sum(b * y) AS yb, sum(c * y) AS yc
+      FROM xs GROUP BY 1, 2),
+s AS (SELECT param, fold, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det,
+             ay * (bb * cc - bc * bc) - ab * (yb * cc - bc * yc) + ac * (yb * bc - bb * yc) AS n1,
+             aa * (yb * cc - bc * yc) - ay * (ab * cc - bc * ac) + ac * (ab * yc - yb * ac) AS n2,
+             aa * (bb * yc - yb * bc) - ab * (ab * yc - yb * ac) + ay * (ab * bc - bb * ac) AS n3 FROM g),
+w AS (SELECT s.param, s.fold, n1 / det AS w1, n2 / det AS w2, n3 / det AS w3,
+             my - (mp * n1 + mr * n2 + mc * n3) / det AS w0 FROM s JOIN mu USING (param, fold)),
+pr AS (SELECT param, fold, actual, w0 + w1 * persistence + w2 * roll7 + w3 * climatology AS predicted
+       FROM te2 JOIN w USING (param, fold)),
+sc AS (SELECT param, fold, CASE WHEN var_pop(actual) = 0 THEN 0.0
+              ELSE 1 - sum((actual - predicted) * (actual - predicted)) / (var_pop(actual) * count(*)) END AS r2
+       FROM pr GROUP BY 1, 2),
+final AS (SELECT param, avg(r2) AS cv_mean, stddev_pop(r2) AS cv_std FROM sc GROUP BY param)"""
+    return _norm(body, "param:s cv_mean:f cv_std:f")
+
+
+def q_ml09_ml11_choice_orders() -> str:
+    def first(order: dict[str, str]) -> str:
+        rank = "CASE model " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(order)) + " ELSE 99 END"
+        name = "CASE model " + " ".join(f"WHEN '{m}' THEN '{n}'" for m, n in order.items()) + " END"
+        known = ", ".join(f"'{m}'" for m in order)
+        return (f"SELECT param, {name} AS pick, s FROM (SELECT *, round(r2 * 10) / 10 AS s FROM met WHERE model IN ({known})) "
+                f"QUALIFY row_number() OVER (PARTITION BY param ORDER BY s DESC, {rank}) = 1")
+    body = PRED + CHOSEN + f""",
+t1 AS ({first({"weighted": "blend", "persistence": "gbt_a", "roll7": "rf"})}),
+t3 AS ({first({"weighted": "stack", "persistence": "gbt_a", "roll7": "rf", "climatology": "extra"})}),
+final AS (SELECT t1.param, t1.pick AS tier1, t3.pick AS tier3, t3.s AS chosen_score FROM t1 JOIN t3 USING (param))"""
+    return _norm(body, "param:s tier1:s tier3:s chosen_score:f")
+
+
+
 def registry() -> dict[str, str]:
     return {name[2:]: fn() for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

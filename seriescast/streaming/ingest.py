@@ -3,8 +3,9 @@
 The reference reads whole files once; here new files dropped into a folder are
 picked up by a file-source stream.  Each micro-batch is parsed with the batch
 parser (``sources.csv.parse_lines``: a file's header and its data lines arrive
-in the same batch, as a file is read whole) and appended to a Parquet table
-partitioned by site.  ``running_scores`` keeps the additive part of the
+in the same batch, as a file is read whole) and committed to a Parquet table
+partitioned by batch and site.  A replayed batch (the engine repeats one whose commit it did
+not see) overwrites its own partitions and nothing else, so no row is doubled.  ``running_scores`` keeps the additive part of the
 accuracy tables (counts, sums of errors and squares, in-band counts) as
 streaming state per parameter; everything that needs the whole table (median,
 R^2 against a train mean, range shares) is a batch query over the sink.
@@ -18,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from seriescast.config import EPS, TIGHT_HI, TIGHT_LO
 from seriescast.sources.csv import parse_lines
+from seriescast.sources.sinks import write_table
 
 
 def daily_files_stream(spark: SparkSession, folder: str, max_files: int = 100) -> DataFrame:
@@ -25,11 +27,17 @@ def daily_files_stream(spark: SparkSession, folder: str, max_files: int = 100) -
             .select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("_file")))
 
 
+def commit_batch(lines: DataFrame, epoch: int, out: str, params: list[str] | None = None) -> None:
+    """Write one micro-batch under ``batch=<epoch>``; writing it again replaces it."""
+    rows = parse_lines(lines, params).withColumn("batch", F.lit(int(epoch)).cast("long"))
+    write_table(rows, out, by=["batch", "site"], only_touched=True)
+
+
 def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str,
            params: list[str] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Parse every new file and append it to ``out`` (Parquet, partitioned by site)."""
-    def write(batch: DataFrame, _epoch: int) -> None:
-        parse_lines(batch, params).write.mode("append").partitionBy("site").parquet(out)
+    """Parse every new file and commit it to ``out`` (Parquet, partitioned by batch and site)."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        commit_batch(batch, epoch, out, params)
 
     w = daily_files_stream(spark, folder).writeStream.foreachBatch(write).option(
         "checkpointLocation", checkpoint)

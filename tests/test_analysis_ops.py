@@ -10,6 +10,8 @@ from seriescast.operators import variance as V
 from seriescast.operators.folds import contiguous_folds, time_series_folds
 from seriescast.operators.metrics import regression_metrics
 from seriescast.operators.quantile import exact_quantiles
+from seriescast.operators.ensemble import ridge_cv
+from seriescast.operators.folds import time_segments
 from seriescast.operators.scale import robust_fit, standard_fit
 
 
@@ -19,14 +21,29 @@ def test_exact_quantiles_small_and_refined(spark):
     b = np.concatenate([np.full(3000, 2.5), rng.exponential(1, 1001)])  # heavy ties
     pdf = pd.DataFrame({"g": ["a"] * len(a) + ["b"] * len(b), "x": np.concatenate([a, b])})
     df = spark.createDataFrame(pdf)
-    for exact_rows in (10, 10_000_000):   # force the histogram passes, then the direct path
-        q = exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.75, 0.9], bins=8, exact_rows=exact_rows)
+    for slack in (None, 1e-9, 1.0):   # sketch brackets, brackets that must be widened, the whole range
+        q = exact_quantiles(df, ["g"], "x", [0.25, 0.5, 0.75, 0.9], k=16, slack=slack)
         got = q.toPandas().set_index("g").sort_index()
         for g, vals in (("a", a), ("b", b)):
             exp = np.quantile(vals, [0.25, 0.5, 0.75, 0.9])
             np.testing.assert_allclose(got.loc[g].to_numpy(dtype=float), exp, rtol=0, atol=1e-12)
 
 
+def test_exact_quantiles_hot_group_and_null_key(spark):
+    """A third of all rows in one group; nulls and non-finite values are left out."""
+    df = (spark.range(60_000).selectExpr("CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 3 = 1 THEN NULL ELSE concat('g', id % 40) END AS g",
+                                         "CASE id % 1000 WHEN 7 THEN NULL WHEN 8 THEN double('NaN') WHEN 9 THEN double('-inf') "
+                                         "ELSE (id * 7919 % 60013) / 13.0 END AS x"))
+    got = {r["g"]: (r["q0_1"], r["q0_5"]) for r in exact_quantiles(df, ["g"], "x", [0.1, 0.5]).collect()}
+    pdf = df.toPandas()
+    pdf = pdf[np.isfinite(pdf["x"].astype(float))]
+    want = {None if g == "-" else g: tuple(np.quantile(v, [0.1, 0.5])) for g, v in
+            pdf.assign(g=pdf["g"].fillna("-")).groupby("g")["x"]}
+    assert set(got) == set(want)
+    for g in want:
+        np.testing.assert_allclose(got[g], want[g], rtol=0, atol=1e-9)
+
+
 def test_metrics_match_numpy(spark):
     rng = np.random.default_rng(4)
     a = rng.normal(10, 3, 400)
@@ -232,3 +249,26 @@ def test_improvement_uses_one_row_set(spark):
                                "param string, actual double, predicted double, train_mean double")
     got = {r["param"]: r["improvement"] for r in regression_metrics(df, ["param"]).collect()}
     assert got["p"] is None and abs(got["q"] - 75.0) < 1e-9
+
+
+def test_ridge_cv_matches_refitting(spark):
+    """Fold scores from segment moments equal a ridge refitted on each fold's rows, far from zero."""
+    rng = np.random.default_rng(5)
+    n = 130
+    x = rng.normal(1e4, 1, (n, 2))
+    y = 3 * x[:, 0] - x[:, 1] + rng.normal(0, .1, n)
+    days = pd.date_range("2024-01-01", periods=n).date
+    pdf = pd.DataFrame({"param": "p", "ts": days, "a": x[:, 0], "b": x[:, 1], "actual": y})
+    df = spark.createDataFrame(pd.concat([pdf, pdf.assign(param="q", actual=7.0)]))
+    got = {(r["param"], r["fold"]): (r["n_train"], r["r2"])
+           for r in ridge_cv(time_segments(df), ["param"], ["a", "b"]).collect()}
+    size = n // 6
+    for fold in range(5):
+        cut = n - (5 - fold) * size
+        xt, yt = x[:cut], y[:cut]
+        w = np.linalg.solve((xt - xt.mean(0)).T @ (xt - xt.mean(0)) + np.eye(2), (xt - xt.mean(0)).T @ (yt - yt.mean()))
+        test, res = y[cut:cut + size], y[cut:cut + size] - (yt.mean() + (x[cut:cut + size] - xt.mean(0)) @ w)
+        n_train, r2 = got[("p", fold)]
+        assert n_train == cut
+        np.testing.assert_allclose(r2, 1 - (res ** 2).sum() / ((test - test.mean()) ** 2).sum(), rtol=1e-6)
+        assert got[("q", fold)][1] == 1.0

@@ -2,7 +2,7 @@
 
 import os
 
-from seriescast.streaming.ingest import ingest, running_scores
+from seriescast.streaming.ingest import commit_batch, ingest, running_scores
 
 
 def test_ingest_and_running_scores(spark, tmp_path):
@@ -28,3 +28,15 @@ def test_ingest_and_running_scores(spark, tmp_path):
     rows = {r.param: r for r in spark.sql("SELECT * FROM scores_t").collect()}
     assert rows["T2M"].n == 2 and rows["T2M"].in_range == 1 and rows["PS"].in_range_pct == 100.0
     assert os.path.isdir(out)
+
+
+def test_replayed_batch_is_written_once(spark, tmp_path):
+    out = str(tmp_path / "out")
+    lines = lambda site, temp: spark.createDataFrame(
+        [("YEAR,MO,DY,T2M", f"/in/{site}.csv"), (f"2024,1,1,{temp}", f"/in/{site}.csv")], "line string, _file string")
+    commit_batch(lines("s1", 1.0), 0, out, ["T2M"])
+    commit_batch(lines("s2", 2.0), 1, out, ["T2M"])
+    commit_batch(lines("s2", 2.0), 1, out, ["T2M"])     # the engine did not see the commit
+    commit_batch(lines("s1", 3.0), 2, out, ["T2M"])     # a later file of a known site
+    got = sorted((r["batch"], r["site"], r["T2M"]) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "s1", 1.0), (1, "s2", 2.0), (2, "s1", 3.0)]
