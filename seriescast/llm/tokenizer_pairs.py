@@ -59,7 +59,7 @@ TABLES = 2            # bits per key in each table of the hash
 
 
 class Encoder(NamedTuple):
-    encode: Callable[[list[str]], list[list[int]]]
+    encode: Callable[[list[str]], list]      # a sequence of ids per text, space + text encoded
     token: list[bytes]        # the bytes of each id
     size: np.ndarray          # their number
 
@@ -90,7 +90,7 @@ def byte_encoder(path: str = BYTE_BPE) -> Encoder:
         token[i] = bytes(letters[c] for c in k)
     own = tiktoken.Encoding("byte", pat_str=PATTERN, mergeable_ranks={t: i for i, t in enumerate(token) if t},
                             special_tokens={})
-    return _encoder(lambda texts: [own.encode_ordinary(" " + t) for t in texts], token)
+    return _encoder(lambda texts: [own.encode_to_numpy(" " + t, disallowed_special=()) for t in texts], token)
 
 
 @lru_cache
@@ -123,11 +123,12 @@ def encoded(docs: DataFrame, a_path: str, b_path: str, id_col: str, text_col: st
                     except UnicodeDecodeError:
                         texts.append("")
                 packed: list[list[bytes]] = [[], []]
-                for raw, *both in zip(raws, a.encode(texts), b.encode(texts)):
-                    ids = [np.array(x, dtype=np.uint32) for x in both]
+                for raw, x, y in zip(raws, a.encode(texts), b.encode(texts)):
                     whole = b" " + raw
-                    same = raw and all(e.size[i].all() and b"".join(map(e.token.__getitem__, x)) == whole
-                                       for e, i, x in zip((a, b), ids, both))
+                    ids = [np.asarray(i, dtype=np.uint32) for i in (x, y)]
+                    # byte-level tokens hold the bytes they were cut from, so their number decides
+                    same = (raw and a.size[ids[0]].sum() == len(whole) and b.size[ids[1]].all()
+                            and b"".join(map(b.token.__getitem__, y)) == whole)
                     for out, i in zip(packed, ids):
                         out.append(i.tobytes() if same else b"")
                 yield pa.RecordBatch.from_arrays([piece["doc_id"], *[pa.array(p, pa.binary()) for p in packed]],
@@ -331,7 +332,6 @@ def counts(ids: DataFrame, shard: Shard, sizes: Sizes) -> np.ndarray:
 
 def groups(got: Aligned) -> list[str]:
     """Per document its groups as text: ``a1,a2|b1;a3|b2,b3``."""
-    shown = []
     last = np.flatnonzero(got.close)
     after = [o[last] + 1 for o in got.of]                     # tokens of each side up to each group's end
     side = [np.repeat(np.arange(len(x)), np.diff(x, prepend=0)) for x in after]
@@ -344,21 +344,22 @@ def groups(got: Aligned) -> list[str]:
     code[np.arange(n[0]) + before[1][side[0]]] = got.ids[0].astype(np.int64) * 3 + sep_a
     code[np.arange(n[1]) + after[0][side[1]]] = got.ids[1].astype(np.int64) * 3 + sep_b
     tokens = [np.concatenate([[0], o + 1])[got.links] for o in got.of]
-    cut = (tokens[0] + tokens[1]).tolist()
-    table = _shown(int(code.max()) // 3 + 1) if len(code) else []
-    flat = code.tolist()
-    for a, b in zip(cut, cut[1:]):
-        shown.append("".join([table[c] for c in flat[a:b]])[:-1])
-    return shown
+    table, size = _shown(max(map(int, (x.max(initial=0) for x in got.ids))))
+    chars = table[code].view(np.uint8)
+    text = chars[chars != 0].tobytes().decode()
+    cut = np.concatenate([[0], np.cumsum(size[code], dtype=np.int64)])[tokens[0] + tokens[1]].tolist()
+    return [text[a: max(a, b - 1)] for a, b in zip(cut, cut[1:])]
 
 
-@lru_cache(maxsize=4)
-def _shown_upto(n: int) -> list[str]:
-    return [f"{i}{s}" for i in range(n) for s in ",|;"]
+def _shown(most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every id up to ``most`` with each separator, as fixed-width bytes, and their lengths."""
+    return _shown_upto(1 << max(16, most.bit_length()))
 
 
-def _shown(n: int) -> list[str]:
-    return _shown_upto(1 << max(16, (n - 1).bit_length()))
+@lru_cache(maxsize=2)
+def _shown_upto(n: int) -> tuple[np.ndarray, np.ndarray]:
+    table = np.char.add(np.repeat(np.arange(n).astype("S"), 3), np.tile(np.array([b",", b"|", b";"]), n))
+    return table, np.char.str_len(table).astype(np.uint8)
 
 
 RESULT = "n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
