@@ -23,6 +23,7 @@ from seriescast.functions.errors import (accuracy_band, bias_band, error, percen
                                          spread_band, variance_ratio)
 from seriescast.functions.physics import interaction_columns, physics_columns
 from seriescast.operators import ensemble as E
+from seriescast.operators import histtrees as H
 from seriescast.operators import rolling as R
 from seriescast.operators import variance as V
 from seriescast.operators.ewm import ewm
@@ -558,6 +559,42 @@ def q_ml09_ml11_choice_orders(spark, sf):
         three.select("param", F.col("chosen_model").alias("tier3"), "chosen_score"), "param"))
 
 
+def _yesterday(spark, sf) -> tuple[DataFrame, list[str]]:
+    """Site days with every parameter and, as features, its value of the day before (``prev_<P>``)."""
+    d = R.trailing(_clean(spark, sf), S, [{"prev": R.lag_bfill("value", 1)}], halo=1)
+    wide = d.groupBy("site", "ts").agg(
+        *[F.max(F.when(F.col("param") == p, F.col("value"))).alias(p) for p in PARAMS],
+        *[F.max(F.when(F.col("param") == p, F.col("prev"))).alias(f"prev_{p}") for p in PARAMS])
+    return wide, [f"prev_{p}" for p in PARAMS]
+
+
+def q_ml03_boosted_tree(spark, sf):
+    """ML3 / ML5: the first boosted tree of every parameter (L1 and L2, two levels, equal-width bins)
+    over all rows, fitted together: each node's split, its gain, rows and leaf value."""
+    wide, feats = _yesterday(spark, sf)
+    model = H.fit_boosted(wide, feats, PARAMS, ["site", "ts"], H.TreeSettings(
+        trees=1, depth=2, rate=0.05, l1=0.05, l2=1.0, bins=16, cuts="width"))
+    rows = [(PARAMS[t.target], i, PARAMS[t.feature[i]] if t.feature[i] >= 0 else None,
+             int(t.cut[i]) if t.feature[i] >= 0 else None, float(t.gain[i]), int(t.weight[i]), float(t.value[i]))
+            for t in model.trees for i in range(min(3, len(t.feature)))]
+    out = spark.createDataFrame(rows, "param string, node int, feature string, cut int, gain double, n long, leaf double")
+    return normalise(out, {"gain": "g6", "leaf": "g6"})
+
+
+def q_ml06_random_cut_forest(spark, sf):
+    """ML6: a small forest with random cuts per node, grown for all parameters at once on the train
+    rows; accuracy on the test rows."""
+    wide, feats = _yesterday(spark, sf)
+    wide = wide.withColumn("split", EV.split_col("ts"))
+    model = H.fit_forest(wide.where("split = 'train'"), feats, PARAMS, ["site", "ts"], H.TreeSettings(
+        trees=8, depth=6, l2=0.0, bins=64, random_cuts=True, bootstrap=True, cols_node=0.32))
+    test = wide.where("split = 'test'")
+    pred = model.predict(test, ["site", "ts"]).unpivot(["site", "ts"], PARAMS, "param", "predicted")
+    actual = test.unpivot(["site", "ts"], PARAMS, "param", "actual")
+    met = regression_metrics(actual.join(pred, ["site", "ts", "param"]), ["param"], train_mean=None)
+    return normalise(met.select("param", "n", "rmse", "mae", "r2"))
+
+
 def q_ml17_forecast_models(spark, sf):
     """ML17 with trained models: next-year forecast of the tier-1 chosen models, and the
     gate's verdict on them (AG13; ``forecast`` itself gives none when the gate refuses)."""

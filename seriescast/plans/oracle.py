@@ -999,6 +999,40 @@ final AS (SELECT param, avg(r2) AS cv_mean, stddev_pop(r2) AS cv_std FROM sc GRO
     return _norm(body, "param:s cv_mean:f cv_std:f")
 
 
+def q_ml03_boosted_tree() -> str:
+    """Split gains of the first two levels from (node, feature, bin) sums."""
+    order = "CASE f " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(PARAMS)) + " END"
+    t = lambda g: f"(sign({g}) * greatest(abs({g}) - 0.05, 0))"
+    gain = (f"0.5 * ({t('gl')} * {t('gl')} / (hl + 1) + {t('(gt - gl)')} * {t('(gt - gl)')} / (ht - hl + 1) "
+            f"- {t('gt')} * {t('gt')} / (ht + 1))")
+
+    def level(rows: str, k: int) -> str:
+        return f"""
+s{k} AS (SELECT t, node, f, code, sum(g) AS g, count(*) AS h FROM {rows} JOIN codes USING (site, ts) GROUP BY 1, 2, 3, 4),
+c{k} AS (SELECT t, node, f, code, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER v AS gt, sum(h) OVER v AS ht
+       FROM s{k} WINDOW u AS (PARTITION BY t, node, f ORDER BY code), v AS (PARTITION BY t, node, f)),
+b{k} AS (SELECT *, {gain} AS gain FROM c{k} WHERE hl >= 1 AND ht - hl >= 1 AND code < 15),
+p{k} AS (SELECT t, node, f, code, gain FROM b{k} WHERE gain > 0
+       QUALIFY row_number() OVER (PARTITION BY t, node ORDER BY gain DESC, {order}, code) = 1),
+n{k} AS (SELECT t, node, sum(g) AS g, count(*) AS h FROM {rows} GROUP BY 1, 2)"""
+
+    body = _obs() + CLEAN + f""",
+pv AS (SELECT site, ts, param, value, coalesce(lag(value, 1) OVER ({W}), CASE WHEN n > 1 THEN first_value(value) OVER ({W}) END)
+              AS prev FROM clean),
+lims AS (SELECT param, min(prev) AS lo, max(prev) AS hi FROM pv GROUP BY 1),
+codes AS (SELECT site, ts, param AS f, CASE WHEN hi > lo THEN list_sum(list_transform(range(1, 16),
+            lambda i: CASE WHEN prev >= lo + (hi - lo) * i / 16 THEN 1 ELSE 0 END)) ELSE 0 END AS code
+          FROM pv JOIN lims USING (param)),
+base AS (SELECT param, avg(value) AS b FROM clean GROUP BY 1),
+r0 AS (SELECT site, ts, param AS t, 0 AS node, b - value AS g FROM clean JOIN base USING (param)),{level("r0", 0)},
+r1 AS (SELECT r0.site, r0.ts, r0.t, CASE WHEN codes.code <= p0.code THEN 1 ELSE 2 END AS node, g
+       FROM r0 JOIN p0 ON r0.t = p0.t JOIN codes ON codes.site = r0.site AND codes.ts = r0.ts AND codes.f = p0.f),{level("r1", 1)},
+every_ AS (SELECT n0.t, n0.node, n0.g, n0.h, f, code, gain FROM n0 LEFT JOIN p0 ON n0.t = p0.t AND n0.node = p0.node
+           UNION ALL SELECT n1.t, n1.node, n1.g, n1.h, f, code, gain FROM n1 LEFT JOIN p1 ON n1.t = p1.t AND n1.node = p1.node),
+final AS (SELECT t AS param, node, f AS feature, code AS cut, coalesce(gain, 0) AS gain, h AS n, -{t("g")} / (h + 1) AS leaf FROM every_)"""
+    return _norm(body, "param:s node:i feature:s cut:i gain:g6 n:i leaf:g6")
+
+
 def q_ml09_ml11_choice_orders() -> str:
     def first(order: dict[str, str]) -> str:
         rank = "CASE model " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enumerate(order)) + " ELSE 99 END"

@@ -13,7 +13,8 @@ FAST = ["src_observations_long", "src5_forecast_calendar", "src5_calendar_gap_fi
         "wn10_pct_change", "wn12_13_ewm", "wn17_18_spells", "ag24_wn19_seasonal", "wn01_hourly_rolling",
         "cal_features", "ph_features", "ag01_07_metrics", "tier1_matrix", "tier2_matrix",
         "ag15_19_breakdown_by_param", "ag20_ratio_histogram", "ag23_cv_summary", "ml13_ridge_stack", "ml14_time_folds", "ml12_contiguous_folds",
-        "ml01_standard_scale", "ml02_robust_scale"]
+        "ml01_standard_scale", "ml02_robust_scale", "src1_daily_csv", "src2_predictions_csv", "snk4_variance_csv",
+        "ml15_cv_stack", "ml03_boosted_tree", "ag14_15_range_breakdown", "ag16_17_range_shares"]
 
 
 def _canon(df):
@@ -33,7 +34,7 @@ def con():
     return c
 
 
-ROWS_ONLY = {"ml03_06_tier1_models", "ml17_forecast_models"}
+ROWS_ONLY = {"ml03_06_tier1_models", "ml06_random_cut_forest", "ml17_forecast_models"}
 
 
 def test_every_query_has_an_oracle_except_mllib():
