@@ -12,7 +12,7 @@ from seriescast.operators.metrics import regression_metrics
 from seriescast.operators.quantile import exact_quantiles
 from seriescast.operators.ensemble import ridge_cv
 from seriescast.operators.folds import time_segments
-from seriescast.operators.scale import robust_fit, standard_fit
+from seriescast.operators.scale import robust_fit, standard_fit, standard_fit_wide
 
 
 def test_exact_quantiles_small_and_refined(spark):
@@ -122,6 +122,10 @@ def test_scalers_match_sklearn_rules(spark):
     st = {r["feature"]: r for r in standard_fit(df).collect()}
     assert st["f"]["centre"] == pytest.approx(x.mean()) and st["f"]["scale"] == pytest.approx(x.std())
     assert st["c"]["scale"] == 1.0
+    wide = {r["feature"]: r for r in standard_fit_wide(
+        spark.createDataFrame(pd.DataFrame({"f": x, "c": 7.0})).repartition(3), ["f", "c"]).collect()}
+    for f in "fc":
+        assert wide[f]["centre"] == pytest.approx(st[f]["centre"]) and wide[f]["scale"] == pytest.approx(st[f]["scale"])
     rb = {r["feature"]: r for r in robust_fit(df).collect()}
     q1, q2, q3 = np.percentile(x, [25, 50, 75])
     assert rb["f"]["centre"] == pytest.approx(q2) and rb["f"]["scale"] == pytest.approx(q3 - q1)
