@@ -3,9 +3,12 @@
 ``learn`` takes the credentials that the fixed patterns label, builds a prefix
 tree per kind over character classes and merges states whose next-symbol
 statistics are compatible (Hoeffding bound), red-blue order.  A further automaton
-is learned the same way from ordinary long tokens.  ``find`` scores every
-candidate token outside the labelled spans and adds those that fit a credential
-format as well as its training examples do and better than ordinary text.
+is learned the same way from ordinary tokens (words, joined words, numbers).  ``find``
+scores every candidate outside the labelled spans and adds those that fit a credential
+format as well as held-out examples do and better than ordinary text.  A candidate is a
+whole run of the characters that the examples hold, without dots at its ends, as long as
+the shortest example or longer; a kind judges it if its own examples hold all its symbols
+and are no longer.
 
 The learner sees a bounded sample: per kind the ``SAMPLE`` distinct examples
 with the smallest hashes over all documents (a mergeable bottom-k), none longer
@@ -13,7 +16,8 @@ than ``MAX_EXAMPLE`` characters.  Scanning and scoring cover every text in full.
 
 Defined cases: null or empty text has no spans; without labelled credentials no
 automaton is learned and only the fixed patterns count; repeated rows are each
-reported; ``id_col``/``text_col`` alone are read, ``redact`` keeps other columns.
+reported; very long texts and tokens are scanned and scored in full, in time linear in
+their length; ``id_col``/``text_col`` alone are read, ``redact`` keeps other columns.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import hashlib
 import heapq
 import math
 import re
+import statistics
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,20 +39,29 @@ SAMPLE = 300
 MAX_EXAMPLE = 200
 ALPHA = 0.05           # confidence parameter of the merge test
 MARGIN = 0.25          # nats per character by which a format must beat ordinary text
-LOW = 0.02             # candidates must score between this and the mirrored quantile of the training scores
+HELD_OUT = 3           # every third example of a kind is kept from the fit and sets its cut
+SPREAD = 6.0           # the cut: this many deviations below their mean, or their lowest score if that is less;
+                       # the margin keeps ordinary text out
+MEMO = 100_000         # verdicts that a task remembers, on tokens of at most 64 characters
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                     re.I | re.A)
 HINTS = ("password", "passwd", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")    # = runs AKIA[A-Z0-9]+ of 20 or more
 HEX = re.compile(r"[0-9a-f]{24,}")           # = runs [0-9a-f]+ of 24 or more
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-ORDINARY = re.compile(r"[A-Za-z]{12,}")
+#: words (plain, capital, capitals, CamelCase) and numbers, alone or joined
+_WORD = r"(?:[A-Z]?[a-z]{2,}(?:[A-Z][a-z]{2,})*+|[A-Z]+|[a-z])"
+_LIST = r"{0}(?:[._/=+-]{0})*+"
+ORDINARY = re.compile(rf"(?<![A-Za-z0-9_/=+.-])(?:{_LIST.format(_WORD)}|{_LIST.format('[0-9]+')})(?![A-Za-z0-9_/=+]|[.-][A-Za-z0-9])")
+ORDINARY_LEAST = 6
 
 #: character class of a symbol: a-f, other lower case, digits, upper case; the rest stand for themselves
 CLASSES = str.maketrans({**{c: "h" for c in "abcdef"}, **{chr(c): "l" for c in range(103, 123)},
                          **{c: "d" for c in "0123456789"}, **{chr(c): "U" for c in range(65, 91)}})
 
+#: the characters of each class
+MEMBERS = {"h": "a-f", "l": "g-z", "d": "0-9", "U": "A-Z"}
+
 
 def labelled(text: str) -> list[tuple[int, int, int, str]]:
     """Base spans as (start, kind number, end, credential)."""
@@ -141,29 +155,61 @@ class Automaton:
 
 
 class Formats:
-    """The learned automata with the score each kind's candidates must reach."""
+    """The learned automata with the score that each kind's candidates must reach."""
 
     def __init__(self, examples: dict[str, list[str]]):
-        coded = {k: [x.translate(CLASSES) for x in sorted(v)] for k, v in examples.items()}
-        self.kinds = {}
+        self.kinds = {}                 # kind -> automaton, cut, symbols, least length
         for kind in KINDS:
-            if coded.get(kind):
-                a = Automaton(coded[kind])
-                scores = sorted(a.score(x) for x in coded[kind])
-                self.kinds[kind] = (a, scores[int(LOW * len(scores))], scores[-1 - int(LOW * len(scores))])
-        self.ordinary = Automaton(coded["word"]) if coded.get("word") else None
-
-    def fits(self, token: str) -> float | None:
-        """By how much the best format beats ordinary text, or None when none fits.
-
-        A candidate must be typical of a kind: as likely as its examples, and not
-        likelier (a run of one class is likely under a mix of classes, yet no example of it)."""
+            coded = [x.translate(CLASSES) for x in sorted(examples.get(kind, ()), key=lambda x: (_hash(x), x))]
+            if coded:
+                few = len(coded) < 2 * HELD_OUT
+                a = Automaton(sorted(x for i, x in enumerate(coded) if few or i % HELD_OUT))
+                scores = [a.score(x) for x in (coded if few else coded[::HELD_OUT])]
+                cut = min(min(scores), statistics.fmean(scores) - SPREAD * statistics.pstdev(scores))
+                self.kinds[kind] = (a, cut, frozenset("".join(coded)), min(map(len, coded)))
+        words = sorted(x.translate(CLASSES) for x in examples.get("word", ()))
+        self.ordinary = Automaton(words) if words else None
+        self.candidate = None
+        if self.kinds:
+            signs = sorted(frozenset.union(*[k[2] for k in self.kinds.values()]))
+            inside = "".join(MEMBERS.get(c) or re.escape(c) for c in signs)
+            least = min(k[3] for k in self.kinds.values())
+            self.candidate = re.compile(rf"(?<![A-Za-z0-9])[{inside}]{{{least},}}+(?![A-Za-z0-9])")
+        self.known: dict[str, bool] = {}
+
+    def gain(self, token: str) -> float | None:
+        """By how much per symbol the best format beats ordinary text, or None when no kind reaches its cut."""
         x = token.translate(CLASSES)
-        best = max((s for a, low, high in self.kinds.values() if low <= (s := a.score(x)) <= high), default=None)
+        signs, best = set(x), None
+        for a, cut, symbols, least in self.kinds.values():
+            if len(x) >= least and signs <= symbols:
+                score = a.score(x)
+                if score >= cut and (best is None or score > best):
+                    best = score
         if best is None:
             return None
-        gain = best - (self.ordinary.score(x) if self.ordinary else math.log(1 / 70))
-        return gain if gain >= MARGIN else None
+        return best - (self.ordinary.score(x) if self.ordinary else math.log(1 / 70))
+
+    def fits(self, token: str) -> bool:
+        got = self.known.get(token)
+        if got is None:
+            gain = self.gain(token)
+            got = gain is not None and gain >= MARGIN
+            if len(token) <= 64:
+                if len(self.known) >= MEMO:
+                    self.known.clear()
+                self.known[token] = got
+        return got
+
+    def found(self, text: str) -> Iterator[tuple[int, int]]:
+        """Where the candidates stand that fit."""
+        if self.candidate is None:
+            return
+        fit = {x for x in set(self.candidate.findall(text)) if self.fits(x.strip("."))}
+        for m in self.candidate.finditer(text) if fit else ():
+            if m.group() in fit:
+                x = m.group()
+                yield m.start() + len(x) - len(x.lstrip(".")), m.end() - len(x) + len(x.rstrip("."))
 
 
 def _hash(x: str) -> int:
@@ -184,10 +230,13 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Form
         for batch in batches:
             for v in batch["t"]:
                 text = v.as_py() or ""
-                for _, k, _, x in labelled(text):
+                base = labelled(text)
+                secrets = {x for *_, x in base}
+                for _, k, _, x in base:
                     add(KINDS[k], x)
-                for m in ORDINARY.finditer(text):
-                    add("word", m.group())
+                for x in set(ORDINARY.findall(text)) - secrets:
+                    if len(x) >= ORDINARY_LEAST:
+                        add("word", x)
         rows = [(k, x, h) for k, got in least.items()
                 for x, h in heapq.nsmallest(sample, got.items(), key=lambda p: (p[1], p[0]))]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in
@@ -205,12 +254,13 @@ def learn(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Form
 def spans_of(text: str, formats: Formats) -> list[tuple[int, int, str]]:
     """(start, end, kind) of every base and learned span, by start, then kind as listed."""
     base = labelled(text)
-    taken = [(s, e) for s, _, e, _ in base]
-    out = [(s, k, e) for s, k, e, _ in base]
-    if formats.kinds:
-        for m in CANDIDATE.finditer(text):
-            if not any(s < m.end() and m.start() < e for s, e in taken) and formats.fits(m.group()) is not None:
-                out.append((m.start(), len(KINDS), m.end()))
+    out, i, upto = [(s, k, e) for s, k, e, _ in base], 0, 0
+    for a, b in formats.found(text):
+        while i < len(base) and base[i][0] < b:     # base spans that start before the candidate ends
+            upto = max(upto, base[i][2])
+            i += 1
+        if upto <= a:
+            out.append((a, len(KINDS), b))
     names = (*KINDS, LEARNED)
     return [(s, e, names[k]) for s, k, e in sorted(out)]
 

@@ -285,13 +285,21 @@ def test_op1(spark, small):
         assert got[i]["n_tokens"] == sum(known.setdefault(w, plain(w)) for w in ws)
 
 
+HEX, UPPER, MIXED = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+
+
+def _key(rnd, letters, n):
+    return "".join(rnd.choice(letters) for _ in range(n))
+
+
 def test_op3_automaton():
     rnd = random.Random(3)
-    keys = ["".join(rnd.choice("0123456789abcdef") for _ in range(40)) for _ in range(80)]
+    keys = [_key(rnd, HEX, 40) for _ in range(80)]
     words = ["".join(rnd.choice(["ther", "ation", "ing", "on"]) for _ in range(5)) for _ in range(80)]
     formats = secret_scan.Formats({"hex": keys[:60], "word": words[:60]})
-    assert sum(formats.fits(k) is not None for k in keys[60:]) >= 17
+    assert all(formats.fits(k) for k in keys[60:])
     assert not any(formats.fits(w) for w in words[60:])
+    assert not formats.fits("ab12" * 5)     # shorter than any example
     a = secret_scan.Automaton([k.translate(secret_scan.CLASSES) for k in keys])
     reach, todo = {0}, [0]
     while todo:
@@ -299,6 +307,81 @@ def test_op3_automaton():
     assert len(reach) < 400  # of 80 * 40 prefix-tree states
 
 
+def _word(rnd):
+    return "".join(rnd.choice(["ther", "ation", "ing", "on", "pla", "vi", "ro", "sten", "ce"]) for _ in range(rnd.randrange(1, 6)))
+
+
+def _credential_docs(rnd, n=240):
+    """Texts with labelled credentials of four formats, and bare ones that no fixed pattern finds."""
+    formats = [lambda: _key(rnd, MIXED, 24), lambda: "v2." + _key(rnd, MIXED, 12), lambda: _key(rnd, HEX, 18),
+               lambda: "sk_" + _key(rnd, MIXED, 14)]
+    rows, bare = [], []
+    for i in range(n):
+        words = [_word(rnd) for _ in range(60)] + ["Twenty-three", "1234567.89", "config.yaml"]
+        made = formats[i // 2 % 4]
+        words.insert(5, f'token="{made()}"')
+        words.insert(9, "AKIA" + _key(rnd, UPPER, 16))
+        if i % 2:
+            bare.append((i, made()))
+            words.insert(30, bare[-1][1] + rnd.choice([".", "", ","]))
+        rows.append((i, " ".join(words)))
+    return rows, bare
+
+
+def test_op3_learned_formats(spark):
+    """Fresh keys of the learned formats are found, dots and short ones too, and nothing in clean texts."""
+    rnd = random.Random(8)
+    rows, bare = _credential_docs(rnd)
+    clean = [(1000 + i, " ".join(_word(rnd) for _ in range(200)) + ". Well-known things, 20240131 or 3.14159.") for i in range(50)]
+    docs = spark.createDataFrame(rows + clean + rows[:2], "doc_id long, text string").repartition(5)
+    formats = secret_scan.learn(docs)
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.find(docs, formats=formats).collect()}
+    text = dict(rows)
+    learned = {(d, text[d][s["start"]:s["end"]]) for d in text for s in got[d] if s["kind"] == secret_scan.LEARNED}
+    assert len(learned & set(bare)) >= 0.98 * len(bare)
+    assert learned <= set(bare)
+    assert all(got[d] == [] for d, _ in clean)
+
+
+def test_op3_spans_brute():
+    """Learned spans: every whole run of the candidates' characters that meets no base span and fits, pair by pair."""
+    rnd = random.Random(9)
+    rows, _ = _credential_docs(rnd)
+    examples = {k: [] for k in (*secret_scan.KINDS, "word")}
+    for _, t in rows:
+        for _, k, _, x in secret_scan.labelled(t):
+            examples[secret_scan.KINDS[k]].append(x)
+        examples["word"] += [x for x in secret_scan.ORDINARY.findall(t) if len(x) >= 6]
+    examples = {k: sorted(set(v))[:300] for k, v in examples.items()}
+    formats = secret_scan.Formats(examples)
+    inside = {c for k in secret_scan.KINDS for x in examples[k] for c in x}
+    classes = ["abcdef", "ghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    inside |= {c for g in classes if inside & set(g) for c in g}
+    texts = [t for _, t in rows] + ["", "...", " ".join(t for _, t in rows), "." + _key(rnd, MIXED, 24) + "..", "x" * 5000]
+    n = 0
+    for t in texts:
+        base = [(s, e, secret_scan.KINDS[k]) for s, k, e, _ in secret_scan.labelled(t)]
+        want, at = list(base), 0
+        while at < len(t):
+            end = at
+            while end < len(t) and t[end] in inside:
+                end += 1
+            a, b = at, end
+            while a < b and t[a] == ".":
+                a += 1
+            while a < b and t[b - 1] == ".":
+                b -= 1
+            alone = not (at and t[at - 1].isalnum()) and not (end < len(t) and t[end].isalnum())
+            gain = formats.gain(t[a:b]) if alone and a < b else None
+            if gain is not None and gain >= secret_scan.MARGIN and not any(s < b and a < e for s, e, _ in base):
+                want.append((a, b, secret_scan.LEARNED))
+                n += 1
+            at = max(end, at + 1)
+        names = [*secret_scan.KINDS, secret_scan.LEARNED]
+        assert secret_scan.spans_of(t, formats) == sorted(want, key=lambda x: (x[0], names.index(x[2])))
+    assert n > 200
+
+
 def test_op3_redact(spark):
     docs = _docs(spark).withColumn("n_chars", F.length("text").cast("long"))
     out = {r["doc_id"]: r for r in secret_scan.redact(docs).collect()}
