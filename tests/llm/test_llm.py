@@ -2,6 +2,8 @@
 
 import os
 import random
+import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -431,6 +433,57 @@ def test_op7(spark, small):
             assert abs(got[col][i] - want) < 1e-4
 
 
+def _plain_toxicity(rows, toxic):
+    """Scores by the stated rules on word strings and a dense matrix: nothing of the operator's code."""
+    def feats(t):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate({i: i + 32 for i in range(65, 91)}))
+        return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in range(3, 9) if len(w) > k}
+
+    side = [(i, t or "") for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    texts = {}
+    for i, t in side:
+        texts.setdefault(t, []).append(i)
+    marks = {t: [toxic[i] for i in ids if i in toxic] for t, ids in texts.items()}
+    prior = np.mean([max(m) for m in marks.values() if m])
+    p = [t for t in texts if marks[t] and max(marks[t])]
+    copies = {f: sum(len(texts[t]) for t in p if f in feats(t)) for f in set().union(*map(feats, p))}
+    least = min(6, max(1, sum(len(texts[t]) for t in p) // 50))
+    share = lambda f, of: sum(f in feats(t) for t in of) / len(of)
+    used = sorted(f for f, c in copies.items() if c >= least
+                  and share(f, p) >= 3 * max(0, share(f, list(texts)) - prior * share(f, p)) / (1 - prior))
+    matrix = lambda of: np.array([[f in feats(t) for f in used] + [True] for t in of], dtype=float)
+    xp, xu = matrix(p), matrix(list(texts))
+    theta = np.append(np.zeros(len(used)), np.log(prior / (1 - prior)))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for step in range(1, 301):
+        sp, su = (1 / (1 + np.exp(-x @ theta)) for x in (xp, xu))
+        as_toxic = prior * (xp * (sp - 1)[:, None]).mean(axis=0)
+        as_clean = (xu * su[:, None]).mean(axis=0) - prior * (xp * sp[:, None]).mean(axis=0)
+        risk = np.log1p(np.exp(xu @ theta)).mean() - prior * np.log1p(np.exp(xp @ theta)).mean()
+        grad = as_toxic + as_clean if risk >= 0 else -as_clean
+        grad[:-1] += 1e-4 * theta[:-1]
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
+        theta -= 0.1 * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+    return {i: 1 / (1 + np.exp(-(matrix([t or ""]) @ theta)[0])) for i, t in rows}
+
+
+def test_op4_brute(spark):
+    """Every score against a plain fit of the same risk; copies, empty and null texts among the rows."""
+    rnd = random.Random(12)
+    bad = ["scumbag", "scumbags", "vermin", "idiotic"]
+    rows = [(i, " ".join([rnd.choice(VOCAB) for _ in range(20)] + ([rnd.choice(bad)] if i % 5 == 0 else []))) for i in range(150)]
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 40, 3)] + [(2000, None), (2001, ""), (2002, "Scumbag! " * 50)]
+    toxic = {i: int(i % 5 == 0) for i, _ in rows if i % 3 and i < 1000}
+    got = toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"),
+                         spark.createDataFrame(sorted(toxic.items()), "doc_id long, toxic int")).collect()
+    want = _plain_toxicity(rows, toxic)
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], abs=1e-4)
+        assert r["predicted"] == int(r["score"] >= 0.5)
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
 def test_op4_many_toxic_rows(spark):
     """40 % toxic rows; and one toxic text copied to a third of all rows beside other toxic texts."""
     rnd = random.Random(6)
