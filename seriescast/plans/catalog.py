@@ -517,7 +517,7 @@ def q_ml17_forecast_baseline(spark, sf):
 
 
 # ---------------------------------------------------------------- learners (rows-only checks)
-ROUNDS = 30      # of the tier's 200 rounds and trees; README has the time of a round
+ROUNDS = 20      # of the tier's 200 rounds and trees; README has the time of a round
 
 
 def _tier1(spark, sf):
