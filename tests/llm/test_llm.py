@@ -202,6 +202,25 @@ def test_op10_null_and_repeated_ids(spark):
     assert sorted(got, key=str) == sorted(brute.op10(rows), key=str)
 
 
+def test_op5_in_passes(spark):
+    """Automata of a few words, one or a few a pass, give what one pass gives."""
+    head, words = _text(400) + ". ", [f"item{i}" for i in range(60)]
+    nested = head + " ".join(words[:8]) + " " + " ".join(words[20:50]) + " " + " ".join(words[8:16]) + " " + _text(900)
+    texts = [SHARED, _text(30), None, "", "one two", head + _text(900) + " ".join(words[:30]), nested, nested, head + " ".join(words)]
+    docs = [(d, t, None if t is None else len(t), "x") for d, t in enumerate(texts)] + [(None, SHARED, 1, "n"), (None, nested, 2, "n"), (6, SHARED, 3, "y")]
+    items = [(None, SHARED), (3, " ".join(SHARED.split()[:20])), (4, " ".join(words)), (5, "one two"), (6, None), (4, " ".join(words)), (7, " ".join(words[20:50]))]
+    docs = spark.createDataFrame(docs, "doc_id long, text string, n_chars long, key string")
+    items = spark.createDataFrame(items, "item_id long, text string")
+    want = sorted(map(str, decontaminate.score(docs, items).collect()))
+    kept = sorted(map(str, decontaminate.keep_clean(docs, items).collect()))
+    assert decontaminate.passes(decontaminate.automata(items, "item_id", "text", 13, 25), 1)[0] > 2
+    for pass_bytes in (1, 20_000):
+        few = {"block_words": 25, "pass_bytes": pass_bytes}
+        assert sorted(map(str, decontaminate.score(docs, items, **few).collect())) == want
+        out = decontaminate.keep_clean(docs, items, **few)
+        assert out.columns == docs.columns and sorted(map(str, out.collect())) == kept
+
+
 def test_op5_null_items(spark):
     docs = list(enumerate([SHARED, _text(30), None, "one two", BASE]))
     items = [(None, SHARED), (3, " ".join(SHARED.split()[:20])), (None, "one two")]
