@@ -9,10 +9,10 @@ from seriescast.operators import ensemble as E
 from seriescast.operators import variance as V
 from seriescast.operators.folds import contiguous_folds, time_series_folds
 from seriescast.operators.metrics import regression_metrics
-from seriescast.operators.quantile import exact_quantiles
+from seriescast.operators.quantile import exact_quantiles, exact_quantiles_wide
 from seriescast.operators.ensemble import ridge_cv
 from seriescast.operators.folds import time_segments
-from seriescast.operators.scale import robust_fit, standard_fit, standard_fit_wide
+from seriescast.operators.scale import robust_fit, robust_fit_wide, standard_fit, standard_fit_wide, to_long
 
 
 def test_exact_quantiles_small_and_refined(spark):
@@ -132,6 +132,35 @@ def test_scalers_match_sklearn_rules(spark):
     assert rb["c"]["scale"] == 1.0
 
 
+@pytest.mark.parametrize("k, slack", [(2048, None), (64, None), (64, 1e-4)])
+def test_wide_quantiles_match_numpy(spark, k, slack):
+    """Ties, constants, nulls, NaN, infinities, few values and none; also brackets that are too narrow at first."""
+    rng = np.random.default_rng(8)
+    cols = {"a": rng.normal(0, 1, 6000), "tied": rng.integers(0, 5, 6000) * 1.0, "same": np.full(6000, 7.0),
+            "holes": np.where(rng.random(6000) < 0.3, np.nan, rng.exponential(3, 6000)), "one": np.full(6000, np.nan),
+            "few": np.full(6000, np.nan), "none": np.full(6000, np.nan), "hot": np.where(rng.random(6000) < 0.34, 2.5, rng.normal(2, 1, 6000))}
+    cols["one"][5], cols["few"][[3, 4000, 5999]], cols["a"][:2] = 3.0, [1.0, -2.0, 9.0], [np.inf, -np.inf]
+    df = spark.createDataFrame(pd.DataFrame(cols)).withColumn("one", F.nanvl("one", F.lit(None))).repartition(5)
+    names = list(cols)
+    got = {r["feature"]: r for r in exact_quantiles_wide(df, names, [0.0, 0.25, 0.5, 0.99, 1.0], list("vwxyz"), k, slack, 3).collect()}
+    assert sorted(got) == sorted(set(names) - {"none"})
+    for c, x in zip(names, cols.values()):
+        if c != "none":
+            want = np.quantile(x[np.isfinite(x)], [0.0, 0.25, 0.5, 0.99, 1.0])
+            assert [got[c][n] for n in "vwxyz"] == pytest.approx(list(want), abs=1e-12), c
+    assert exact_quantiles_wide(df.limit(0), names, [0.5]).count() == 0
+
+
+def test_robust_scaler_of_a_wide_frame(spark):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame(pd.DataFrame({f"f{i}": rng.normal(i, i, 800) for i in range(40)}).assign(site=1)).repartition(4)
+    cols = [f"f{i}" for i in range(40)]
+    wide = robust_fit_wide(df, cols)
+    want = {r["feature"]: (r["centre"], r["scale"]) for r in robust_fit(to_long(df, ["site"], cols)).collect()}
+    assert {r["feature"]: (r["centre"], r["scale"]) for r in wide.collect()} == want
+    assert "Expand" not in wide._jdf.queryExecution().executedPlan().toString()
+
+
 def test_folds_match_split_arithmetic(spark):
     days = pd.date_range("2020-01-01", periods=4017, freq="D")
     df = spark.createDataFrame(pd.DataFrame({"site": "s", "ts": days.date}))
