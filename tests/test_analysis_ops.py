@@ -132,9 +132,9 @@ def test_scalers_match_sklearn_rules(spark):
     assert rb["c"]["scale"] == 1.0
 
 
-@pytest.mark.parametrize("k, slack", [(2048, None), (64, None), (64, 1e-4)])
-def test_wide_quantiles_match_numpy(spark, k, slack):
-    """Ties, constants, nulls, NaN, infinities, few values and none; also brackets that are too narrow at first."""
+@pytest.mark.parametrize("k, slack, sample", [(2048, None, 1 << 18), (64, None, 900), (64, 1e-4, 300)])
+def test_wide_quantiles_match_numpy(spark, k, slack, sample):
+    """Ties, constants, nulls, NaN, infinities, few values and none; also small samples and brackets too narrow at first."""
     rng = np.random.default_rng(8)
     cols = {"a": rng.normal(0, 1, 6000), "tied": rng.integers(0, 5, 6000) * 1.0, "same": np.full(6000, 7.0),
             "holes": np.where(rng.random(6000) < 0.3, np.nan, rng.exponential(3, 6000)), "one": np.full(6000, np.nan),
@@ -142,7 +142,7 @@ def test_wide_quantiles_match_numpy(spark, k, slack):
     cols["one"][5], cols["few"][[3, 4000, 5999]], cols["a"][:2] = 3.0, [1.0, -2.0, 9.0], [np.inf, -np.inf]
     df = spark.createDataFrame(pd.DataFrame(cols)).withColumn("one", F.nanvl("one", F.lit(None))).repartition(5)
     names = list(cols)
-    got = {r["feature"]: r for r in exact_quantiles_wide(df, names, [0.0, 0.25, 0.5, 0.99, 1.0], list("vwxyz"), k, slack, 3).collect()}
+    got = {r["feature"]: r for r in exact_quantiles_wide(df, names, [0.0, 0.25, 0.5, 0.99, 1.0], list("vwxyz"), k, slack, sample).collect()}
     assert sorted(got) == sorted(set(names) - {"none"})
     for c, x in zip(names, cols.values()):
         if c != "none":
