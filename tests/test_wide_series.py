@@ -57,6 +57,29 @@ def test_index_neighbours_is_numbering_then_carries(spark):
     assert _rows(index_neighbours(d, DAYS, ["a", "b"]), *cols) == _rows(old, *cols)
 
 
+def test_filled_batches_are_the_windows_rows(spark):
+    d = _days(spark).union(spark.createDataFrame([("s1", dt.date(1998, 10, 1), None, float("nan")), ("s0", None, None, None)], "site string, ts date, a double, b double"))
+    want = repr(_rows(interpolate(index_rows(d, DAYS), DAYS, ["b"]), "site", "ts", "b", "n", "rn"))
+    for rows in ("10000", "7"):     # buckets cut by batches
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+        try:
+            got = interpolate(d, DAYS, ["b"])
+            assert got.columns == ["site", "ts", "a", "b", "_tb", "n", "rn"]
+            assert repr(_rows(got, "site", "ts", "b", "n", "rn")) == want
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_filling_shuffles_the_site_days_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        days = EV.days_series(spark, SF_SMALL)
+        plan = EV.candidates_wide(EV.cleaned_days(spark, SF_SMALL, days), days)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert plan.count("FileScan") == 1
+
+
 def test_blocked_series_give_the_long_forms_rows(spark):
     d = _days(spark)
     flat = _cleaned(d)
