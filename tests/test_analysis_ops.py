@@ -258,6 +258,17 @@ def test_daily_csv_files_with_one_base_name(spark, tmp_path):
     assert [(r.site, r.T2M, r.PS) for r in out] == [("daily", 5.0, 92.0), ("daily", 5.5, 92.5)]
 
 
+def test_daily_csv_cells_are_read_by_place(spark, tmp_path):
+    from seriescast.sources.csv import parse_lines, read_lines
+    (tmp_path / "odd.csv").write_text("YEAR,MO,DY,PS,X\n2024, 2 ,29, 90.5 ,-999\n2024,3,1,7,1\n")
+    df = parse_lines(read_lines(spark, str(tmp_path)), ["T2M", "PS", "X"])
+    assert [tuple(r) for r in df.select("MO", "T2M", "PS", "X").orderBy("MO").collect()] == [(2, None, 90.5, None), (3, None, 7.0, 1.0)]
+    assert "transform(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    (tmp_path / "odd.csv").write_text("YEAR,MO,DY,PS\n2024,2,29\n")
+    with pytest.raises(Exception, match="fewer cells"):
+        read_lines(spark, str(tmp_path)).transform(parse_lines, ["PS"]).collect()
+
+
 def test_daily_csv_without_header_fails(spark, tmp_path):
     from seriescast.sources.csv import read_daily_csv
     (tmp_path / "bare.csv").write_text("2024,1,1,5.0,92.0\n")
