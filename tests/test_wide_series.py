@@ -134,6 +134,19 @@ def test_rows_are_shuffled_as_site_days_and_not_persisted(spark, name):
     assert not rows, rows
 
 
+@pytest.mark.parametrize("name", ["wn10_pct_change", "wn12_13_ewm", "tier1_matrix"])
+def test_carries_meet_dealt_rows_where_they_lie(spark, name, monkeypatch):
+    # tables too large to be broadcast
+    monkeypatch.setattr(EV, "task_parts", lambda spark, rows: 13)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = getattr(catalog, f"q_{name}")(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    again = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "ENSURE" in x and ("_blk" in x or "_tb" in x)]
+    assert not again, again
+
+
 def test_parameters_read_the_same_days(spark):
     days = EV.days_series(spark, SF_SMALL)
     d = EV.cleaned_days(spark, SF_SMALL, days)
