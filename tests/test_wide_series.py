@@ -96,6 +96,56 @@ def test_blocked_series_give_the_long_forms_rows(spark):
         assert x[:3] == y[:3] and list(x[3:]) == pytest.approx(list(y[3:]), nan_ok=True)
 
 
+WHOLE = Series(keys=("site",), dealt=("site",), whole=True)
+
+
+def test_whole_series_give_the_rows_of_blocks(spark):
+    d = _days(spark).union(spark.createDataFrame([("s1", dt.date(1998, 10, 1), None, float("nan")), ("s0", None, None, None)], "site string, ts date, a double, b double"))
+    cols = ["site", "ts", "a", "b", "n", "rn"]
+    got = interpolate(d, WHOLE, ["a", "b"])
+    want = interpolate(d, DAYS, ["a", "b"])
+    assert got.columns == want.columns
+    assert repr(_rows(got, *cols)) == repr(_rows(want, *cols))
+    stage = [{"p": R.pct_change("value", 3), "l": R.lag_bfill("value", 9), "x": R.vmax("value", 40)}]
+
+    def swept(s):
+        b = _long(EV.blocked_days(interpolate(_days(spark), s, ["a", "b"]), s, 40))
+        by = s.with_keys("site", "param")
+        return spells(sweep(R.trailing(b, by, stage, halo=40), by, ["p"]), by)
+    cols = ["site", "param", "ts", "p", "l", "x", "dry_spell_length", "wet_spell_length"]
+    assert _rows(swept(WHOLE), *cols) == _rows(swept(DAYS), *cols)
+    some = _days(spark).where("site IS NOT NULL AND ts IS NOT NULL").select("site", "ts", F.col("a").alias(PARAMS[0]), F.col("b").alias(PARAMS[1]))
+    for name in ("seasons", "candidates"):
+        got, want = [], []
+        for s, to in ((WHOLE, got), (DAYS, want)):
+            w = interpolate(some, s, PARAMS[:2])
+            x = seasonal_means(w, s, cols=PARAMS[:2]) if name == "seasons" else EV.candidates_wide(w, s, PARAMS[:2])
+            to += _rows(x, *sorted(set(x.columns) - {"_tb"}, key=lambda c: (c not in ("site", "param", "ts"), c)))
+        for x, y in zip(got, want, strict=True):
+            assert [v if not isinstance(v, float) else pytest.approx(v, nan_ok=True) for v in y] == list(x)
+
+
+@pytest.mark.parametrize("name", ["ag24_wn19_seasonal", "ml07_fixed_blend", "ph_features", "wn01_rolling_mean", "wn02_rolling_std",
+                                  "wn03_rolling_min_max"])
+def test_whole_sites_are_shuffled_once(spark, name, monkeypatch):
+    monkeypatch.setattr(EV, "task_parts", lambda spark, rows: 13)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = getattr(catalog, f"q_{name}")(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "param" not in x.split("Exchange")[1]]
+    assert len(rows) == 1, rows
+
+
+def test_a_site_over_a_tasks_share_is_cut(spark, monkeypatch):
+    assert EV.days_series(spark, SF_SMALL).whole and not EV.days_series(spark, SF_SMALL, whole=False).whole
+    want = {r["site"]: r["c"] for r in EV.cleaned(spark, SF_SMALL).groupBy("site").agg(F.count("value").alias("c")).collect()}
+    monkeypatch.setattr(EV, "TASK_ROWS", 10)
+    assert not EV.days_series(spark, SF_SMALL).whole
+    assert {r["site"]: r["c"] for r in EV.cleaned(spark, SF_SMALL).groupBy("site").agg(F.count("value").alias("c")).collect()} == want
+
+
 def test_seasons_of_several_columns(spark):
     d = _days(spark).where("site IS NOT NULL AND ts IS NOT NULL")
     got = EV.by_param(seasonal_means(d, DAYS, cols=["a", "b"]), ["a", "b"],
