@@ -146,6 +146,27 @@ def test_a_site_over_a_tasks_share_is_cut(spark, monkeypatch):
     assert {r["site"]: r["c"] for r in EV.cleaned(spark, SF_SMALL).groupBy("site").agg(F.count("value").alias("c")).collect()} == want
 
 
+def test_weights_read_the_rows_once(spark):
+    rows = [("a", "x", 1.0, 1.5), ("a", "x", 3.0, 2.5), ("a", "y", 1.0, 1.1), ("a", "y", 3.0, 3.2), (None, "x", 1.0, 1.0),
+            ("b", "x", 1.0, 9.0), ("b", "x", 2.0, 7.0)]
+    w = E.r2_weights(spark.createDataFrame(rows, "param string, model string, actual double, predicted double"), ["param"], ["x", "y"])
+    got = {(r["param"], r["model"]): r["weight"] for r in w.collect()}
+    x, y = 1 - 0.5 / 2, 1 - 0.05 / 2
+    assert got == {("a", "x"): pytest.approx(x / (x + y)), ("a", "y"): pytest.approx(y / (x + y)), ("b", "x"): pytest.approx(1.0)}
+    assert w._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+def test_chosen_rows_are_the_chosen_models_rows(spark):
+    cols = ["site", "param", "ts", "model", "actual", "predicted", "train_mean"]
+    got = catalog._chosen(spark, SF_SMALL)
+    pick = {r["param"]: r["model"] for r in got.select("param", "model").distinct().collect()}
+    assert len(pick) == len(PARAMS)
+    every = catalog._all_models(spark, SF_SMALL)
+    want = [r for r in every.select(*cols).collect() if pick[r["param"]] == r["model"]]
+    assert _rows(got, *cols) == sorted(want, key=lambda r: tuple(str(x) for x in r[:3]))
+    assert got._jdf.queryExecution().optimizedPlan().toString().split("InMemoryRelation")[0].count("Generate explode") == 1
+
+
 def test_seasons_of_several_columns(spark):
     d = _days(spark).where("site IS NOT NULL AND ts IS NOT NULL")
     got = EV.by_param(seasonal_means(d, DAYS, cols=["a", "b"]), ["a", "b"],
