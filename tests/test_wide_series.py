@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from seriescast.config import PARAMS
 from seriescast.operators import ensemble as E
+from seriescast.operators import histtrees as H
 from seriescast.operators import rolling as R
 from seriescast.operators.ewm import ewm
 from seriescast.operators.fill import interpolate, sweep
@@ -186,6 +187,25 @@ def test_fixed_blend_of_columns_is_the_long_blend(spark):
     assert E.fixed_blend(w, blend).count() == 1
 
 
+def test_trees_hold_the_rows_once(spark, monkeypatch):
+    """Nothing is written to the checkpoint folder, and cuts and means are read in one pass."""
+    wide, feats, held = catalog._yesterday(spark, SF_SMALL)
+    settings = H.TreeSettings(trees=1, depth=2, rate=0.05, l1=0.05, l2=1.0, bins=16, cuts="width")
+    want = H.fit_boosted(wide, feats, PARAMS, ["site", "ts"], settings)
+    frame, passes = type(wide), []
+    monkeypatch.setattr(frame, "checkpoint", lambda *a, **k: pytest.fail("a copy of the rows"))
+    first = frame.first
+    monkeypatch.setattr(frame, "first", lambda self: passes.append(1) or first(self))
+    got = H.fit_boosted(wide, feats, PARAMS, ["site", "ts"], settings, reread=True)
+    assert len(passes) == 1
+    assert held.is_cached
+    assert [(t.target, t.feature, t.cut, t.weight) for t in got.trees] == [(t.target, t.feature, t.cut, t.weight) for t in want.trees]
+    again = wide.agg(F.max(feats[0]))
+    again.collect()
+    rows = again._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert "Exchange hashpartitioning" not in rows      # yesterday is read where the held days lie
+
+
 def test_tasks_grow_with_the_rows(spark):
     assert task_parts(spark, 1000) is None
     assert task_parts(spark, 100 * TASK_ROWS) == 100
