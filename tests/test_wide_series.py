@@ -189,7 +189,7 @@ def test_fixed_blend_of_columns_is_the_long_blend(spark):
 
 def test_trees_hold_the_rows_once(spark, monkeypatch):
     """Nothing is written to the checkpoint folder, and cuts and means are read in one pass."""
-    wide, feats, held = catalog._yesterday(spark, SF_SMALL)
+    wide, feats, held = catalog._yesterday(spark, SF_SMALL, hold=True)
     settings = H.TreeSettings(trees=1, depth=2, rate=0.05, l1=0.05, l2=1.0, bins=16, cuts="width")
     want = H.fit_boosted(wide, feats, PARAMS, ["site", "ts"], settings)
     frame, passes = type(wide), []
@@ -206,6 +206,45 @@ def test_trees_hold_the_rows_once(spark, monkeypatch):
     assert "Exchange hashpartitioning" not in rows      # yesterday is read where the held days lie
 
 
+@pytest.mark.parametrize("name", ["ml09_ml11_choice_orders", "ml10_model_choice"])
+def test_weights_and_choice_read_one_shuffle_and_persist_no_rows(spark, name):
+    spark.catalog.clearCache()
+    d = catalog._all_models(spark, SF_SMALL)
+    assert "InMemory" not in d._jdf.queryExecution().optimizedPlan().toString()
+    d = getattr(catalog, f"q_{name}")(spark, SF_SMALL)
+    assert "ts#" not in "".join(x for x in d._jdf.queryExecution().executedPlan().toString().splitlines() if "InMemoryRelation" in x)
+
+
+def test_ridge_reads_the_rows_once(spark):
+    """As sums of products about the columns' means, also where columns miss different rows."""
+    rnd = random.Random(3)
+    rows = [("p" if i % 2 else "q", *[None if rnd.random() < 0.1 else 1e6 + rnd.gauss(0, 1) for _ in range(3)]) for i in range(200)]
+    pred = spark.createDataFrame([*rows, (None, 1.0, 2.0, 3.0)], "param string, x double, y double, actual double")
+    fitted = E.ridge_fit(pred, ["param"], ["x", "y"])
+    assert "InMemory" not in fitted._jdf.queryExecution().optimizedPlan().toString()
+    got = {r["param"]: list(r)[1:] for r in fitted.collect()}
+    assert set(got) == {"p", "q"}
+    for p in got:
+        cols = list(zip(*[r[1:] for r in rows if r[0] == p]))
+        mean = [sum(v for v in c if v is not None) / sum(v is not None for v in c) for c in cols]
+        prod = [[sum((u - mean[i]) * (v - mean[j]) for u, v in zip(cols[i], cols[j]) if u is not None and v is not None)
+                 for j in range(3)] for i in range(3)]
+        a, b, c = prod[0][0] + 1, prod[0][1], prod[1][1] + 1
+        w = [(prod[0][2] * c - b * prod[1][2]) / (a * c - b * b), (a * prod[1][2] - b * prod[0][2]) / (a * c - b * b)]
+        assert got[p] == pytest.approx([mean[2] - mean[0] * w[0] - mean[1] * w[1], *w], rel=1e-6)
+
+
+def test_robust_scale_holds_site_days_once(spark):
+    spark.catalog.clearCache()
+    plan = catalog.q_ml02_robust_scale(spark, SF_SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("InMemoryRelation") == 2      # the site days and the fitted table
+
+
+def test_a_tasks_share_is_small(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert task_parts(spark, 36_000_000) == max(720, least)
+
+
 def test_tasks_grow_with_the_rows(spark):
     assert task_parts(spark, 1000) is None
     assert task_parts(spark, 100 * TASK_ROWS) == 100
