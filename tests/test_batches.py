@@ -137,3 +137,66 @@ def test_rounding_is_sparks(spark):
     for digits, scale in (({}, 10 ** 4), ({"x": "k10"}, 2 ** 10), ({"x": 0}, 1)):
         got = [r[0] for r in catalog.normalise(d, digits).collect()]
         assert repr(got) == repr([r[0] for r in d.selectExpr(f"round(x * {scale}D, 0) / {scale}D + 0D").collect()])
+
+
+def test_candidates_of_batches_are_the_windows_rows(arrow):
+    d = _days(arrow).where("site IS NOT NULL").withColumn("ts", F.date_add("ts", 150)).withColumnsRenamed({"a": PARAMS[0], "b": PARAMS[1]})
+    cols = ["site", "param", "ts", "actual", "train_mean", *EV.BASE_MODELS]
+    got, want = (_rows(EV.candidates_wide(interpolate(d, s, PARAMS[:2]), s, PARAMS[:2]), *cols) for s in (BATCHES, WHOLE))
+    assert got and {r[0] for r in got} >= {"s0", "s2"}
+    for x, y in zip(got, want, strict=True):
+        assert x[:3] == y[:3] and x[3:] == [v if v is None else pytest.approx(v) for v in y[3:]]
+
+
+def test_site_facts_are_the_series_own(spark):
+    d = interpolate(_days(spark), BATCHES, ["a", "b"])
+    facts = {r["site"]: r for r in EV.site_facts(d, ["a", "b"]).collect()}
+    rows = [r for r in d.collect()]
+    assert set(facts) == {r["site"] for r in rows}
+    for site, f in facts.items():
+        own = [r for r in rows if r["site"] == site]
+        last = max(own, key=lambda r: r["ts"])
+        for p in "ab":
+            train = [r for r in own if r["ts"] < dt.date(2000, 1, 1) and r[p] is not None]
+            assert f["ts"] == last["ts"] and f[f"last_{p}"] == last[p]
+            assert f[f"train_mean_{p}"] == (pytest.approx(sum(r[p] for r in train) / len(train)) if train else None)
+            for month, mean in f[f"clim_{p}"].items():
+                x = [r[p] for r in train if r["ts"].month == month]
+                assert mean == (pytest.approx(sum(x) / len(x)) if x else None)
+
+
+def test_files_of_site_days_are_the_pivoted_ones(spark):
+    from seriescast.sources.sinks import forecast_wide, predictions_wide, variance_detail_wide
+    rows = [("s", dt.date(2000, 1, 1), 1.0, 2.0, 1.5, None), ("s", dt.date(2000, 1, 2), None, 2.0, 1.5, 0.0),
+            ("s", dt.date(2000, 1, 3), 1.0, 2.0, None, None), ("t", dt.date(2000, 1, 1), 1.0, None, 1.0, 3.0)]
+    wide = spark.createDataFrame(rows, "site string, ts date, a double, b double, predicted_a double, predicted_b double")
+    long = EV.by_param(wide.withColumnsRenamed({"a": "T2M", "b": "PS", "predicted_a": "q_T2M", "predicted_b": "q_PS"}), ["T2M", "PS"],
+                       {"actual": "{p}", "predicted": "q_{p}"}).replace({"T2M": "a", "PS": "b"}, subset=["param"])
+    known = long.where("predicted IS NOT NULL")
+    for make, source in ((predictions_wide, known), (variance_detail_wide, known), (forecast_wide, long)):
+        got, want = make(wide, ["a", "b"]), make(source, ["a", "b"])
+        assert got.columns == want.columns
+        assert repr(_rows(got, "site", "DATE", *got.columns)) == repr(_rows(want, "site", "DATE", *got.columns))
+
+
+def test_forecast_joins_no_series_and_writes_a_file_a_site(spark):
+    import os
+
+    plan = catalog.q_ml17_forecast_baseline(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "InMemoryTableScan" not in plan
+    files = [f for f in catalog.q_snk3_forecast_csv(spark, SF_SMALL).inputFiles()]
+    assert len(files) == len({os.path.dirname(f) for f in files}) > 1
+
+
+@pytest.mark.parametrize("name", ["src2_predictions_csv", "snk4_variance_csv"])
+def test_files_of_candidates_need_no_pivot(spark, name, monkeypatch):
+    wrote = []
+    monkeypatch.setattr(catalog, "write_table", lambda df, path, *a, **k: wrote.append(df) or df.write.partitionBy("site").option("header", True).csv(path))
+    getattr(catalog, f"q_{name}")(spark, SF_SMALL)
+    plan = wrote[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and len([x for x in plan.splitlines() if "Exchange hashpartitioning" in x]) == 1
+
+
+def test_forest_meets_its_days_without_a_join(spark):
+    plan = catalog.q_ml06_random_cut_forest(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
