@@ -199,3 +199,14 @@ def test_files_of_candidates_need_no_pivot(spark, name, monkeypatch):
 def test_forest_meets_its_days_without_a_join(spark):
     plan = catalog.q_ml06_random_cut_forest(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Window" not in plan
+
+
+def test_rows_without_a_time_keep_the_ewm_of_blocks(spark, tmp_path):
+    rows = [(k % 2, float(k % 7 + 1), 100.0 + k, 0.05, 0.03, None if k == 5 else dt.datetime(1999, 1, 1) + dt.timedelta(days=k)) for k in range(40)]
+    names = "l_suppkey long, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_shipdate timestamp"
+    spark.createDataFrame(rows, names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    d = catalog.q_wn12_13_ewm(spark, str(tmp_path))
+    assert "Window" in d._jdf.queryExecution().executedPlan().toString()
+    assert d.count() == 39 * len(PARAMS)
+    assert not EV.days_series(spark, str(tmp_path), batches=True, untimed=False).batches
+    assert EV.days_series(spark, str(tmp_path), batches=True).batches
